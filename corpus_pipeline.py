@@ -35,7 +35,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents without the passages that occur earlier; those with no word left go."""
     rows = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text")
     left = suffix.remove_repeats(rows, payload_col="row")
-    text = F.when(F.size("spans") > 0, F.try_validate_utf8(F.decode("kept", "UTF-8"))).otherwise(F.col("row.text"))
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd+", "")  # cuts may split a character
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("row.text"))
     out = left.select("row.doc_id", text.alias("text"), "row.lang", "row.source")
     return out.filter("text is null or length(trim(text)) > 0").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

@@ -2,10 +2,11 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens.  Pieces are dealt to partitions by hash
 and each partition is packed by best-fit decreasing.  Dual feasible functions give a lower bound on the
-bins of any packing of that partition; where the count meets the bound it is certified.  Partitions with
-a gap put the pieces of their bins that aren't full into a common pool, which is dealt anew over fewer
-partitions and packed again, so that documents of different partitions meet; a round is kept only if it
-saves bins, so the count never grows.
+bins of any packing of that partition; where the count meets the bound it is certified.  The same bound for
+all pieces, from the histogram of their lengths, tells when no exchange can help.  Until then, partitions
+with more bins than their tokens need put the pieces of bins that aren't full into a common pool,
+which is dealt anew over half as many partitions and packed again, so that documents of different partitions
+meet; a round is kept only if it saves bins, so the count never grows.
 """
 
 from __future__ import annotations
@@ -63,11 +64,14 @@ def piece_table(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long{extra}")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best lower bound on bins of three families of dual feasible functions."""
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The best lower bound on bins of three families of dual feasible functions.
+
+    With ``counts``, ``lengths`` are distinct and stand for so many items each.
+    """
     if not len(lengths):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
+    sizes, counts = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     best = -(-int((sizes * counts).sum()) // capacity)
     for k in range(1, 12):  # rounding functions: (k+1)x if that is whole, else its floor, over k
         scaled = (k + 1) * sizes
@@ -121,12 +125,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = PIECES_PE
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(fill) - lower_bound(lengths, capacity)
-        return pdf[[*own, "block"]].assign(bin=bins, offset=offsets, fill=fill[bins], gap=gap)
+        gap, spare = len(fill) - lower_bound(lengths, capacity), len(fill) - -(-int(lengths.sum()) // capacity)
+        return pdf[[*own, "block"]].assign(bin=bins, offset=offsets, fill=fill[bins], gap=gap, spare=spare)
 
     def packed(pool: DataFrame, blocks: int, salt: int) -> DataFrame:
         dealt = pool.withColumn("block", F.pmod(F.xxhash64(*(F.col(k) for k in keys), F.lit(salt)), F.lit(blocks)).cast("int"))
-        return cut(dealt.groupBy("block").applyInPandas(run, f"{schema}, block int, bin long, offset long, fill long, gap long"), "packed")
+        return cut(dealt.groupBy("block").applyInPandas(run, f"{schema}, block int, bin long, offset long, fill long, gap long, spare long"), "packed")
 
     def bins_of(df: DataFrame) -> int:
         return df.filter("offset = 0").count()
@@ -137,16 +141,20 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = PIECES_PE
 
     blocks = max(1, -(-total // per_partition))
     now = packed(pieces, blocks, 0)
-    done = []
+    sizes = sorted((r[0], r[1]) for r in pieces.groupBy("length").count().collect())  # one row a length, at most capacity
+    least = lower_bound(np.array([x for x, _ in sizes]), capacity, np.array([n for _, n in sizes]))
+    used, done = bins_of(now), []
     for at in range(1, rounds + 1):
-        loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        stats = now.agg(F.countDistinct(F.when(F.col("gap") > 0, F.col("block"))), F.count(F.when(loose, 1))).first()
-        if stats[0] < 2:  # one partition has nobody to exchange with
+        loose = (F.col("spare") > 0) & (F.col("fill") < capacity)
+        stats = now.agg(F.countDistinct(F.when(loose, F.col("block"))), F.count(F.when(loose, 1))).first()
+        if stats[0] < 2 or used <= least:  # nobody to exchange with, or certified as a whole
             break
         pool = now.filter(loose)
         again = packed(pool.select(*own), max(1, min(-(-stats[1] // per_partition), stats[0] // 2)), at)
-        if bins_of(again) >= bins_of(pool):
+        saved = bins_of(pool) - bins_of(again)
+        if saved <= 0:
             break
+        used -= saved
         done.append(numbered(now.filter(~loose), at - 1))
         now = again
     else:
