@@ -31,9 +31,9 @@ def problems(df: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
     time = parsed_time(F.col("daytime"))
     found.append(F.when(~blank("daytime") & time.isNull(), named("daytime_format", "daytime")))
     found.append(F.when(~blank("label") & ~F.coalesce(numeric(F.col("label")).cast("int").isin(0, 1), F.lit(False)), named("label_value", "label")))
-    late = F.lag(time, 1).over(Window.partitionBy(file).orderBy(row)) > time
-    found.append(F.when(late, named("time_order", "daytime")))
-    return df.select(file, row, F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.check", F.lit("ERROR").alias("severity"), file, row, "p.column")
+    found.append(F.when(F.col("_before") > time, named("time_order", "daytime")))
+    timed = df.withColumn("_before", F.lag(time, 1).over(Window.partitionBy(file).orderBy(row)))  # no generator takes a window
+    return timed.select(file, row, F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.check", F.lit("ERROR").alias("severity"), file, row, "p.column")
 
 
 def roll_up(found: DataFrame) -> DataFrame:

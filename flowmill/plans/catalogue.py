@@ -222,7 +222,7 @@ def time_order_violations(spark, sf_dir):
 def texts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     blank = lambda n, x: F.when(F.col("event_id") % n == 0, "").otherwise(x)
-    return e.select(F.col("user_id").alias("file"), F.col("event_id").alias("row"), blank(29, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("daytime"), blank(31, F.col("event_id") % 3).cast("string").alias("label"), F.col("event_type").alias("conn_state"), F.when(F.col("event_id") % 37 == 0, "x").otherwise(F.col("value").cast("string")).alias("duration"), blank(41, F.when(F.col("event_id") % 43 == 0, "maybe").otherwise("T")).alias("local_orig"))
+    return e.select(F.col("user_id").alias("file"), F.col("event_id").alias("row"), blank(29, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("daytime"), blank(31, (F.col("event_id") % 3).cast("string")).alias("label"), F.col("event_type").alias("conn_state"), F.when(F.col("event_id") % 37 == 0, "x").otherwise(F.col("value").cast("string")).alias("duration"), blank(41, F.when(F.col("event_id") % 43 == 0, "maybe").otherwise("T")).alias("local_orig"))
 
 
 @query("""SELECT 'required_columns' AS "check", count(*) FILTER (WHERE event_id % 29 = 0) + count(*) FILTER (WHERE event_id % 31 = 0) + count(*) FILTER (WHERE event_id % 41 = 0) AS n, 'NG' AS status FROM events
