@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_slices, cut, texts_of
+from .common import batch_of, byte_slices, cut, ragged_take, texts_of
 from .encode import CACHE, CHUNK, ODD, ChunkEncoder
 from .store import open_store, shard_bits, write_store
 
@@ -55,6 +55,7 @@ def distinct_pieces(df: DataFrame, pattern: str, text_col: str = "text") -> Data
     def run(batches):
         seen: set[str] = set()
         found: set[str] = set()
+        findall = _pattern(pattern).findall
         schema = pa.schema([("word", pa.binary())])
         for part in byte_slices(batches, column=0):
             chunks: set[str] = set()
@@ -64,7 +65,7 @@ def distinct_pieces(df: DataFrame, pattern: str, text_col: str = "text") -> Data
             if len(seen) > CACHE:
                 seen, found = set(), set()
             seen |= chunks
-            pieces = {p for c in chunks for p in split_pieces(c, pattern)} - found
+            pieces = {p for c in chunks for p in findall(c)} - found
             found |= pieces
             yield batch_of(schema, [[p.encode() for p in pieces]])
 
@@ -214,23 +215,20 @@ def token_bytes(path: str) -> list[bytes]:
 
 @lru_cache(maxsize=1)
 def piece_coder(root: str, bits: int, pattern: str) -> ChunkEncoder:
-    store = open_store(root, bits)
+    store, findall = open_store(root, bits), _pattern(pattern).findall
 
     def encode_chunks(chunks: list[str]):
-        parts = [split_pieces(c, pattern) for c in chunks]
+        parts = list(map(findall, chunks))
         flat = [p for part in parts for p in part]
         keys = np.fromiter((xxhash.xxh64_intdigest(p.encode(), SEED) for p in flat), np.uint64, len(flat))
         distinct, where = np.unique(keys, return_inverse=True)
-        found = store.payloads(distinct)
-        if any(x is None for x in found):
+        ids, starts, sizes = store.ragged(distinct, "<i4")
+        if (sizes < 0).any():
             raise KeyError("a piece isn't in the store")
-        arrays = [np.frombuffer(x, "<i4") for x in found]
-        out, at = [], 0
-        for part in parts:
-            own = [arrays[i] for i in where[at : at + len(part)].tolist()]
-            out.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.int32))
-            at += len(part)
-        return out, None
+        starts, sizes = starts[where], sizes[where]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return ids[ragged_take(starts, sizes)], upto[edges[1:]] - upto[edges[:-1]], None
 
     return ChunkEncoder(encode_chunks, True)
 

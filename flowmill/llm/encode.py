@@ -8,6 +8,7 @@ worker is bounded; when full it starts anew.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -26,11 +27,11 @@ CACHE = 300_000
 class ChunkEncoder:
     """Ids of texts through cached chunks; ``spaced`` keeps white space in chunks, else it only separates.
 
-    ``encode_chunks`` maps chunks to their ids, one array each, and optionally to the first and end
-    characters of their tokens.
+    ``encode_chunks`` maps chunks to all their ids in one array, the number of ids of each, and optionally
+    the first and end characters of their tokens.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray | None]], spaced: bool) -> None:
+    def __init__(self, encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray | None]], spaced: bool) -> None:
         self.encode_chunks, self.spaced = encode_chunks, spaced
         self.reset()
 
@@ -47,10 +48,9 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        ids, chars = self.encode_chunks(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, sizes, chars = self.encode_chunks(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, *ids])
+        self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         if chars is not None:
             self.chars = np.concatenate([self.chars, chars])
@@ -97,12 +97,13 @@ def encoder(path: str, spaced: bool, offsets: bool = False) -> ChunkEncoder:
     encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
 
     def encode_chunks(chunks: list[str]):
-        ids, chars = [], []
+        ids, sizes, chars = array("i"), array("i"), []
         for i in range(0, len(chunks), 20_000):
             for e in encode(chunks[i : i + 20_000], add_special_tokens=False):
-                ids.append(np.array(e.ids, np.int32))
+                ids.extend(own := e.ids)
+                sizes.append(len(own))
                 if offsets:
                     chars.extend(e.offsets)
-        return ids, np.array(chars, np.int32).reshape(-1, 2) if offsets else None
+        return np.array(ids, np.int32), np.array(sizes, np.int64), np.array(chars, np.int32).reshape(-1, 2) if offsets else None
 
     return ChunkEncoder(encode_chunks, spaced)

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import ragged_take, shared_path
 
 ROWS_PER_SHARD = 500_000
 
@@ -143,6 +143,19 @@ class Store:
                 out[i] = data[lo:hi].tobytes()
         return out
 
+    def ragged(self, keys: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of all payloads found in one array, and each key's start and length there; -1 if missing."""
+        unit, parts, held = np.dtype(dtype).itemsize, [np.zeros(0, dtype)], 0
+        starts, sizes = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for shard, where, rows in self._hits(keys):
+            ends, data = self.array(shard, "ends"), self.array(shard, "data")
+            low = ends[rows] // unit
+            n = ends[rows + 1] // unit - low
+            starts[where], sizes[where] = held + np.cumsum(n) - n, n
+            parts.append(data.view(dtype)[ragged_take(low, n)])
+            held += len(parts[-1])
+        return np.concatenate(parts), starts, sizes
+
 
 @lru_cache(maxsize=8)
 def open_store(root: str, bits: int) -> Store:
