@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +54,29 @@ def script_counts(words: list[str]) -> dict[str, int]:
     return out | ({"other": left} if left else {})
 
 
-def grams(word: str) -> list[int]:
-    marked, mask = f"\x02{word.lower()}\x03", (1 << HASH_BITS) - 1
-    return [xxhash.xxh32_intdigest(marked[i : i + n].encode()) & mask for n in SIZES for i in range(len(marked) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of all words, each between marks, word by word; and the number of each word's."""
+    marked = [f"\x02{w.lower()}\x03" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters from here to the word's end
+    hashes, fits = np.zeros((len(points), len(SIZES)), np.uint32), np.zeros((len(points), len(SIZES)), bool)
+    state = np.zeros(len(points), np.uint32)
+    for n in range(1, max(SIZES) + 1):
+        state[: len(points) - n + 1] = (state[: len(points) - n + 1] ^ points[n - 1 :]) * np.uint32(0x9E3779B1)
+        state ^= state >> np.uint32(15)
+        if n in SIZES:
+            k = SIZES.index(n)
+            hashes[:, k] = (state + np.uint32(n)) * np.uint32(0x85EBCA77) >> np.uint32(32 - HASH_BITS)
+            fits[:, k] = left >= n
+    return hashes[fits], np.maximum(sizes[:, None] + 1 - np.array(SIZES), 0).sum(axis=1)
+
+
+def word_scores(model: Model, words: list[str]) -> np.ndarray:
+    """Score of each word for each language: its n-grams' sum over the root of their number."""
+    hashes, counts = grams(words)
+    sums = np.add.reduceat(model.table[hashes], np.cumsum(counts) - counts, axis=0)
+    return (sums / np.sqrt(counts)[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -93,8 +113,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     for k, v in script_counts(WORD.findall(text)).items():
                         scripts[k] = scripts.get(k, 0) + v
                 distinct, times = np.unique(np.array(words, dtype=object).astype(str), return_counts=True) if words else ([], [])
-                for w, c in zip(distinct, times, strict=True):
-                    np.add.at(table, grams(str(w)), int(c))
+                if len(distinct):
+                    hashes, sizes = grams(distinct.tolist())
+                    table += np.bincount(hashes, np.repeat(times, sizes), size).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": np.flatnonzero(table), "n": table[table > 0], "script": None})
                 yield pd.DataFrame({"lang": lang, "gram": -1, "n": list(scripts.values()), "script": list(scripts)})
 
@@ -161,22 +182,21 @@ def identify(df: DataFrame, model: Model, penalty: float = PENALTY, id_col: str
 
     def run(batches):
         cache: dict[str, int] = {}
-        rows = [np.zeros(max(1, len(names)), np.float32)]
+        rated = np.zeros((0, max(1, len(names))), np.float32)
         schema = None
         for part in byte_slices(batches):
             texts = texts_of(part)
             if len(cache) > CACHE:
                 cache.clear()
-                del rows[1:]
+                rated = rated[:0]
             found = [WORD.findall(t) for t in texts]
-            for w in {w for f in found for w in f}.difference(cache):
-                cache[w] = len(rows)
-                g = grams(w)
-                rows.append(model.table[g].sum(axis=0) / np.sqrt(len(g)))
             flat = [w for f in found for w in f]
+            for new in batched(set(flat).difference(cache), 50_000):
+                cache.update(zip(new, range(len(rated), len(rated) + len(new)), strict=True))
+                rated = np.concatenate([rated, word_scores(model, list(new))])
             counts = np.array([len(f) for f in found], np.int64)
             codes = np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))
-            scores = np.array(rows)[codes].astype(np.float64)
+            scores = rated[codes].astype(np.float64)
             edges = np.concatenate([[0], np.cumsum(counts)])
             for i in range(len(texts)):
                 if counts[i]:
