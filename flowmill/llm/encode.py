@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -38,6 +39,7 @@ class ChunkEncoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)
+        self.lengths = np.zeros(0, np.int32)  # characters of each chunk
         self.ids = np.zeros(0, np.int32)
         self.chars = np.zeros((0, 2), np.int32)  # first and end character of each token in its chunk
 
@@ -50,26 +52,26 @@ class ChunkEncoder:
         new = list(chunks)
         ids, sizes, chars = self.encode_chunks(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int32, len(new))])
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         if chars is not None:
             self.chars = np.concatenate([self.chars, chars])
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Cache numbers of all chunks, chunks for each text, and the chunks."""
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cache numbers of all chunks, and the number of chunks of each text."""
         parts = [self.split(t) for t in texts]
-        need = set().union(*parts) - self.known.keys() if parts else set()
-        if need:
+        flat = [c for part in parts for c in part]
+        if need := set(flat).difference(self.known):
             if self.known and len(self.known) + len(need) > CACHE:
                 self.reset()
-                need = set().union(*parts)
+                need = set(flat)
             self.learn(need)
-        flat = [c for part in parts for c in part]
-        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), np.array([len(p) for p in parts], np.int64), parts
+        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), np.array([len(p) for p in parts], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the number of ids of each text."""
-        codes, counts, _ = self.codes(texts)
+        codes, counts = self.codes(texts)
         sizes = (self.ends[1:] - self.ends[:-1])[codes]
         flat = self.ids[ragged_take(self.ends[codes], sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -78,9 +80,9 @@ class ChunkEncoder:
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and end character of every token in its text, and the number of tokens of each text."""
-        codes, counts, parts = self.codes(texts)
+        codes, counts = self.codes(texts)
         sizes = (self.ends[1:] - self.ends[:-1])[codes]
-        chars = np.fromiter((len(c) for p in parts for c in p), np.int64, len(codes))
+        chars = self.lengths[codes].astype(np.int64)
         begin = np.cumsum(chars) - chars
         edges = np.concatenate([[0], np.cumsum(counts)])
         begin -= np.repeat(np.concatenate([begin, [0]])[edges[:-1]], counts)
@@ -97,13 +99,13 @@ def encoder(path: str, spaced: bool, offsets: bool = False) -> ChunkEncoder:
     encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
 
     def encode_chunks(chunks: list[str]):
-        ids, sizes, chars = array("i"), array("i"), []
+        ids, sizes, chars = array("i"), array("i"), array("i")
         for i in range(0, len(chunks), 20_000):
             for e in encode(chunks[i : i + 20_000], add_special_tokens=False):
                 ids.extend(own := e.ids)
                 sizes.append(len(own))
                 if offsets:
-                    chars.extend(e.offsets)
+                    chars.extend(chain.from_iterable(e.offsets))
         return np.array(ids, np.int32), np.array(sizes, np.int64), np.array(chars, np.int32).reshape(-1, 2) if offsets else None
 
     return ChunkEncoder(encode_chunks, spaced)
