@@ -123,3 +123,32 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col: s
     out = measures(df, id_col, text_col)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumns({"base_failed": base, "failed": compiled(rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def rules_sql(rules: tuple[Rule, ...] = THRESHOLDS) -> str:
+    """DuckDB SQL of the contract's columns and ``kept`` over the table ``documents``."""
+    blank, stops = "[\\x20\\x09-\\x0D]", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
+    limits = []
+    for r in rules:
+        sides = [f"{r.measure} < {r.least}"] * (r.least is not None) + [f"{r.measure} > {r.most}"] * (r.most is not None)
+        limits.append(f"(n_words >= {r.words} AND ({' OR '.join(sides)}))")
+    over = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '{blank}+'), lambda x: x <> '') AS ws,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    word AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    five AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS v
+             FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+    n AS (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS times FROM five WHERE v IS NOT NULL),
+    again AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM n WHERE times > 1) GROUP BY r),
+    c AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{blank}', '', 'g'))::BIGINT AS word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                 len(ls) AS lines, len(list_filter(ls, lambda x: regexp_matches(x, '^{blank}*[-*•]'))) AS bullets,
+                 len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS stops, len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS lettered FROM w),
+    m AS (SELECT c.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {over("word_chars", "n_words")} AS mean_word_chars,
+                 {over("n_symbols", "n_words")} AS symbol_ratio, {over("stops", "n_words")} AS stop_ratio, {over("n_dup_lines", "lines")} AS dup_line_ratio,
+                 {over("bullets", "lines")} AS bullet_ratio, {over("lettered", "n_words")} AS letter_word_ratio FROM c LEFT JOIN again USING (r)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT ({" OR ".join(limits)}) AS kept FROM b"""

@@ -84,4 +84,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op9_suffix_dedup, op10_language)}
 
 #: DuckDB SQL of the rows whose every column SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql()}

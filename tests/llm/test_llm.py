@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -284,6 +285,14 @@ def brute_pii(text):
     return sorted(out)
 
 
+def test_quality_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op6_quality"])
+    names = [x[0] for x in found.description]
+    expect(spark.createDataFrame(rows_of(spark, folder, "op6_quality")).select(*names).collect(), found.fetchall())
+
+
 def test_pii_patterns():
     rng = random.Random(5)
     for _ in range(4000):
