@@ -89,9 +89,9 @@ def flat_bytes(part: pa.RecordBatch, column: int = 1) -> tuple[np.ndarray, np.nd
 
 
 def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, content, doc, pos) of every anchor; ``docs`` has doc long and data binary."""
+    """(gram, content, doc, pos, row) of every anchor; ``docs`` has doc long, data binary and row long."""
     reach = length - gram
-    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("row", pa.int64())])
 
     def run(batches):
         for part in byte_slices(batches, budget=2 << 20):
@@ -103,37 +103,41 @@ def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             left, right = np.minimum(at - begin, reach), np.minimum(end - at - gram, reach)
             with np.errstate(over="ignore"):
                 content = mix(hashes.of(at - left, at + gram + right) + (left * 1024 + right).astype(np.uint64))
-            doc = part.column(0).to_numpy(zero_copy_only=False)[row]
-            yield batch_of(schema, [hashes.of(at, at + gram).view(np.int64), content.view(np.int64), doc, at - begin])
+            doc, own = (part.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 2))
+            yield batch_of(schema, [hashes.of(at, at + gram).view(np.int64), content.view(np.int64), doc, at - begin, own])
 
-    return docs.mapInArrow(run, "gram long, content long, doc long, pos int")
+    return docs.mapInArrow(run, "gram long, content long, doc long, pos int, row long")
 
 
 def first_anchors(anchors: DataFrame) -> DataFrame:
-    """Anchors whose gram occurs twice or more: (doc, pos, first), first telling those of new content."""
+    """Anchors whose gram occurs twice or more: (row, pos, first), first telling those at the least place of their content.
+
+    Rows that repeat an id may share that place: all of them are first.
+    """
     by = Window.partitionBy("gram").orderBy("content", "doc", "pos")
     near = anchors.withColumns({"_before": F.lag("content").over(by), "_after": F.lead("content").over(by)})
     shared = near.filter("_before is not null or _after is not null")
-    return shared.select("doc", "pos", (F.col("_before").isNull() | (F.col("_before") != F.col("content"))).alias("first"))
+    place = F.rank().over(Window.partitionBy("gram", "content").orderBy("doc", "pos"))
+    return shared.withColumn("_place", place).select("row", "pos", (F.col("_place") == 1).alias("first"))
 
 
 def half_windows(docs: DataFrame, root: str, bits: int, length: int, gram: int) -> DataFrame:
-    """Two rows for each stored anchor: (key, doc, pos, lo, hi, at, text).
+    """Two rows for each stored anchor: (key, doc, pos, lo, hi, at, text, row).
 
     Windows that start ``lo`` to ``hi`` bytes before the anchor share the bytes that ``key`` hashes; ``text``
     holds what these windows cover, with the anchor at byte ``at``.
     """
     reach = length - gram
     half = reach // 2
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("at", pa.int16()), ("text", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("at", pa.int16()), ("text", pa.binary()), ("row", pa.int64())])
 
     def run(batches):
         store = open_store(root, bits)
         for part in byte_slices(batches):
-            doc = part.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(doc.view(np.uint64), kind="stable")
-            found = [b""] * len(doc)
-            for i, x in zip(order.tolist(), store.payloads(doc.view(np.uint64)[order]), strict=True):
+            doc, row = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            order = np.argsort(row.view(np.uint64), kind="stable")
+            found = [b""] * len(row)
+            for i, x in zip(order.tolist(), store.payloads(row.view(np.uint64)[order]), strict=True):
                 found[i] = x or b""
             columns: list[list] = [[] for _ in schema]
             for i, raw in enumerate(found):
@@ -144,7 +148,6 @@ def half_windows(docs: DataFrame, root: str, bits: int, length: int, gram: int)
                 data = np.frombuffer(text, np.uint8)
                 hashes = Hashes(data)
                 at = np.frombuffer(raw, "<i4").astype(np.int64)
-                at = at[at + gram <= size]  # a repeated id may hold another text
                 for least, most in ((half, reach), (0, half - 1)):
                     # windows start at most ``hi`` bytes before the anchor and must end within the text
                     hi = np.minimum(most, at)
@@ -155,11 +158,12 @@ def half_windows(docs: DataFrame, root: str, bits: int, length: int, gram: int)
                     key = mix(hashes.of(np.maximum(begin, 0), np.minimum(stop, size)) + np.uint64(most))
                     for column, values in zip(columns, (key.view(np.int64), np.full(len(p), doc[i]), p, l, h, h), strict=False):
                         column.append(values)
+                    columns[7].append(np.full(len(p), row[i]))
                     columns[6].append(np.array([text[a:b] for a, b in zip((p - h).tolist(), (p - l + length).tolist(), strict=True)], dtype=object))
             if columns[0]:
                 yield batch_of(schema, [np.concatenate(c) for c in columns])
 
-    return docs.mapInArrow(run, "key long, doc long, pos int, lo short, hi short, at short, text binary")
+    return docs.mapInArrow(run, "key long, doc long, pos int, lo short, hi short, at short, text binary, row long")
 
 
 def covered_by_suffix_order(keys: np.ndarray, docs: np.ndarray, positions: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
@@ -203,22 +207,22 @@ def covered_by_suffix_order(keys: np.ndarray, docs: np.ndarray, positions: np.nd
 
 
 def window_covers(halves: DataFrame, length: int, large: int) -> DataFrame:
-    """(doc, start, stop) intervals of windows that an earlier one equals."""
+    """(row, start, stop) intervals of windows that an earlier one equals."""
     sizes = halves.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(halves.join(sizes, "key"), "half-windows")
     buckets = max(1, -(-shared.filter(F.col("n") <= large).count() // large))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = covered_by_suffix_order(pdf["key"].to_numpy(), pdf["doc"].to_numpy(), pdf["pos"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64), pdf["text"].tolist(), length)
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[found[:, 0]], "start": found[:, 1], "stop": found[:, 1] + length})
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[found[:, 0]], "start": found[:, 1], "stop": found[:, 1] + length})
 
     small = shared.filter(F.col("n") <= large).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    covered = small.groupBy("bucket").applyInPandas(run, "doc long, start long, stop long")
+    covered = small.groupBy("bucket").applyInPandas(run, "row long, start long, stop long")
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("hi").cast("int") - F.col("lo")), lambda o: F.struct((F.col("pos") - F.col("hi") + o).cast("long").alias("start"), o.alias("o"))))
-    windows = shared.filter(F.col("n") > large).select("doc", "text", each.alias("w")).select("doc", "w.start", F.md5(F.substring("text", F.col("w.o") + 1, F.lit(length))).alias("window"))
+    windows = shared.filter(F.col("n") > large).select("row", "doc", "text", each.alias("w")).select("row", "doc", "w.start", F.md5(F.substring("text", F.col("w.o") + 1, F.lit(length))).alias("window"))
     first = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("f"))
     late = windows.join(first, "window").filter("doc != f.doc or start != f.start")
-    return covered.unionByName(late.select("doc", "start", (F.col("start") + length).alias("stop")))
+    return covered.unionByName(late.select("row", "start", (F.col("start") + length).alias("stop")))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, id_col: str = "doc_id", text_col: str = "text", payload_col: str | None = None) -> DataFrame:
@@ -227,31 +231,33 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
     Texts are UTF-8 (null: empty), ids whole numbers.  A byte goes if a string of ``length`` bytes that
     covers it also starts earlier: at a smaller id, or earlier in the same text.  Nothing is
     compared with what is left.  Null ids come before all others.  Rows that repeat an id share one place in the order;
-    a string isn't earlier than itself at the same id and start.  With ``payload_col`` that column is
-    carried along in place of the id.
+    a string isn't earlier than itself at the same id and start.  Places and spans are kept by id and text, so
+    different texts of one id (or of none) have their own.  With ``payload_col`` that column is carried along in
+    place of the id.
     """
     carried = payload_col or id_col
     source = df.select(F.col(carried), F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b"")).alias("data"))
-    docs = source.select("doc", "data")
+    source = source.withColumn("_row", F.xxhash64("doc", "data"))
+    docs = source.select("doc", "data", F.col("_row").alias("row"))
     reach = length - gram
     marked = cut(first_anchors(anchor_table(docs, length, gram)), "anchors")
-    firsts = marked.filter("first").groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    n = marked.select("doc").distinct().count()
+    firsts = marked.filter("first").groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    n = marked.select("row").distinct().count()
     bits = shard_bits(n, 50_000)
-    root, _ = write_store(firsts.select(F.col("doc").alias("key"), "places"), "anchors", bits, {}, "places", "<i4")
+    root, _ = write_store(firsts.select(F.col("row").alias("key"), "places"), "anchors", bits, {}, "places", "<i4")
     covers = window_covers(half_windows(docs, root, bits, length, gram), length, large)
-    copies = marked.filter("not first").select("doc", (F.col("pos") - reach).cast("long").alias("start"), (F.col("pos") + gram + reach).cast("long").alias("stop"))
-    spans = copies.unionByName(covers).groupBy("doc").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "stop")))).alias("spans"))
-    held, _ = write_store(spans.select(F.col("doc").alias("key"), "spans"), "covers", bits, {}, "spans", "<i8")
+    copies = marked.filter("not first").select("row", (F.col("pos") - reach).cast("long").alias("start"), (F.col("pos") + gram + reach).cast("long").alias("stop"))
+    spans = copies.unionByName(covers).groupBy("row").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "stop")))).alias("spans"))
+    held, _ = write_store(spans.select(F.col("row").alias("key"), "spans"), "covers", bits, {}, "spans", "<i8")
     kind = df.schema[carried].dataType.simpleString()
 
     def run(batches):
         store = open_store(held, bits)
         for part in byte_slices(batches, column=2):
-            doc = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.argsort(doc, kind="stable")
-            found: list = [None] * len(doc)
-            for i, x in zip(order.tolist(), store.payloads(doc[order]), strict=True):
+            row = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.argsort(row, kind="stable")
+            found: list = [None] * len(row)
+            for i, x in zip(order.tolist(), store.payloads(row[order]), strict=True):
                 found[i] = x
             kept, gone = [], []
             for i, raw in enumerate(found):
@@ -267,7 +273,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
             sizes = [len(x.as_py()) for x in part.column(2)]
             yield batch_of(schema, [part.column(0), sizes, kept, gone])
 
-    return source.mapInArrow(run, f"`{carried}` {kind}, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>")
+    return source.select(F.col(carried), "_row", "data").mapInArrow(run, f"`{carried}` {kind}, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>")
 
 
 def united(spans: np.ndarray, size: int) -> list[tuple[int, int]]:

@@ -402,6 +402,21 @@ def test_suffix_dedup_of_large_groups(spark):
         expect(got, brute_repeats(docs))
 
 
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    twice, shared, other = text(300), text(150), text(400)
+    docs = [(1, twice), (1, twice), (2, shared + text(80)), (2, text(70) + shared), (3, "x" + twice), (4, other), (4, text(250))]
+    docs += [(None, text(60) + other[:120]), (None, text(500)), (None, shared), (None, text(40) + shared), (5, other), (5, other)]
+    schema = "doc_id long, text string"
+    for large in (2, 10_000):
+        got = suffix.remove_repeats(spark.createDataFrame(docs, schema), large=large).select("doc_id", "n_bytes", F.col("n_bytes") - F.length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
+        expect(got, brute_repeats(docs))
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in docs[:2]]
+    left = corpus_pipeline.suffix_stage(spark, spark.createDataFrame(rows, f"{schema}, lang string, source string, n_chars long"), "").collect()
+    assert [(r.doc_id, r.text) for r in left] == docs[:2]
+
+
 def test_language(spark, folder):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = rows_of(spark, folder, "op10_language")
