@@ -123,6 +123,14 @@ def test_nearest_against_numpy(spark):
     assert got == {(i, k + 1): 100 + int(j) for i in range(5) for k, j in enumerate(np.argsort(far[i])[:3])}
 
 
+def test_training_cost_of_every_event(spark):
+    rows = catalogue.flow_view(spark, SF).select("seq", F.floor(F.col("us") / 1_000_000).alias("s"), "label", "k").collect()
+    got = {r.seq: (r.s, r.cost) for r in entry.queries()["training_cost_all"](spark, SF).collect()}
+    assert set(got) == {r.seq for r in rows}
+    for r in rows:
+        assert got[r.seq] == (r.s, pytest.approx(sum(x.k or 0 for x in rows if x.label == 1 and r.s - 1800 <= x.s < r.s + 1800)))
+
+
 def test_replay_modes(spark, tmp_path):
     rng = random.Random(2)
     rows = [("a", i, float(i * 10), i % 2, i % 2 + rng.random() / 4, rng.random()) for i in range(400)]
