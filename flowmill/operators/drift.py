@@ -7,50 +7,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Current-window vectors compared at once; a window is bounded by its configured length.
-BLOCK = 2000
+#: Vectors of a block.
+BLOCK = 1000
 
 
-def nearest(current: DataFrame, past: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def blocks(df: DataFrame, id_col: str, vector: str, side: str) -> DataFrame:
+    """One row (ids, vectors) for each block of rows, as bytes of longs and doubles; null vectors are left out."""
+    schema = pa.schema([(f"{side}_ids", pa.binary()), (f"{side}_vectors", pa.binary())])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                held.append(batch.slice(start, BLOCK))
+                n += held[-1].num_rows
+                if n >= BLOCK:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
+
+    def block(parts):
+        ids = np.concatenate([p.column(0).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+        table = np.array([v for p in parts for v in p.column(1).to_pylist()], np.float64)
+        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], schema=schema)
+
+    return df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(run, f"{side}_ids binary, {side}_vectors binary")
+
+
+def nearest(current: DataFrame, past: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", itself: bool = True) -> DataFrame:
     """(id, neighbour, score, rank): for each current row its k best past rows.
 
     ``l2`` is the squared distance, least first; ``cosine`` the cosine, largest first, null for zero
-    vectors.  The stated query set goes block by block against all past rows, where they are; each batch
-    gives its own k best, so k rows for each query and batch are shuffled.  Null vectors are left out.
+    vectors.  Blocks of current rows meet blocks of past rows in the tasks; each pair of blocks gives its own k
+    best of each current row, which are shuffled.  Null vectors are left out.  Without ``itself`` a row isn't its
+    own neighbour, so the sides may overlap.
     """
-    rows = current.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector)).orderBy(id_col).collect()
-    blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
-    parts = [_block(b, past, k, metric, id_col, vector) for b in blocks]
-    if not parts:
-        return current.sparkSession.createDataFrame([], f"`{id_col}` long, neighbour long, score double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = F.col("score") if metric == "l2" else F.desc("score")
-    w = Window.partitionBy(id_col).orderBy(best, "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _block(rows: list, past: DataFrame, k: int, metric: str, id_col: str, vector: str) -> DataFrame:
-    ids = np.array([r[0] for r in rows], np.int64)
-    table = np.array([r[1] for r in rows], np.float64)
+    pairs = blocks(current.repartition(id_col), id_col, vector, "a").crossJoin(blocks(past, id_col, vector, "b"))
     schema = pa.schema([(id_col, pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            others = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            if metric == "l2":
-                score = ((table[:, None, :] - others[None, :, :]) ** 2).sum(axis=2) if table.size * len(others) < 5e7 else (table**2).sum(1)[:, None] - 2 * table @ others.T + (others**2).sum(1)
-                order = score
-            else:
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score = table @ others.T / (np.linalg.norm(table, axis=1)[:, None] * np.linalg.norm(others, axis=1))
-                order = -score
-            top = np.lexsort((np.broadcast_to(names, order.shape), order), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(names[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], schema=schema)
-
-    return past.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(run, f"`{id_col}` long, neighbour long, score double")
+            for i in range(batch.num_rows):
+                ids, table, names, others = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate(("<i8", "<f8", "<i8", "<f8")))
+                table, others = table.reshape(len(ids), -1), others.reshape(len(names), -1)
+                score = np.empty((len(ids), len(names)))
+                if metric == "l2":
+                    for j, x in enumerate(table):
+                        score[j] = ((others - x) ** 2).sum(1)
+                    order = score
+                else:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score = table @ others.T / (np.linalg.norm(table, axis=1)[:, None] * np.linalg.norm(others, axis=1))
+                    order = -score
+                own = np.zeros(order.shape, bool) if itself else ids[:, None] == names
+                top = np.lexsort((np.broadcast_to(names, order.shape), order, own), axis=1)[:, :k]
+                left, right, best = np.repeat(ids, top.shape[1]), names[top].ravel(), np.take_along_axis(score, top, 1).ravel()
+                good = ~np.take_along_axis(own, top, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (left, right, best)], schema=schema)
+
+    found = pairs.mapInArrow(run, f"`{id_col}` long, neighbour long, score double")
+    best = F.col("score") if metric == "l2" else F.desc("score")
+    w = Window.partitionBy(id_col).orderBy(best, "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def drift_score(current: DataFrame, past: DataFrame, k: int, theta: float, metric: str = "l2", **names: str) -> DataFrame:

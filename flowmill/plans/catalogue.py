@@ -255,6 +255,13 @@ def knn_l2(spark, sf_dir):
     return drift.nearest(*sides(spark, sf_dir), 8).select("vec_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(L2.replace("embeddings WHERE vec_id % 100 <> 0", "embeddings").replace("FROM q, p)", "FROM q, p WHERE vec_id <> neighbour)") + ' SELECT vec_id, neighbour, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
+def knn_l2_all(spark, sf_dir):
+    """The queries of ``knn_l2`` against all other rows; ``knn_l2`` leaves its queries out of the searched side, as its SQL does."""
+    found = drift.nearest(sides(spark, sf_dir)[0], table(spark, sf_dir, "embeddings"), 8, itself=False)
+    return found.select("vec_id", "neighbour", "rank", F.round("score", 4).alias("score"))
+
+
 @query(L2 + ' SELECT round(avg(score), 4) AS score, avg(score) > 0.025 AND (SELECT count(*) FROM q) >= 8 AND (SELECT count(*) FROM p) >= 8 AS detected FROM t WHERE "rank" <= 8')
 def knn_l2_drift(spark, sf_dir):
     return drift.drift_score(*sides(spark, sf_dir), 8, 0.025)

@@ -123,6 +123,18 @@ def test_nearest_against_numpy(spark):
     assert got == {(i, k + 1): 100 + int(j) for i in range(5) for k, j in enumerate(np.argsort(far[i])[:3])}
 
 
+def test_nearest_among_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4))
+    x[200] = x[100]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_id, r["rank"]): r.neighbour for r in entry.queries()["knn_l2_all"](spark, str(tmp_path)).collect()}
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(0, 500, 100) for k, j in enumerate(np.argsort(far[i], kind="stable")[:8])}
+    assert got[100, 1] == 200 and got[200, 1] == 100
+
+
 def test_training_cost_of_every_event(spark):
     rows = catalogue.flow_view(spark, SF).select("seq", F.floor(F.col("us") / 1_000_000).alias("s"), "label", "k").collect()
     got = {r.seq: (r.s, r.cost) for r in entry.queries()["training_cost_all"](spark, SF).collect()}
