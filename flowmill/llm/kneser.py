@@ -1,13 +1,15 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays in the
+"""Interpolated modified Kneser-Ney model of a given order: counted in Spark, stored as sorted hash arrays in the
 shared folder, memory-mapped by the workers that score texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, followed by one end token for each text.  The stores hold
 
 * ``words``: hash of a word, its count, its continuation count (distinct words before it), and as a
   context its tokens and its successors seen once, twice and more often;
-* ``pairs``: hash of two neighbouring words and their count.
+* a level for each order from two on: hash of its grams and their count.  Below the highest order the count is
+  of distinct words before the gram (of occurrences, where the gram begins a text), and the level has
+  the gram's statistics as a context as well.
 
-The order is two: trigrams of a corpus with an open vocabulary would take several times the input on disk.
+A gram's hash is that of its first and its last words but one, so a level is counted from two hashes a row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, byte_slices, cut, mix, shared_path, texts_of
-from .store import open_store, publish, shard_bits, write_store
+from .store import open_store, publish, shard_bits, shard_column, write_store
 
 #: Hashes of the begin and end tokens: of bytes that no word has.
 BEGIN, END = xxhash.xxh3_64_intdigest(b"\n<"), xxhash.xxh3_64_intdigest(b"\n>")
@@ -58,6 +60,23 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix(mix(left) * np.uint64(3) + right)
 
 
+def grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from two on: (context, last, token, begins) of the grams that end at a token.
+
+    A text's first gram of each order starts with the begin token and ``begins``; ``token`` is the place among all tokens.
+    """
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    context, last, place = before(tokens, counts), tokens, np.arange(len(tokens))
+    out = [(context, last, place, at == 0)]
+    for m in range(3, order + 1):
+        keys = pair_hash(context, last)
+        inner = at[place] >= m - 2
+        # the gram that ends one token before is the row before: a text's rows follow each other
+        context, last, place = keys[np.flatnonzero(inner) - 1], keys[inner], place[inner]
+        out.append((context, last, place, at[place] == m - 2))
+    return out
+
+
 def before(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The token before each, the begin token at the start of a text."""
     out = np.empty_like(tokens)
@@ -95,23 +114,25 @@ def _summed(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return signed(keys), np.bincount(where, weights=np.concatenate([n for _, n in kept])).astype(np.int64)
 
 
-def count_pairs(train: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """(shard, v, w, n): partial counts of neighbouring tokens, summed over some millions of tokens at a time."""
+def count_grams(train: DataFrame, text_col: str, bits: int, order: int) -> DataFrame:
+    """(shard, v, w, n, begins): partial counts of grams by the hashes of their first and last words but one, summed
+    over some millions of tokens at a time."""
 
     def run(batches):
         hasher = Hasher()
-        schema = pa.schema([("shard", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("shard", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("begins", pa.bool_())])
         kept, held = [], 0
 
         def flush():
-            left, right = (np.concatenate(x) for x in zip(*kept, strict=True))
+            left, right, begins = (np.concatenate(x) for x in zip(*kept, strict=True))
             keys, first, n = np.unique(pair_hash(left, right), return_index=True, return_counts=True)
             shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-            return batch_of(schema, [shard, signed(left[first]), signed(right[first]), n])
+            return batch_of(schema, [shard, signed(left[first]), signed(right[first]), n, begins[first]])
 
         for part in byte_slices(batches, column=0):
             tokens, counts = hasher(texts_of(part, 0))
-            kept.append((before(tokens, counts), tokens))
+            left, right, _, begins = grams(tokens, counts, order)[-1]
+            kept.append((left, right, begins))
             held += len(tokens)
             if held > FLUSH:
                 yield flush()
@@ -119,21 +140,22 @@ def count_pairs(train: DataFrame, text_col: str, bits: int) -> DataFrame:
         if kept:
             yield flush()
 
-    return train.select(F.col(text_col).cast("string")).mapInArrow(run, "shard int, v long, w long, n long")
+    return train.select(F.col(text_col).cast("string")).mapInArrow(run, "shard int, v long, w long, n long, begins boolean")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Roots of the stores, corpus totals and discounts; small, so it travels with the tasks."""
+    """Roots of the stores, corpus totals and discounts; small, so it travels with the tasks.
+
+    ``levels`` has (root, bits, discounts) of the orders from two on.
+    """
 
     words: str
     word_bits: int
-    pairs: str
-    pair_bits: int
+    levels: tuple[tuple[str, int, tuple[float, float, float]], ...]
     tokens: int
     distinct: int
     pair_types: int
-    pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_types: tuple[int, int, int]
 
@@ -147,20 +169,27 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), k + 0.999) for k, d in enumerate(found))
 
 
-def train(df: DataFrame, text_col: str = "text") -> Model:
-    """Count the texts of ``df`` (null: empty) and write the model's stores."""
-    spark = df.sparkSession
-    unigrams = cut(count_tokens(df, text_col), "unigrams")
-    tokens, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pair_bits = shard_bits(max(1, tokens // 2), PAIRS_PER_SHARD)
-    pairs = shared_path(spark, "pairs")
+def count_level(df: DataFrame, text_col: str, order: int, bits: int, above: DataFrame | None) -> tuple[tuple[str, int, tuple[float, float, float]], int, DataFrame]:
+    """Write the store of an order's grams; gives the level, its number of grams and what they add to the level below.
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sum a shard's pairs, publish them and return what they add to the words' statistics."""
+    ``above`` has the statistics of these grams from the next order's, None at the highest.
+    """
+    root = shared_path(df.sparkSession, f"grams-{order}")
+
+    def write(pdf: pd.DataFrame, more: pd.DataFrame | None = None) -> pd.DataFrame:
+        """Sum a shard's grams, publish them and return what they add to the statistics below."""
         left, right = pdf["v"].to_numpy(np.int64).view(np.uint64), pdf["w"].to_numpy(np.int64).view(np.uint64)
         keys, first, where = np.unique(pair_hash(left, right), return_index=True, return_inverse=True)
         n = np.bincount(where, weights=pdf["n"].to_numpy()).astype(np.int64)
-        at = f"{pairs}/{int(pdf['shard'].iloc[0]):05d}"
+        at = f"{root}/{int(pdf['shard'].iloc[0]):05d}"
+        if more is not None:
+            own = np.searchsorted(keys, more["key"].to_numpy(np.int64).view(np.uint64))
+            stats = {c: np.zeros(len(keys), np.int64) for c in STATS}
+            for c in STATS:
+                stats[c][own] = more[c].to_numpy()
+            n = np.where(pdf["begins"].to_numpy(bool)[first], n, stats["continuations"])
+            for c in STATS[:-1]:
+                publish(f"{at}.{c}.npy", np.minimum(stats[c], 0xFFFFFFFF).astype(np.uint32))
         publish(f"{at}.key.npy", keys)
         publish(f"{at}.n.npy", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
         context, own = np.unique(left[first], return_inverse=True)
@@ -171,36 +200,64 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
         out = pd.concat([as_context.assign(total=False), as_word.assign(total=False), totals.assign(total=True)])
         return out.astype({c: "int64" for c in STATS})
 
-    rows = count_pairs(df, text_col, pair_bits)
+    rows = count_grams(df, text_col, bits, order).groupBy("shard")
     kind = "key long, " + ", ".join(f"{c} long" for c in STATS) + ", total boolean"
-    parts = cut(rows.groupBy("shard").applyInPandas(write, kind), "pair-stats")
+    if above is None:
+        done = rows.applyInPandas(lambda pdf: write(pdf), kind)
+    else:
+        done = rows.cogroup(above.withColumn("shard", shard_column(F.col("key"), bits)).groupBy("shard")).applyInPandas(lambda a, b: write(a, b), kind)
+    parts = cut(done, f"stats-{order}")
     p1, p2, p3, p4, types = parts.filter("total").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in STATS)).first()
     stats = parts.filter("not total").groupBy("key").agg(*(F.sum(c).alias(c) for c in STATS))
+    return (root, bits, discounts(p1, p2, p3, p4)), int(types), stats
+
+
+def train(df: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Count the texts of ``df`` (null: empty) up to ``order`` words and write the model's stores."""
+    unigrams = cut(count_tokens(df, text_col), "unigrams")
+    tokens, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    bits = shard_bits(max(1, tokens // 2), PAIRS_PER_SHARD)
+    levels, stats = [], None
+    for m in range(order, 1, -1):
+        level, types, stats = count_level(df, text_col, m, bits, stats)
+        levels.insert(0, level)
     words = cut(unigrams.join(stats, "key", "full").na.fill(0), "words")
     w = words.agg(*(F.count_if(F.col("continuations") == k) for k in (1, 2, 3, 4)), F.count_if(F.col("continuations") > 2), F.count("*")).first()
     word_bits = shard_bits(w[5])
     root, _ = write_store(words, "words", word_bits, {c: "uint32" if c != "n" else "int64" for c in ("n", *STATS)})
-    return Model(root, word_bits, pairs, pair_bits, int(tokens), int(distinct), int(types), discounts(p1, p2, p3, p4), discounts(w[0], w[1], w[2], w[3]), (int(w[0]), int(w[1]), int(w[4])))
+    return Model(root, word_bits, tuple(levels), int(tokens), int(distinct), types, discounts(w[0], w[1], w[2], w[3]), (int(w[0]), int(w[1]), int(w[4])))
 
 
-def probabilities(model: Model, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each right token after the left one, and the right token's training count."""
-    store, pairs = open_store(model.words, model.word_bits), open_store(model.pairs, model.pair_bits)
-    keys, where = np.unique(pair_hash(left, right), return_inverse=True)
-    _, (count,) = pairs.numbers(keys, ["n"])
+def mixed(model_level: tuple, context: np.ndarray, last: np.ndarray, stats: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+    """Probabilities of one order from those of the order below; ``stats`` are the contexts' tokens and n1 to n3."""
+    root, bits, (e1, e2, e3) = model_level
+    keys, where = np.unique(pair_hash(context, last), return_inverse=True)
+    _, (count,) = open_store(root, bits).numbers(keys, ["n"])
     c = count[where]
-    tokens, own = np.unique(np.concatenate([left, right]), return_inverse=True)
-    _, (n, total, n1, n2, n3, cont) = store.numbers(tokens, ["n", *STATS])
+    size, n1, n2, n3 = stats
+    back = e1 * n1 + e2 * n2 + e3 * n3
+    seen = np.maximum(c - np.select([c == 0, c == 1, c == 2], [0.0, e1, e2], e3), 0)
+    return np.where(size > 0, (seen + back * lower) / np.maximum(size, 1), lower)
+
+
+def probabilities(model: Model, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each token after those before it in its text, and its training count."""
+    by_order = grams(tokens, counts, len(model.levels) + 1)
+    left = by_order[0][0]
+    store = open_store(model.words, model.word_bits)
+    distinct, own = np.unique(np.concatenate([left, tokens]), return_inverse=True)
+    _, (n, *stats, cont) = store.numbers(distinct, ["n", *STATS])
     context, word = own[: len(left)], own[len(left) :]
     d1, d2, d3 = model.word_discounts
     a = cont[word]
     lower_mass = (d1 * model.word_types[0] + d2 * model.word_types[1] + d3 * model.word_types[2]) if model.pair_types else 1.0
-    lower = (np.maximum(a - np.select([a == 0, a == 1, a == 2], [0.0, d1, d2], d3), 0) + lower_mass / (model.distinct + 1)) / max(1, model.pair_types)
-    e1, e2, e3 = model.pair_discounts
-    size = total[context]
-    back = (e1 * n1 + e2 * n2 + e3 * n3)[context]
-    seen = np.maximum(c - np.select([c == 0, c == 1, c == 2], [0.0, e1, e2], e3), 0)
-    p = np.where(size > 0, (seen + back * lower) / np.maximum(size, 1), lower)
+    p = (np.maximum(a - np.select([a == 0, a == 1, a == 2], [0.0, d1, d2], d3), 0) + lower_mass / (model.distinct + 1)) / max(1, model.pair_types)
+    p = mixed(model.levels[0], left, tokens, [x[context] for x in stats], p)
+    for m, (first, last, place, _) in enumerate(by_order[1:], 1):
+        root, bits, _ = model.levels[m - 1]
+        keys, where = np.unique(first, return_inverse=True)
+        _, found = open_store(root, bits).numbers(keys, list(STATS[:-1]))
+        p[place] = mixed(model.levels[m], first, last, [x[where] for x in found], p[place])
     return np.log10(p), n[word]
 
 
@@ -215,7 +272,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         hasher, schema = Hasher(), None
         for part in byte_slices(batches):
             tokens, counts = hasher(texts_of(part))
-            logs, n = probabilities(model, before(tokens, counts), tokens)
+            logs, n = probabilities(model, tokens, counts)
             base = np.log10(n + 1) - math.log10(model.tokens + model.distinct + 1)
             at = np.cumsum(counts) - counts
             known, low, high = (np.add.reduceat(x, at) for x in ((n > 0).astype(np.int64), base, logs))

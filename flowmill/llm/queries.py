@@ -62,13 +62,17 @@ def held_out(parts: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_kneser_ney(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = kneser.train(docs.filter(~held_out(7, 2)))
+    model = kneser.train(docs.filter(~held_out(7, 2)), order=order)
     scored = kneser.score(docs, model)
     return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op8_kneser_ney_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_kneser_ney(spark, sf_dir, 3)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,7 +85,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op9_suffix_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op8_kneser_ney_trigrams, op9_suffix_dedup, op10_language)}
 
 #: DuckDB SQL of the rows whose every column SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql()}

@@ -367,6 +367,37 @@ def test_kneser_ney(spark, folder, docs):
         assert any((r.n_tokens, r.n_known) == w[:2] and r.base_score == pytest.approx(w[2]) and r.score == pytest.approx(w[3]) for w in wanted[r.doc_id])
 
 
+@pytest.mark.parametrize("order", (3, 4))
+def test_kneser_ney_of_higher_order(spark, order):
+    rng = random.Random(5)
+    train = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(12))) for _ in range(60)] + [None]
+    asked = ["a b c d", "", "f e zz a b", "zz", "a b"]
+    tokens = lambda t: ["<", *(t or "").split(), None]
+    raw = [Counter(tuple(own[i : i + m]) for own in map(tokens, train) for i in range(len(own) - m + 1)) for m in range(order + 1)]
+    counts = {order: raw[order]}
+    for m in range(order - 1, 0, -1):
+        left = Counter(g[1:] for g in raw[m + 1])
+        counts[m] = {g: raw[m][g] if g[0] == "<" else left[g] for g in raw[m] if g != ("<",)}
+    v = len(counts[1])
+    of = {m: kneser.discounts(*(sum(c == k for c in counts[m].values()) for k in (1, 2, 3, 4))) for m in counts}
+
+    def p(context, w):
+        m = len(context) + 1
+        c = {g[-1]: c for g, c in counts[m].items() if g[:-1] == context}
+        low = p(context[1:], w) if context else 1 / (v + 1)
+        if not c:
+            return low
+        cut = {x: min(n, of[m][min(n, 3) - 1]) for x, n in c.items()}
+        back = sum(of[m][min(n, 3) - 1] for n in c.values())
+        return (c.get(w, 0) - cut.get(w, 0) + back * low) / sum(c.values())
+
+    model = kneser.train(spark.createDataFrame([(t,) for t in train], "text string"), order=order)
+    got = kneser.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for r in got:
+        own = tokens(asked[r.doc_id])
+        assert r.score == pytest.approx(sum(np.log10(p(tuple(own[max(0, i - order + 1) : i]), own[i])) for i in range(1, len(own))))
+
+
 def brute_repeats(docs, length=100):
     first = {}
     order = sorted(docs, key=lambda x: -(1 << 63) if x[0] is None else x[0])
