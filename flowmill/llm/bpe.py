@@ -178,7 +178,7 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     folded = fold_pieces(words, ranks).select(F.xxhash64("word").alias("key"), "ids")
     n = words.count()
     bits = shard_bits(n)
-    root, stored = write_store(folded, "bpe", bits, {}, "ids", "<i4")
+    root, stored = write_store(folded, "bpe", bits, [], "ids", "<i4")
     if stored != n:
         raise ValueError("pieces were lost")
 

@@ -20,13 +20,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # a session without one, as in tests: driver and tasks are on one machine there
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="flowmill-")
-            spark.sparkContext.setCheckpointDir(root)
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session may go without one, as in tests: its tasks and its driver are on one machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="flowmill-")
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -38,7 +41,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: later steps survive lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once everything derived from them is itself written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: int = 1, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -57,6 +70,24 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def words_of(column: pa.Array, unicode: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes of all words of a column of texts, the number of words of each text, and the distinct words.
+
+    Words lie between the blanks above and have A-Z lowered; with ``unicode`` they lie between Unicode white
+    space and keep their case.  Null texts have no words.
+    """
+    texts = pc.fill_null(column, "")
+    parts = pc.utf8_split_whitespace(texts) if unicode else pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    if "" in words:  # beside blanks at the ends of a text
+        full = codes != words.index("")
+        counts = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(counts)])])
+        codes = codes[full]
+    return codes, counts, words
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64), elementwise on uint64."""
     with np.errstate(over="ignore"):

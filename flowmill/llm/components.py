@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         kept = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = kept.groupBy("u").agg(F.min("v").alias("m"))
         small = kept.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:
             break

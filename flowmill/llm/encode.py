@@ -2,11 +2,13 @@
 
 Both pre-tokenizers in use never let a match cross the edges of the chunks below, so a text's ids are
 the concatenation of its chunks' ids and a worker encodes each distinct chunk once.  The cache of a
-worker is bounded; when full it starts anew.
+worker is bounded; when full it starts anew.  Where white space only separates, ``store_words`` encodes each
+distinct word of the corpus once and workers look ids up in the store.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Callable
@@ -14,15 +16,23 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ragged_take
+from .common import batch_of, byte_slices, cut, drop, ragged_take, words_of
+from .store import open_store, shard_bits, write_store
 
 #: An optional single space with the non-blank run after it, or blanks (Unicode white space).
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python but not to Unicode: texts with these are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
 CACHE = 300_000
+#: Distinct words that a task remembers, so as not to send them twice; seed of Spark's xxhash64.
+SEEN, SEED = 500_000, 42
 
 
 class ChunkEncoder:
@@ -94,6 +104,7 @@ class ChunkEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool, offsets: bool = False) -> ChunkEncoder:
     """A worker's encoder for a ``tokenizers`` file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
@@ -109,3 +120,64 @@ def encoder(path: str, spaced: bool, offsets: bool = False) -> ChunkEncoder:
         return np.array(ids, np.int32), np.array(sizes, np.int64), np.array(chars, np.int32).reshape(-1, 2) if offsets else None
 
     return ChunkEncoder(encode_chunks, spaced)
+
+
+def slice_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes, counts and distinct words of a column; texts with odd white space count as one word each."""
+    texts = pc.fill_null(column, "")
+    odd = pc.match_substring_regex(texts, ODD.pattern)
+    if not pc.any(odd).as_py():
+        return words_of(texts, unicode=True)
+    coded = pa.array([w for t in texts.to_pylist() for w in ([t] if ODD.search(t) else t.split())], pa.string()).dictionary_encode()
+    counts = [1 if ODD.search(t) else len(t.split()) for t in texts.to_pylist()]
+    return coded.indices.to_numpy(zero_copy_only=False), np.array(counts, np.int64), coded.dictionary.to_pylist()
+
+
+def store_words(df: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[str, int]:
+    """Encode the distinct words of all texts once; gives the root and the bits of the store of their ids.
+
+    For tokenizers to which white space only separates.
+    """
+
+    def distinct(batches):
+        seen: set[str] = set()
+        schema = pa.schema([("word", pa.string())])
+        for part in byte_slices(batches, column=0):
+            new = set(slice_words(part.column(0))[2]) - seen
+            if len(seen) > SEEN:
+                seen = set()
+            seen |= new
+            yield batch_of(schema, [list(new)])
+
+    def encoded(batches):
+        coder, schema = encoder(tokenizer, False), pa.schema([("word", pa.string()), ("ids", pa.binary())])
+        for part in byte_slices(batches, column=0, budget=256 << 10):
+            ids, sizes, _ = coder.encode_chunks(part.column(0).to_pylist())
+            raw, ends = memoryview(ids.astype("<i4").tobytes()), (np.cumsum(sizes) * 4).tolist()
+            yield batch_of(schema, [part.column(0), [raw[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]])
+
+    words = cut(df.select(F.col(text_col).cast("string")).mapInArrow(distinct, "word string").distinct(), "words")
+    rows = words.mapInArrow(encoded, "word string, ids binary").select(F.xxhash64("word").alias("key"), "ids")
+    n = words.count()
+    bits = shard_bits(n)
+    root, stored = write_store(rows, "word-ids", bits, [], "ids")
+    if stored != n:
+        raise ValueError("words were lost")
+    drop(words)
+    return root, bits
+
+
+def stored_ids(root: str, bits: int, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of texts in one array and the number of ids of each, from a store of words."""
+    codes, counts, words = slice_words(column)
+    keys = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    ids, starts, sizes = open_store(root, bits).ragged(keys[order], "<i4")
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    codes = at[codes]
+    if len(codes) and sizes[codes].min() < 0:
+        raise KeyError("a word isn't in the store")
+    upto = np.concatenate([[0], np.cumsum(sizes[codes])])
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    return ids[ragged_take(starts[codes], sizes[codes])], upto[edges[1:]] - upto[edges[:-1]]

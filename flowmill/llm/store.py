@@ -3,8 +3,9 @@
 A table of (key, values) rows is split by the high bits of its 64-bit key.  Each shard becomes one file
 of sorted keys and one file for each numeric column; a ``payload`` column of bytes becomes an offset
 file and a data file.  Tasks write under a temporary name and rename, so retried and speculative tasks
-leave whole files.  A worker maps a shard at first use; only the pages it touches are read.  Where the
-shared folder isn't a mounted file system, the worker copies the shard to a nameless temporary file.
+leave whole files.  The driver then writes the list of shards, so that a file that is missing later is an
+error and not a shard without keys.  A worker maps a shard at first use; only the pages it touches are read.
+Where the shared folder isn't a mounted file system, the worker copies the shard to a nameless temporary file.
 """
 
 from __future__ import annotations
@@ -61,6 +62,16 @@ def mapped(path: str) -> np.ndarray:
     return array
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds all of them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def publish_shards(root: str, shards: list[int]) -> None:
+    publish(f"{root}/shards.npy", np.array(sorted(shards), np.int64))
+
+
 def shard_bits(rows: int, per_shard: int = ROWS_PER_SHARD) -> int:
     bits = 0
     while rows > per_shard << bits:
@@ -73,8 +84,8 @@ def shard_column(key, bits: int):
     return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def write_store(df: DataFrame, name: str, bits: int, columns: dict[str, str], payload: str | None = None, payload_dtype: str | None = None) -> tuple[str, int]:
-    """Store ``df`` by its column ``key`` (distinct longs); ``columns`` maps a name to a numpy dtype.
+def write_store(df: DataFrame, name: str, bits: int, columns: list[str], payload: str | None = None, payload_dtype: str | None = None) -> tuple[str, int]:
+    """Store ``df`` by its column ``key`` (distinct longs); ``columns`` are counts, stored as narrow as they fit.
 
     ``payload`` is a binary column, or with ``payload_dtype`` an array column stored as that type.
     """
@@ -85,8 +96,8 @@ def write_store(df: DataFrame, name: str, bits: int, columns: dict[str, str], pa
         order = np.argsort(keys, kind="stable")
         at = f"{root}/{int(pdf['shard'].iloc[0]):05d}"
         publish(f"{at}.key.npy", keys[order])
-        for column, dtype in columns.items():
-            publish(f"{at}.{column}.npy", pdf[column].to_numpy()[order].astype(dtype))
+        for column in columns:
+            publish(f"{at}.{column}.npy", narrow(pdf[column].to_numpy(np.int64)[order]))
         if payload:
             values = pdf[payload].to_numpy()[order].tolist()
             if payload_dtype:
@@ -98,8 +109,9 @@ def write_store(df: DataFrame, name: str, bits: int, columns: dict[str, str], pa
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(pdf)]})
 
     rows = df.select("key", *columns, *([payload] if payload else [])).withColumn("shard", shard_column(F.col("key"), bits))
-    written = rows.groupBy("shard").applyInPandas(write, "shard int, n long")
-    return root, int(written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    written = rows.groupBy("shard").applyInPandas(write, "shard int, n long").collect()  # one row a shard
+    publish_shards(root, [r.shard for r in written])
+    return root, sum(r.n for r in written)
 
 
 class Store:
@@ -107,13 +119,14 @@ class Store:
 
     def __init__(self, root: str, bits: int) -> None:
         self.root, self.bits, self.files = root, bits, {}
+        self.shards = frozenset(mapped(f"{root}/shards.npy").tolist())
 
     def array(self, shard: int, name: str) -> np.ndarray | None:
+        """A shard's array, None if no key falls into the shard; a lost file raises FileNotFoundError."""
+        if shard not in self.shards:
+            return None
         if (shard, name) not in self.files:
-            try:
-                self.files[shard, name] = mapped(f"{self.root}/{shard:05d}.{name}.npy")
-            except FileNotFoundError:  # no key falls into this shard
-                self.files[shard, name] = None
+            self.files[shard, name] = mapped(f"{self.root}/{shard:05d}.{name}.npy")
         return self.files[shard, name]
 
     def _hits(self, keys: np.ndarray):
