@@ -70,7 +70,7 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def words_of(column: pa.Array, unicode: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def words_of(column: pa.Array, unicode: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of all words of a column of texts, the number of words of each text, and the distinct words.
 
     Words lie between the blanks above and have A-Z lowered; with ``unicode`` they lie between Unicode white
@@ -80,14 +80,27 @@ def words_of(column: pa.Array, unicode: bool = False) -> tuple[np.ndarray, np.nd
     parts = pc.utf8_split_whitespace(texts) if unicode else pc.ascii_split_whitespace(pc.ascii_lower(texts))
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    if "" in words:  # beside blanks at the ends of a text
-        full = codes != words.index("")
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    if (empty := pc.index(words, "").as_py()) >= 0:  # beside blanks at the ends of a text
+        full = codes != empty
         counts = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(counts)])])
         codes = codes[full]
     return codes, counts, words
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct strings: sums of a random number for each byte times powers of an odd base, mixed."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(words) else np.zeros(0, np.uint8)
+    ends = ends - ends[0] if len(words) else np.zeros(1, np.int64)
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, np.uint64(0xD1342543DE82EF97)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * powers[place], dtype=np.uint64)])
+        return mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64), elementwise on uint64."""
     with np.errstate(over="ignore"):
@@ -105,3 +118,8 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+#: A random number for each byte.
+with np.errstate(over="ignore"):
+    BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -18,12 +18,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batch_of, byte_slices, cut, drop, ragged_take, words_of
+from .common import batch_of, byte_slices, cut, drop, ragged_take, word_hashes, words_of
 from .store import open_store, shard_bits, write_store
 
 #: An optional single space with the non-blank run after it, or blanks (Unicode white space).
@@ -31,8 +30,6 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python but not to Unicode: texts with these are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
 CACHE = 300_000
-#: Distinct words that a task remembers, so as not to send them twice; seed of Spark's xxhash64.
-SEEN, SEED = 500_000, 42
 
 
 class ChunkEncoder:
@@ -122,15 +119,14 @@ def encoder(path: str, spaced: bool, offsets: bool = False) -> ChunkEncoder:
     return ChunkEncoder(encode_chunks, spaced)
 
 
-def slice_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def slice_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes, counts and distinct words of a column; texts with odd white space count as one word each."""
     texts = pc.fill_null(column, "")
-    odd = pc.match_substring_regex(texts, ODD.pattern)
-    if not pc.any(odd).as_py():
+    if not pc.any(pc.match_substring_regex(texts, ODD.pattern)).as_py():
         return words_of(texts, unicode=True)
-    coded = pa.array([w for t in texts.to_pylist() for w in ([t] if ODD.search(t) else t.split())], pa.string()).dictionary_encode()
-    counts = [1 if ODD.search(t) else len(t.split()) for t in texts.to_pylist()]
-    return coded.indices.to_numpy(zero_copy_only=False), np.array(counts, np.int64), coded.dictionary.to_pylist()
+    parts = [[t] if ODD.search(t) else t.split() for t in texts.to_pylist()]
+    coded = pa.array([w for part in parts for w in part], pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), np.array([len(p) for p in parts], np.int64), coded.dictionary
 
 
 def store_words(df: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[str, int]:
@@ -140,27 +136,21 @@ def store_words(df: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[
     """
 
     def distinct(batches):
-        seen: set[str] = set()
-        schema = pa.schema([("word", pa.string())])
-        for part in byte_slices(batches, column=0):
-            new = set(slice_words(part.column(0))[2]) - seen
-            if len(seen) > SEEN:
-                seen = set()
-            seen |= new
-            yield batch_of(schema, [list(new)])
+        for part in byte_slices(batches, column=0, budget=16 << 20):
+            yield pa.RecordBatch.from_arrays([slice_words(part.column(0))[2]], names=["word"])
 
     def encoded(batches):
-        coder, schema = encoder(tokenizer, False), pa.schema([("word", pa.string()), ("ids", pa.binary())])
+        coder, schema = encoder(tokenizer, False), pa.schema([("key", pa.int64()), ("ids", pa.binary())])
         for part in byte_slices(batches, column=0, budget=256 << 10):
-            ids, sizes, _ = coder.encode_chunks(part.column(0).to_pylist())
+            words = part.column(0)
+            ids, sizes, _ = coder.encode_chunks(words.to_pylist())
             raw, ends = memoryview(ids.astype("<i4").tobytes()), (np.cumsum(sizes) * 4).tolist()
-            yield batch_of(schema, [part.column(0), [raw[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]])
+            yield batch_of(schema, [word_hashes(words).view(np.int64), [raw[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]])
 
     words = cut(df.select(F.col(text_col).cast("string")).mapInArrow(distinct, "word string").distinct(), "words")
-    rows = words.mapInArrow(encoded, "word string, ids binary").select(F.xxhash64("word").alias("key"), "ids")
     n = words.count()
     bits = shard_bits(n)
-    root, stored = write_store(rows, "word-ids", bits, [], "ids")
+    root, stored = write_store(words.mapInArrow(encoded, "key long, ids binary"), "word-ids", bits, [], "ids")
     if stored != n:
         raise ValueError("words were lost")
     drop(words)
@@ -170,7 +160,7 @@ def store_words(df: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[
 def stored_ids(root: str, bits: int, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of texts in one array and the number of ids of each, from a store of words."""
     codes, counts, words = slice_words(column)
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    keys = word_hashes(words)
     order = np.argsort(keys, kind="stable")
     ids, starts, sizes = open_store(root, bits).ragged(keys[order], "<i4")
     at = np.empty_like(order)

@@ -94,6 +94,8 @@ def write_store(df: DataFrame, name: str, bits: int, columns: list[str], payload
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys, kind="stable")
+        if (np.diff(keys[order]) == 0).any():
+            raise ValueError("a key repeats, or two have one hash")
         at = f"{root}/{int(pdf['shard'].iloc[0]):05d}"
         publish(f"{at}.key.npy", keys[order])
         for column in columns:
