@@ -25,8 +25,8 @@ from .store import open_store, shard_bits, write_store
 
 #: White space by Unicode's property, as a character class (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Sizes of the rank map; bits of an id or rank in a packed number; no rank.
-SLOTS, BUCKETS, BITS, NONE = 139991, 32749, 17, 1 << 17
+#: Bits of an id or rank in a packed number; no rank; pieces that a task folds.
+BITS, NONE, PIECES = 17, 1 << 17, 50_000
 SEED = 42  # of Spark's xxhash64
 
 
@@ -72,22 +72,33 @@ def distinct_pieces(df: DataFrame, pattern: str, text_col: str = "text") -> Data
     return df.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary").distinct()
 
 
-def rank_literals(ranks: dict[bytes, int]) -> tuple[Column, Column, Column]:
-    """The rank map as literal arrays: ids of the single bytes, displacements, and the hash table.
+def prime_from(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def rank_literals(ranks: dict[bytes, int]) -> tuple[Column, Column, Column, int, int]:
+    """The rank map as literal arrays: ids of the single bytes, displacements, and the hash table; and the sizes of both.
+
+    The table is sized by the pairs of ids that merge.
 
     An entry is ``key << BITS | rank`` for the key of a pair of ids.  The keys of a bucket share the first
     displacement that puts all of them on free slots, so a lookup reads one displacement and one slot.
     """
-    buckets: dict[int, list[tuple[int, int]]] = {}
+    pairs = []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None:
-                key = (left << BITS | right) + 1
-                buckets.setdefault(bucket_of(key), []).append((key, rank))
-    slots, shifts = [0] * SLOTS, [0] * BUCKETS
+                pairs.append(((left << BITS | right) + 1, rank))
+    width, depth = prime_from(len(pairs) * 17 // 12 + 101), prime_from(len(pairs) // 3 + 11)
+    buckets: dict[int, list[tuple[int, int]]] = {}
+    for key, rank in pairs:
+        buckets.setdefault(bucket_of(key, depth), []).append((key, rank))
+    slots, shifts = [0] * width, [0] * depth
     for b, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
-        for shift in range(SLOTS):
-            places = [slot_of(key, shift) for key, _ in own]
+        for shift in range(width):
+            places = [slot_of(key, shift, width) for key, _ in own]
             if len(set(places)) == len(own) and not any(slots[x] for x in places):
                 break
         else:
@@ -96,16 +107,16 @@ def rank_literals(ranks: dict[bytes, int]) -> tuple[Column, Column, Column]:
         for x, (key, rank) in zip(places, own, strict=True):
             slots[x] = key << BITS | rank
     numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    return numbers([ranks[bytes([b])] for b in range(256)]), numbers(shifts), numbers(slots)
+    return numbers([ranks[bytes([b])] for b in range(256)]), numbers(shifts), numbers(slots), width, depth
 
 
-def bucket_of(key):
-    return key % 1000003 % BUCKETS
+def bucket_of(key, depth: int):
+    """For numbers and for columns, as the next one."""
+    return key % 1000003 % depth
 
 
-def slot_of(key, shift):
-    """For numbers and for columns."""
-    return (key % SLOTS + shift * (key % (SLOTS - 22) + 1)) % SLOTS
+def slot_of(key, shift, width: int):
+    return (key % width + shift * (key % (width - 22) + 1)) % width
 
 
 def fold_pieces(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -116,7 +127,7 @@ def fold_pieces(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     spark: SparkSession = words.sparkSession
     if max(ranks.values()) >= 1 << BITS or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks must hold every byte and fit the packed entries")
-    byte_ids, shifts, slots = rank_literals(ranks)
+    byte_ids, shifts, slots, width, depth = rank_literals(ranks)
     tokens = spark.createDataFrame([(bytearray(t), r) for t, r in ranks.items()], "word binary, id int")
     marked = words.join(F.broadcast(tokens), "word", "left")  # the vocabulary's size bounds this side
     whole = marked.filter("id is not null").select("word", F.array("id").alias("ids"))
@@ -127,7 +138,7 @@ def fold_pieces(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def part(pair: Column) -> Column:
         """A part of the piece as ``rank of its pair with the next << 20 | id``, from the key of the pair."""
-        slot = F.get(F.col("_slots"), slot_of(pair, F.get(F.col("_shifts"), bucket_of(pair).cast("int"))).cast("int"))
+        slot = F.get(F.col("_slots"), slot_of(pair, F.get(F.col("_shifts"), bucket_of(pair, depth).cast("int")), width).cast("int"))
         rank = F.least(slot.bitwiseXOR(F.shiftleft(pair, BITS)), F.lit(NONE).cast("long"))  # another key's entry differs above the rank
         return F.shiftleft(rank, 20) + F.shiftright(pair - 1, BITS)
 
@@ -175,8 +186,9 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     ranks = read_ranks(ranks_path)
     kind = df.schema[id_col].dataType.simpleString()
     words = cut(distinct_pieces(df, pattern, text_col), "pieces")
-    folded = fold_pieces(words, ranks).select(F.xxhash64("word").alias("key"), "ids")
     n = words.count()
+    dealt = words.repartition(max(1, -(-n // PIECES)))  # the fold is the work, so its tasks are sized by pieces
+    folded = fold_pieces(dealt, ranks).select(F.xxhash64("word").alias("key"), "ids")
     bits = shard_bits(n)
     root, stored = write_store(folded, "bpe", bits, [], "ids", "<i4")
     if stored != n:

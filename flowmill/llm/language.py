@@ -39,6 +39,15 @@ SCRIPTS = {
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_in(text: str) -> list[str]:
+    """Runs of letters and other numerics that hold a letter; "½" and "②" alone are no words."""
+    return [w for w in WORD.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
+
+
+def letters_of(word: str) -> int:
+    return len(word) if word.isalpha() else sum(map(str.isalpha, word))
+
+
 def script_counts(words: list[str]) -> dict[str, int]:
     """Letters of each script."""
     joined = "".join(words)
@@ -108,9 +117,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
                 table, scripts = np.zeros(size, np.int64), {}
-                words = [w for t in texts for w in WORD.findall(t)]
+                words = [w for t in texts for w in words_in(t)]
                 for text in texts:
-                    for k, v in script_counts(WORD.findall(text)).items():
+                    for k, v in script_counts(words_in(text)).items():
                         scripts[k] = scripts.get(k, 0) + v
                 distinct, times = np.unique(np.array(words, dtype=object).astype(str), return_counts=True) if words else ([], [])
                 if len(distinct):
@@ -174,7 +183,7 @@ def identify(df: DataFrame, model: Model, penalty: float = PENALTY, id_col: str
 
     ``lang_pred`` is the language with most letters over the labelled spans (ties: first by name) and
     ``score`` its share of them; spans are ``lang:first:end`` in code points, comma-joined.  Null texts
-    and texts without a letter give ``und``, score 0 and no spans.  A text in scripts that no language
+    and texts without a letter give ``und``, score 0 and no spans.  A letter is what ``str.isalpha`` says.  A very long text takes one numpy step a word.  A text in scripts that no language
     was learned in keeps all languages as candidates; without any language learned all are ``und``.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -189,7 +198,7 @@ def identify(df: DataFrame, model: Model, penalty: float = PENALTY, id_col: str
             if len(cache) > CACHE:
                 cache.clear()
                 rated = rated[:0]
-            found = [WORD.findall(t) for t in texts]
+            found = [words_in(t) for t in texts]
             flat = [w for f in found for w in f]
             for new in batched(set(flat).difference(cache), 50_000):
                 cache.update(zip(new, range(len(rated), len(rated) + len(new)), strict=True))
@@ -204,7 +213,7 @@ def identify(df: DataFrame, model: Model, penalty: float = PENALTY, id_col: str
                     if allowed and len(allowed) < len(names):
                         barred = np.setdiff1d(np.arange(len(names)), allowed)
                         scores[edges[i] : edges[i + 1], barred] = -1e6
-            letters = np.fromiter(map(len, flat), np.int64, len(flat))
+            letters = np.fromiter(map(letters_of, flat), np.int64, len(flat))
             labels = viterbi(scores, counts, penalty) if len(flat) and len(names) else np.zeros(len(flat), np.int64)
             owner = np.repeat(np.arange(len(texts)), counts)
             width = max(1, len(names))
@@ -226,8 +235,8 @@ def identify(df: DataFrame, model: Model, penalty: float = PENALTY, id_col: str
 
 
 def span_text(text: str, words: list[str], labels: np.ndarray, languages: list[str]) -> str:
-    if (labels == labels[0]).all():
+    if (labels == labels[0]).all() and words[0].isalpha() and words[-1].isalpha():
         return f"{languages[labels[0]]}:{text.index(words[0])}:{text.rindex(words[-1]) + len(words[-1])}"
-    where = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    where = [(m.start(), m.end()) for m in WORD.finditer(text) if any(map(str.isalpha, m[0]))]
     cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
     return ",".join(f"{languages[labels[a]]}:{where[a][0]}:{where[b - 1][1]}" for a, b in zip(cuts, cuts[1:], strict=False))

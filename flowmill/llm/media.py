@@ -174,10 +174,10 @@ def store_telephony(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA.format(id=f"`{id_col}`", kind=kind))
 
 
-def media_digests(df: DataFrame) -> DataFrame:
+def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's digest columns, derived natively from what ``store_telephony`` returns."""
     return df.select(
-        "doc_id",
+        id_col,
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),

@@ -2,8 +2,8 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers.  The random field adds
 spans that the patterns miss, such as phone numbers without a country code.  It is trained here from the
-small labelled table below by gradient ascent, and decoded by Viterbi in numpy batches.  A span can only
-start at or after a word with a digit or an at sign, so only the words around those are decoded.
+small labelled table below by gradient ascent, and decoded by Viterbi in numpy batches.  Lines with a digit or
+an at sign are decoded whole; in any other line no span is plausible.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"\S+")
-#: Words on each side of a word with a digit or an at sign that are decoded with it.
-AROUND = 3
+#: Words whose class a worker remembers; words that are decoded together.
+CACHE, WORDS = 100_000, 200_000
 LABELS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
 
 #: The labelled table: [kind|text] marks a span; # stands for a digit that varies from copy to copy.
@@ -69,26 +69,35 @@ COPIES, STEPS, PENALTY = 4, 200, 0.02
 
 
 def shape(word: str) -> str:
-    """Runs of letters as x, of digits as d with their length up to 9, all else as it is; long shapes are cut."""
+    """Runs of letters as x, of digits as d with their length up to 9, all else as it is."""
     out = re.sub("[^\\W\\d_]+", "x", word)
-    return re.sub("[0-9]+", lambda m: f"d{min(len(m[0]), 9)}", out)[:24]
+    return re.sub("[0-9]+", lambda m: f"d{min(len(m[0]), 9)}", out)
 
 
 def loose(word: str) -> str:
     """Coarser: runs of letters and digits without lengths."""
-    return re.sub("(.)\\1+", "\\1", re.sub("[0-9]+", "d", re.sub("[^\\W\\d_]+", "x", word)))[:16]
+    return re.sub("(.)\\1+", "\\1", re.sub("[0-9]+", "d", re.sub("[^\\W\\d_]+", "x", word)))
+
+
+def word_class(word: str) -> tuple[str, ...]:
+    """What a word's own features depend on: its shape, its looser shape and its digits, dots and at sign."""
+    if word.isalpha():
+        return ("x", "x", "0", "none", "False", "0", "False")
+    soft, digits = loose(word), sum(c in "0123456789" for c in word)
+    kind = "none" if not digits else "all" if digits == len(word) else "most" if 2 * digits > len(word) else "some"
+    return shape(word), soft, str(min(digits, 12)), kind, str("@" in word), str(min(word.count("."), 4)), str(kind == "some" and "x" in soft and "@" not in word)
+
+
+def class_features(own: tuple[str, ...], before: str, after: str) -> list[str]:
+    """Features of a word of a class, between words of these looser shapes."""
+    form, soft, digits, kind, at, dots, mix = own
+    return ["1", f"s={form}", f"l={soft}", f"p={before}", f"n={after}", f"pl={before}|{soft}", f"ln={soft}|{after}", f"d={digits}", f"k={kind}", f"at={at}", f"dots={dots}", f"mix={mix}"]
 
 
 def features(words: list[str]) -> list[list[str]]:
-    shapes, soft = [shape(w) for w in words], [loose(w) for w in words]
-    out = []
-    for i, w in enumerate(words):
-        digits = sum(c in "0123456789" for c in w)
-        before = soft[i - 1] if i else "^"
-        after = soft[i + 1] if i + 1 < len(words) else "$"
-        kind = "none" if not digits else "all" if digits == len(w) else "most" if 2 * digits > len(w) else "some"
-        out.append(["1", f"s={shapes[i]}", f"l={soft[i]}", f"p={before}", f"n={after}", f"pl={before}|{soft[i]}", f"ln={soft[i]}|{after}", f"d={min(digits, 12)}", f"k={kind}", f"at={'@' in w}", f"dots={min(w.count('.'), 4)}", f"mix={kind == 'some' and 'x' in soft[i] and '@' not in w}"])
-    return out
+    classes = [word_class(w) for w in words]
+    soft = ["^", *(c[1] for c in classes), "$"]
+    return [class_features(c, soft[i], soft[i + 2]) for i, c in enumerate(classes)]
 
 
 def labelled_table(copies: int = COPIES) -> list[tuple[list[str], list[str]]]:
@@ -119,13 +128,28 @@ class Field:
     move: np.ndarray
 
     def scores(self, sentences: list[list[str]]) -> list[np.ndarray]:
-        out = []
+        """Scores of all labels for each word; words of one class between equal looser shapes are scored once."""
+        known, classes, rows, scored = {}, {}, {}, []
+        where = []
         for words in sentences:
-            rows = np.zeros((len(words), len(LABELS)))
-            for i, own in enumerate(features(words)):
-                rows[i] = self.emit[[k for k in map(self.names.get, own) if k is not None]].sum(axis=0)
-            out.append(rows)
-        return out
+            own = []
+            for w in words:
+                if (c := known.get(w)) is None:
+                    if len(known) > CACHE:
+                        known.clear()
+                    c = word_class(w)
+                    c = known[w] = classes.setdefault(c, c)
+                own.append(c)
+            soft = ["^", *(c[1] for c in own), "$"]
+            for i, c in enumerate(own):
+                key = (c, soft[i], soft[i + 2])
+                if (k := rows.get(key)) is None:
+                    k = rows[key] = len(scored)
+                    found = [self.names[f] for f in class_features(*key) if f in self.names]
+                    scored.append(self.emit[found].sum(axis=0))
+                where.append(k)
+        flat = np.array(scored).reshape(-1, len(LABELS))[where]
+        return np.split(flat, np.cumsum([len(w) for w in sentences])[:-1]) if sentences else []
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -228,21 +252,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words near a word with a digit or an at sign, within a line, as character intervals."""
-    out: list[list[tuple[int, int]]] = []
-    for line in re.finditer(r"[^\n]*[0-9@][^\n]*", text):
-        words = [(m.start() + line.start(), m.end() + line.start()) for m in WORD.finditer(line[0])]
-        near = [i for i, (a, b) in enumerate(words) if DIGIT.search(text, a, b) or text.find("@", a, b) >= 0]
-        stop = 0
-        for i in near:
-            if not out or i - AROUND > stop or stop == 0:
-                out.append([])
-                stop = max(0, i - AROUND)
-            until = min(len(words), i + AROUND + 1)
-            out[-1] += words[max(stop, i - AROUND) : until]
-            stop = max(stop, until)
-    return [w for w in out if w]
+def lines_of(text: str) -> list[list[tuple[int, int]]]:
+    """The words of each line that has a digit or an at sign, as character intervals."""
+    found = ([(m.start() + line.start(), m.end() + line.start()) for m in WORD.finditer(line[0])] for line in re.finditer(r"[^\n]*[0-9@][^\n]*", text))
+    return [words for words in found if words]
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -260,12 +273,19 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     owner, where = [], []
     for i, text in enumerate(texts):
         if DIGIT.search(text) or "@" in text:
-            for run in windows(text):
+            for run in lines_of(text):
                 owner.append(i)
                 where.append(run)
+    # lines of like length are decoded side by side, some thousands of words at once
+    order = sorted(range(len(where)), key=lambda k: len(where[k]))
+    owner, where = [owner[k] for k in order], [where[k] for k in order]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for lo in range(0, len(where), 2000):
-        part = where[lo : lo + 2000]
+    hi = 0
+    while (lo := hi) < len(where):
+        hi = lo + 1
+        while hi < len(where) and (hi - lo + 1) * len(where[hi]) <= WORDS:
+            hi += 1
+        part = where[lo:hi]
         labels = viterbi(field.scores([[texts[i][a:b] for a, b in run] for i, run in zip(owner[lo:], part, strict=False)]), field.move)
         for i, run, own in zip(owner[lo:], part, labels, strict=False):
             j = 0
