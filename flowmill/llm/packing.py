@@ -6,7 +6,8 @@ bins of any packing of that partition; where the count meets the bound it is cer
 all pieces, from the histogram of their lengths, tells when no exchange can help.  Until then, partitions
 with more bins than their tokens need put the pieces of bins that aren't full into a common pool,
 which is dealt anew over half as many partitions and packed again, so that documents of different partitions
-meet; a round is kept only if it saves bins, so the count never grows.
+meet; a round is kept only if it saves bins, so the count never grows.  Rounds end when one saves nothing, nobody is
+left to exchange with, or the bound is met.
 """
 
 from __future__ import annotations
@@ -14,30 +15,29 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_slices, cut, texts_of
-from .encode import encoder
+from .common import batch_of, byte_slices, cut, drop
+from .encode import store_words, stored_ids
 
 PIECES_PER_PARTITION = 50_000
-ROUNDS = 4
 
 
 def piece_table(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces.
 
     A document's ids are the tokenizer's without special tokens, then ``end_id``; null and empty texts
-    hold the end id only (without one: no piece).
+    hold the end id only (without one: no piece).  The distinct words of the corpus are encoded once.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    root, bits = store_words(df, tokenizer, text_col)
 
     def run(batches):
-        coder, schema = encoder(tokenizer, False), None
+        schema = None
         for part in byte_slices(batches):
-            flat, counts = coder.encode(texts_of(part))
+            flat, counts = stored_ids(root, bits, part.column(1))
             upto = np.cumsum(counts)
             if end_id is not None:
                 flat = np.insert(flat, upto, end_id)
@@ -108,58 +108,64 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` (gapless from 0) to a table with a ``length`` column.
+def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = PIECES_PER_PARTITION, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """Add ``sequence_id``, ``offset`` (gapless from 0) and ``certified`` to a table with a ``length`` column.
 
     ``certified`` tells whether the row's partition met its lower bound.  Lengths are 1 to ``capacity``;
-    null, zero and larger lengths are refused.  ``keys`` only deal rows out; they may be null or repeat.
+    null, zero and larger lengths are refused.  ``keys`` only deal rows out; they may be null or repeat.  Columns
+    of ``pieces`` that have one of the three names are replaced; any other name is kept as it is.
     """
-    pieces = cut(pieces, "pieces")
-    total, bad = pieces.agg(F.count("*"), F.count_if(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))).first()
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "certified")]
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("length").cast("long").alias("length"), F.xxhash64(*(F.col(f"`{k}`") for k in keys)).alias("deal"))
+    rows = cut(rows, "pieces")
+    total, bad = rows.agg(F.count("*"), F.count_if(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))).first()
     if bad:
         raise ValueError(f"{bad} lengths aren't from 1 to {capacity}")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    own = [f.name for f in pieces.schema]
+    own = ("row", "length", "deal")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    result = pa.schema([("block", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("gap", pa.int64()), ("spare", pa.int64())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy(np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        lengths = table.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         gap, spare = len(fill) - lower_bound(lengths, capacity), len(fill) - -(-int(lengths.sum()) // capacity)
-        return pdf[[*own, "block"]].assign(bin=bins, offset=offsets, fill=fill[bins], gap=gap, spare=spare)
+        values = (table.column("block"), bins, offsets, fill[bins], np.full(len(bins), gap), np.full(len(bins), spare))
+        table = table.select(list(own))
+        for field, x in zip(result, values, strict=True):
+            table = table.append_column(field, x if isinstance(x, pa.ChunkedArray) else pa.array(x, field.type))
+        return table
 
     def packed(pool: DataFrame, blocks: int, salt: int) -> DataFrame:
-        dealt = pool.withColumn("block", F.pmod(F.xxhash64(*(F.col(k) for k in keys), F.lit(salt)), F.lit(blocks)).cast("int"))
-        return cut(dealt.groupBy("block").applyInPandas(run, f"{schema}, block int, bin long, offset long, fill long, gap long, spare long"), "packed")
+        dealt = pool.withColumn("block", F.pmod(F.xxhash64("deal", F.lit(salt)), F.lit(blocks)).cast("int"))
+        return cut(dealt.groupBy("block").applyInArrow(run, f"{schema}, block int, bin long, offset long, fill long, gap long, spare long"), "packed")
 
     def bins_of(df: DataFrame) -> int:
         return df.filter("offset = 0").count()
 
     def numbered(df: DataFrame, at: int) -> DataFrame:
         number = F.lit(at << 58) + F.shiftleft(F.col("block").cast("long"), 32) + F.col("bin")
-        return df.select(*own, number.alias("sequence_id"), "offset", (F.col("gap") == 0).alias("certified"))
+        return df.select("row.*", number.alias("sequence_id"), "offset", (F.col("gap") == 0).alias("certified"))
 
-    blocks = max(1, -(-total // per_partition))
-    now = packed(pieces, blocks, 0)
-    sizes = sorted((r[0], r[1]) for r in pieces.groupBy("length").count().collect())  # one row a length, at most capacity
+    now = packed(rows, max(1, -(-total // per_partition)), 0)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("length").count().collect())  # one row a length, at most capacity
+    drop(rows)
     least = lower_bound(np.array([x for x, _ in sizes]), capacity, np.array([n for _, n in sizes]))
     used, done = bins_of(now), []
-    for at in range(1, rounds + 1):
+    while used > least:
         loose = (F.col("spare") > 0) & (F.col("fill") < capacity)
-        stats = now.agg(F.countDistinct(F.when(loose, F.col("block"))), F.count(F.when(loose, 1))).first()
-        if stats[0] < 2 or used <= least:  # nobody to exchange with, or certified as a whole
+        partitions, n = now.agg(F.countDistinct(F.when(loose, F.col("block"))), F.count(F.when(loose, 1))).first()
+        if partitions < 2:  # nobody to exchange with
             break
         pool = now.filter(loose)
-        again = packed(pool.select(*own), max(1, min(-(-stats[1] // per_partition), stats[0] // 2)), at)
+        again = packed(pool.select(*own), max(1, min(-(-n // per_partition), partitions // 2)), len(done) + 1)
         saved = bins_of(pool) - bins_of(again)
         if saved <= 0:
             break
         used -= saved
-        done.append(numbered(now.filter(~loose), at - 1))
+        done.append(numbered(now.filter(~loose), len(done)))
         now = again
-    else:
-        at = rounds + 1
-    out = numbered(now, at - 1 if done else 0)
+    out = numbered(now, len(done))
     for part in done:
         out = out.unionByName(part)
     return out
