@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Whitespace of the word contracts (fixed values): space, \t, \n, \v, \f, \r.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch while a table is written.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +40,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and reread it: later steps survive lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` to the shared folder and reread it: later steps survive lost executors.
+
+    Meanwhile Arrow batches of whole texts have fewer rows, to bound what JVM and worker hold.
+    """
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, min(int(before), ROWS) if int(before) > 0 else ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

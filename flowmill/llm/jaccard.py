@@ -6,13 +6,19 @@ when intersection over union reaches the threshold.
 * Small (light) sets: at sizes up to a boundary linked sets differ in few elements, so each set lists
   the hashes of its fixed-size subsets, with up to ``depth`` elements left out; linked sets share one.
 * Large (heavy) sets: inverted lists of the first elements of each set, rare ones first, are scanned.
-  The order comes from a sketch of all shingle counts of a fixed size, so a passage in a third of the texts comes
-  last.  Sizes and positions rule out most pairs of a list.
+  The order comes from a sketch of all shingle counts, sized by the corpus up to a fixed bound, so a passage in a
+  third of the texts comes last.  Sizes and positions rule out most pairs of a list.
 * The boundary and depth are those of least estimated cost, from the sizes' histogram and the sketch.
 
-Lists aren't expanded to all pairs.  First every member is compared with its list's first one; sets
-linked so form clusters.  Then only pairs of different clusters within a list are compared.  Every comparison
-is exact, and every pair that shares a list is compared or in one cluster, so no link between components is lost.
+Lists aren't expanded to all pairs.  First every member may be compared with its list's first one, and sets
+linked so form clusters; the first one has the least rare elements before the shared one, as the least edited copy has.  A set is compared with the first one that it shares most lists with, then, if they
+aren't in one cluster by then, with the others.  Then only pairs of different clusters within a list are compared, list
+members in blocks.  A pair is compared element by element unless the parity of its elements' hash bits shows that too
+many differ.  Every pair that shares a list is compared, ruled out by a bound or in one cluster, so no link between
+components is lost.
+
+Shingles are compared as 64-bit hashes, and sets of equal hashes count as equal: among n distinct shingles, two
+collide with a chance of about n squared over 2 to the 65.
 """
 
 from __future__ import annotations
@@ -24,50 +30,43 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_slices, cut, mix, texts_of
+from .common import batch_of, byte_slices, cut, drop, mix, word_hashes, words_of
 from .components import connected_components
 from .store import open_store, shard_bits, write_store
 
-#: log2 of the sketch's cells; rows that carry a task's sketch; cost of comparing two sets, in list entries.
-CELL_BITS, CHUNKS, COMPARE = 18, 16, 20.0
-CACHE, NOBODY = 300_000, -(1 << 63)
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of texts: words with A-Z lowered, fewer than ``n`` as one shingle."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.known = n, {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().lower().split() for t in texts]
-        new = {w for own in words for w in own}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = {w for own in words for w in own}
-        self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        flat = np.fromiter(map(self.known.__getitem__, (w for own in words for w in own)), np.uint64)
-        out, at = [], 0
-        with np.errstate(over="ignore"):
-            rolled = mix(flat)
-            for k in range(1, self.n):
-                rolled = mix(rolled[:-1] * np.uint64(3) + flat[k:]) if len(rolled) > 1 else rolled[:0]
-            for own in words:
-                size = len(own)
-                if size >= self.n:
-                    out.append(np.unique(rolled[at : at + size - self.n + 1]))
-                elif size:
-                    h = mix(flat[at : at + 1] + np.uint64(size << 8))
-                    for k in range(1, size):
-                        h = mix(h * np.uint64(5) + flat[at + k : at + k + 1])
-                    out.append(h)
-                else:
-                    out.append(np.zeros(0, np.uint64))
-                at += size
-        return out
+#: log2 of the sketch's cells, least and most; characters of text for each cell; rows that carry a task's sketch.
+LEAST_BITS, MOST_BITS, CHARS_PER_CELL, CHUNKS = 16, 24, 256, 64
+#: Cost of comparing two sets, in list entries; list members of a block; members of a task's group of comparisons.
+COMPARE, BLOCK, GROUP = 20.0, 1000, 500
+SEEN, NOBODY, SLICE = 300_000, -(1 << 63), 2 << 20
+#: Longs that hold the parity of a set's hashes.
+PARITY = 8
+
+
+def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; a text of fewer than ``n`` words is one shingle."""
+    codes, counts, words = words_of(column)
+    flat = word_hashes(words)[codes]
+    out, at = [], 0
+    with np.errstate(over="ignore"):
+        rolled = mix(flat)
+        for k in range(1, n):
+            rolled = mix(rolled[:-1] * np.uint64(3) + flat[k:]) if len(rolled) > 1 else rolled[:0]
+        for size in counts.tolist():
+            if size >= n:
+                out.append(np.unique(rolled[at : at + size - n + 1]))
+            elif size:
+                h = mix(flat[at : at + 1] + np.uint64(size << 8))
+                for k in range(1, size):
+                    h = mix(h * np.uint64(5) + flat[at + k : at + k + 1])
+                out.append(h)
+            else:
+                out.append(np.zeros(0, np.uint64))
+            at += size
+    return out
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -102,39 +101,50 @@ class Threshold:
         return F.least(s1 - F.greatest(p1, F.lit(0)), s2 - F.greatest(p2, F.lit(0))) >= need
 
 
-def set_table(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc, n_shingles, set_id) of each row, and the sketch of all shingle counts."""
-    cells, part_cells = 1 << CELL_BITS, (1 << CELL_BITS) // CHUNKS
-    schema = pa.schema([("doc", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+def sketch_bits(df: DataFrame, text_col: str) -> int:
+    chars = df.agg(F.coalesce(F.sum(F.length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, (chars // CHARS_PER_CELL).bit_length()))
+
+
+def set_table(df: DataFrame, n: int, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(doc, row_key, n_shingles, set_id) of each row, and the sketch of all shingle counts.
+
+    The sketch only orders elements; a task's cell counts up to 255.
+    """
+    bits = sketch_bits(df, text_col)
+    cells, part_cells = 1 << bits, (1 << bits) // CHUNKS
+    schema = pa.schema([("doc", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        shingler, sketch = Shingler(n), np.zeros(cells, np.int64)
-        for part in byte_slices(batches):
-            sets = shingler(texts_of(part))
+        sketch = np.zeros(cells, np.int32)
+        for part in byte_slices(batches, budget=SLICE):
+            sets = shingles(part.column(1), n)
             if sets:
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
+                where, times = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                sketch[where] += times.astype(np.int32)
             none = [None] * len(sets)
-            yield batch_of(schema, [part.column(0), [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], none, none])
+            yield batch_of(schema, [part.column(0), part.column(2), [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], none, none])
         if sketch.any():
-            raw = [np.minimum(x, 1 << 30).astype("<i4").tobytes() for x in sketch.reshape(CHUNKS, -1)]
+            raw = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in sketch.reshape(CHUNKS, -1)]
             none = [None] * CHUNKS
-            yield batch_of(schema, [none, none, none, list(range(CHUNKS)), raw])
+            yield batch_of(schema, [none, none, none, none, list(range(CHUNKS)), raw])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string"))
-    found = cut(rows.mapInArrow(run, "doc long, n_shingles long, set_id long, chunk int, counts binary"), "sets")
+    key = F.col(key_col) if key_col else F.lit(None)
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string"), key.cast("long").alias("row_key"))
+    found = cut(rows.mapInArrow(run, "doc long, row_key long, n_shingles long, set_id long, chunk int, counts binary"), "sets")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part_cells, np.int64)
         for raw in pdf["counts"]:
-            total += np.frombuffer(raw, "<i4")
+            total += np.frombuffer(raw, np.uint8 if len(raw) == part_cells else "<i4")
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, 1 << 30).astype("<i4").tobytes()]})
 
     chunks = found.filter("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("salt"))
     some = chunks.groupBy("chunk", "salt").applyInPandas(add, "chunk int, counts binary")
     sketch = np.zeros(cells, np.int32)
-    for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # a fixed number of rows
+    for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toLocalIterator():  # a fixed number of rows
         sketch[row.chunk * part_cells : (row.chunk + 1) * part_cells] = np.frombuffer(row.counts, "<i4")
-    return found.filter("chunk is null").drop("chunk", "counts"), sketch
+    return found.filter("chunk is null").drop("chunk", "counts"), np.minimum(sketch, 0xFFFF).astype(np.uint16)
 
 
 def chosen_boundary(sizes: dict[int, int], sketch: np.ndarray, threshold: Threshold, depths: int = 2) -> tuple[int, int]:
@@ -167,20 +177,20 @@ def subset_keys(hashes: np.ndarray, depth: int) -> np.ndarray:
         return mix(np.concatenate(keys) + np.uint64(0x5EED))
 
 
-def list_entries(df: DataFrame, n: int, threshold: Threshold, sketch: np.ndarray, boundary: int, depth: int, id_col: str, text_col: str) -> DataFrame:
+def list_entries(df: DataFrame, n: int, threshold: Threshold, sketch: np.ndarray, boundary: int, depth: int, text_col: str) -> DataFrame:
     """(key, set_id, size, pos): a set's subset keys, or its first elements in the global order, once a task."""
     schema = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
-    shift = np.uint64(64 - CELL_BITS)
+    shift = np.uint64(64 - (len(sketch).bit_length() - 1))
 
     def run(batches):
-        shingler, seen = Shingler(n), set()
-        for part in byte_slices(batches):
+        seen = set()
+        for part in byte_slices(batches, column=0, budget=SLICE):
             keys, ids, sizes, places = [], [], [], []
-            for own in shingler(texts_of(part)):
+            for own in shingles(part.column(0), n):
                 size = len(own)
                 if not size or (name := set_id(own)) in seen:
                     continue
-                if len(seen) > CACHE:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
                 light = size <= boundary
@@ -199,86 +209,137 @@ def list_entries(df: DataFrame, n: int, threshold: Threshold, sketch: np.ndarray
             if keys:
                 yield batch_of(schema, [np.concatenate(keys).view(np.int64), *(np.concatenate(x) for x in (ids, sizes, places))])
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string")).mapInArrow(run, "key long, set_id long, size int, pos int")
+    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, set_id long, size int, pos int")
+
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of ``PARITY`` * 64 cells, as longs; it bounds how much two sets differ."""
+    odd = np.bincount((hashes & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def linked(df: DataFrame, pairs: DataFrame, sets: DataFrame, n: int, threshold: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b: set ids) that link, by comparing the sets element by element."""
-    need = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    docs = need.join(sets, "set_id").select(F.coalesce("doc", F.lit(NOBODY)).alias("key")).distinct()
-    docs = cut(docs, "needed")
+
+def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, size, p0 .., hashes) of the sets in ``wanted`` (set_id), from the rows of each set's smallest id.
+
+    A set is there once, or where that id repeats or is null, at most once a task.
+    """
+    docs = cut(wanted.join(sets, "set_id").select(F.coalesce("doc", F.lit(NOBODY)).alias("key")).distinct(), "needed")
     bits = shard_bits(docs.count())
-    root, _ = write_store(docs, "needed", bits, {})
-    schema = pa.schema([("set_id", pa.int64()), ("hashes", pa.binary())])
+    root, _ = write_store(docs, "needed", bits, [])
+    drop(docs)
+    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int32()), *((f"p{k}", pa.int64()) for k in range(PARITY)), ("hashes", pa.binary())])
 
     def fetch(batches):
-        store, shingler, seen = open_store(root, bits), Shingler(n), set()
-        for part in byte_slices(batches):
+        store, seen = open_store(root, bits), set()
+        for part in byte_slices(batches, budget=SLICE):
             keys = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             order = np.argsort(keys, kind="stable")
-            wanted = np.sort(order[store.numbers(keys[order], [])[0]])
-            own = [s for s in shingler(texts_of(part.take(pa.array(wanted)))) if len(s)] if len(wanted) else []
-            rows = {set_id(s): s.tobytes() for s in own}
-            rows = {k: v for k, v in rows.items() if k not in seen}
-            if len(seen) < CACHE:
-                seen.update(rows)
-            yield batch_of(schema, [list(rows), list(rows.values())])
-
-    def compare(batches):
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for part in byte_slices(batches, column=2, budget=1 << 20):
-            good = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(threshold.den * both >= threshold.num * (len(x) + len(y) - both))
-            mask = pa.array(good, pa.bool_())
-            yield batch_of(out, [part.column(0).filter(mask), part.column(1).filter(mask)])
-
-    fetched = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text_col).cast("string")).mapInArrow(fetch, "set_id long, hashes binary")
-    fetched = cut(fetched, "hashes")
-    left = fetched.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
-    right = fetched.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
-
-
-def jaccard_components(df: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, set_id) of each row.
+            mine = np.sort(order[store.numbers(keys[order], [])[0]])
+            own = {}
+            for s in shingles(part.column(1).take(pa.array(mine)), n) if len(mine) else ():
+                if len(s) and (name := set_id(s)) not in seen:
+                    own[name] = s
+            if len(seen) < SEEN:
+                seen.update(own)
+            if own:
+                bits_of = np.stack([parity(s) for s in own.values()])
+                yield batch_of(schema, [list(own), [len(s) for s in own.values()], *bits_of.T, [s.tobytes() for s in own.values()]])
+
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text_col).cast("string"))
+    kind = "set_id long, size int, " + ", ".join(f"p{k} long" for k in range(PARITY)) + ", hashes binary"
+    return cut(rows.mapInArrow(fetch, kind), "hashes")
+
+
+def linked(pairs: DataFrame, held: DataFrame, threshold: Threshold) -> DataFrame:
+    """Those of ``pairs`` (a, b: set ids, distinct) that link: b's set is sent for each pair, a's once a group of pairs."""
+    short = held.drop("hashes").dropDuplicates(["set_id"])
+    x, y = (short.select(*(F.col(c).alias(f"{side}{c}") for c in short.columns)) for side in "xy")
+    differing = sum((F.bit_count(F.col(f"xp{k}").bitwiseXOR(F.col(f"yp{k}"))) for k in range(PARITY)), F.lit(0))
+    need = F.ceil(threshold.num * (F.col("xsize") + F.col("ysize")) / F.lit(float(threshold.num + threshold.den)) - 1e-9)
+    fits = (F.least("xsize", "ysize") >= need) & (differing <= F.col("xsize") + F.col("ysize") - 2 * need)
+    near = pairs.join(x, F.col("a") == F.col("xset_id")).join(y, F.col("b") == F.col("yset_id")).filter(fits).select("a", "b")
+    near = cut(near, "near")
+    groups = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    salted = near.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
+    others = salted.select("a", "b", "salt").join(held.select(F.col("set_id").alias("b"), "hashes"), "b")
+    salts = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")
+    firsts = groups.select("a", salts).join(held.select(F.col("set_id").alias("a"), F.col("hashes").alias("first")), "a")
+    firsts = firsts.select(F.col("a").alias("hub"), F.col("salt").alias("part"), "first")  # names and columns of its own for the cogroup
+
+    def compare(first: pa.Table, rest: pa.Table) -> pa.Table:
+        x = np.frombuffer(first.column("first")[0].as_py(), np.uint64)
+        good = []
+        for raw in rest.column("hashes"):
+            y = np.frombuffer(raw.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(threshold.den * both >= threshold.num * (len(x) + len(y) - both))
+        return rest.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return firsts.groupBy("hub", "part").cogroup(others.groupBy("a", "salt")).applyInArrow(compare, "a long, b long")
+
+
+def clusters_of(links: DataFrame) -> DataFrame:
+    return cut(connected_components(links), "clusters").withColumnsRenamed({"node": "set_id", "root": "cluster"})
+
+
+def apart(pairs: DataFrame, cluster: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sets aren't in one cluster."""
+    of = lambda side: cluster.select(F.col("set_id").alias(side), F.col("cluster").alias(f"c{side}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def other_pairs(lists: DataFrame, cluster: DataFrame, threshold: Threshold) -> DataFrame:
+    """(a, b) of sets in different clusters that share a list and may link; long lists meet block by block."""
+    placed = lists.join(cluster, "set_id", "left").withColumn("cluster", F.coalesce("cluster", "set_id"))
+    by = Window.partitionBy("key")
+    open_lists = placed.withColumns({"lo": F.min("cluster").over(by), "hi": F.max("cluster").over(by), "n": F.count("*").over(by)}).filter("lo < hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = cut(open_lists.select("key", "set_id", "size", "pos", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("own")), "open")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    side = lambda p, here, there: rows.select("key", F.col("own").alias(here), every.alias(there), *(F.col(c).alias(p + c) for c in ("set_id", "size", "pos", "cluster")))
+    meet = side("x", "i", "j").join(side("y", "j", "i"), ["key", "i", "j"])
+    meet = meet.filter((F.col("xcluster") < F.col("ycluster")) & threshold.compatible(F.col("xsize"), F.col("xpos"), F.col("ysize"), F.col("ypos")))
+    return meet.select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b")).distinct()
+
+
+def jaccard_components(df: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, set_id, root, row_key) of each row.
 
     ``component_id`` is the smallest id reachable by links, the row's own included; rows without words
     are linked with nothing.  Ids are whole numbers; null ids are never the smallest, and a component of null ids
-    only has a null id.  Rows of one set (equal or equal up to word order of no effect) are linked.
+    only has a null id.  Rows of one set (equal or equal up to word order of no effect) are linked.  ``root`` is
+    the smallest set id of the component, null without words; ``row_key`` is the column ``key_col``, a whole number.
     """
     t = Threshold(*threshold)
-    table, sketch = set_table(df, n, id_col, text_col)
+    table, sketch = set_table(df, n, id_col, text_col, key_col)
     full = table.filter("n_shingles > 0")
     sets = full.groupBy("set_id").agg(F.min("doc").alias("doc"))
     top = t.boundary(2)
     sizes = {r[0]: r[1] for r in full.filter(F.col("n_shingles") <= top).groupBy("n_shingles").agg(F.countDistinct("set_id")).collect()}
     boundary, depth = chosen_boundary(sizes, sketch, t)
-    entries = list_entries(df, n, t, sketch, boundary, depth, id_col, text_col)
-    shared = entries.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("key")
-    lists = cut(entries.join(shared, "key"), "lists")
-
-    first = lists.groupBy("key").agg(F.min(F.struct("pos", "set_id", "size")).alias("f"))
-    near = lists.join(first, "key").filter(F.col("set_id") != F.col("f.set_id")).filter(t.compatible(F.col("size"), F.col("pos"), F.col("f.size"), F.col("f.pos")))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = cut(near.select(*ordered(F.col("set_id"), F.col("f.set_id"))).distinct(), "stars")
-    links = cut(linked(df, stars, sets, n, t, id_col, text_col), "links")
-    cluster = cut(connected_components(links), "clusters").withColumnsRenamed({"node": "set_id", "root": "cluster"})
-
-    placed = lists.join(cluster, "set_id", "left").withColumn("cluster", F.coalesce("cluster", "set_id"))
-    placed = cut(placed.distinct(), "placed")
-    mixed = placed.groupBy("key").agg((F.min("cluster") < F.max("cluster")).alias("m")).filter("m").select("key")
-    open_lists = placed.join(mixed, "key")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cluster") < F.col("y.cluster")) & t.compatible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
-    others = cut(meet.select(*ordered(F.col("x.set_id"), F.col("y.set_id"))).distinct().join(stars, ["a", "b"], "left_anti"), "others")
-    more = linked(df, others, sets, n, t, id_col, text_col)
-    roots = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "set_id", "root": "cluster"})
-    roots = cut(roots, "roots")
+    by = Window.partitionBy("key")
+    entries = list_entries(df, n, t, sketch, boundary, depth, text_col)
+    entries = entries.withColumns({"f": F.min(F.struct("pos", "set_id", "size")).over(by), "lo": F.min("set_id").over(by), "hi": F.max("set_id").over(by)})
+    lists = cut(entries.filter("lo < hi").drop("lo", "hi").distinct(), "lists")
+
+    wide = lists.filter("set_id != f.set_id").filter(t.compatible(F.col("size"), F.col("pos"), F.col("f.size"), F.col("f.pos")))
+    stars = cut(wide.groupBy(F.col("f.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("n")), "stars")
+    members = lists.select("set_id").distinct()
+    held = held_sets(df, members, sets, n, id_col, text_col)
+    best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
+    links = cut(linked(best, held, t), "links")
+    cluster = clusters_of(links)
+    rest = apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), cluster)
+    links = cut(links.unionByName(linked(rest, held, t)), "links")
+    cluster = clusters_of(links)
+    compared = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    others = other_pairs(lists.drop("f"), cluster, t).join(compared, ["a", "b"], "left_anti")
+    links = cut(links.unionByName(linked(others, held, t)), "links")
+    drop(held, lists, stars)
+    roots = clusters_of(links)
 
     smallest = roots.join(sets, "set_id").groupBy("cluster").agg(F.min("doc").alias("component"))
-    named = roots.join(smallest, "cluster").select("set_id", "component")
-    of_sets = sets.join(named, "set_id", "left").select("set_id", F.coalesce("component", "doc").alias("component"))
-    return table.join(of_sets, "set_id", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), "set_id")
+    named = roots.join(smallest, "cluster").select("set_id", "component", "cluster")
+    of_sets = sets.join(named, "set_id", "left").select("set_id", F.coalesce("component", "doc").alias("component"), F.coalesce("cluster", "set_id").alias("root"))
+    return table.join(of_sets, "set_id", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), "set_id", "root", "row_key")

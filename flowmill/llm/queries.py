@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, sf_dir)).drop("set_id")
+    return jaccard.jaccard_components(documents(spark, sf_dir)).drop("set_id", "root", "row_key")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ def window_covers(halves: DataFrame, keys: DataFrame, length: int, large: int) -
     return covered.unionByName(late.select("row", "start", (F.col("start") + length).alias("stop"))), shared
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, id_col: str = "doc_id", text_col: str = "text", payload_col: str | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, id_col: str = "doc_id", text_col: str = "text", payload_col: str | None = None, whole_chars: bool = False) -> DataFrame:
     """(id, n_bytes, kept, spans): the bytes left of each text and the maximal removed runs.
 
     Texts are UTF-8 (null: empty), ids whole numbers.  A byte goes if a string of ``length`` bytes that
@@ -302,7 +302,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
     compared with what is left.  Null ids come before all others.  Rows that repeat an id share one place in the order;
     a string isn't earlier than itself at the same id and start.  Places and spans are kept by id and text, so
     different texts of one id (or of none) have their own.  With ``payload_col`` that column is carried along in
-    place of the id.
+    place of the id.  With ``whole_chars`` a run shrinks to the characters it covers whole, so what is left is UTF-8.
     """
     carried = payload_col or id_col
     source = df.select(F.col(carried), F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b"")).alias("data"))
@@ -334,6 +334,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
             for i, raw in enumerate(found):
                 data = part.column(2)[i].as_py()
                 runs = united(np.frombuffer(raw, "<i8").reshape(-1, 2), len(data)) if raw else []
+                if whole_chars:
+                    runs = [x for x in (whole(data, *x) for x in runs) if x[0] < x[1]]
                 at, pieces = 0, []
                 for a, b in runs:
                     pieces.append(data[at:a])
@@ -347,6 +349,15 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
     return source.select(F.col(carried), "_row", "data").mapInArrow(run, f"`{carried}` {kind}, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>")
 
 
+def whole(data: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The characters that lie whole in a run of bytes."""
+    while start < stop and data[start] & 0xC0 == 0x80:
+        start += 1
+    while start < stop < len(data) and data[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return start, stop
+
+
 def united(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Maximal runs of the union of sorted intervals, within ``size`` bytes."""
     if not len(spans) or not size:

@@ -189,7 +189,7 @@ def test_jaccard(spark, folder, docs):
 
 
 def test_jaccard_of_the_pipeline(spark, folder, docs):
-    rows = jaccard.jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"), 5, (4, 5)).drop("set_id").collect()
+    rows = jaccard.jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"), 5, (4, 5)).drop("set_id", "root", "row_key").collect()
     expect(rows, brute_components(docs, 5, 4, 5))
 
 
