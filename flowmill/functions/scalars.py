@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Tokens read as booleans, trimmed and lower-cased (fixed values).
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "t", "yes", "y"), ("0", "false", "f", "no", "n")
@@ -89,5 +90,22 @@ def ratio_text(count: Column, total: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    h, m = (seconds / 3600).cast("long"), (seconds % 3600 / 60).cast("long")
-    return F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m "), (seconds % 60).cast("long").cast("string"), F.lit("s"))
+    """``2h 5m 3s``; leading parts that are 0 are left out, seconds stay."""
+    h, m, s = (seconds / 3600).cast("long"), (seconds % 3600 / 60).cast("long"), (seconds % 60).cast("long")
+    part = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
+    return F.concat_ws(" ", F.when(h > 0, part(h, "h")), F.when((h > 0) | (m > 0), part(m, "m")), part(s, "s"))
+
+
+def strict_time(c: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` text as a time; any other text raises an error."""
+    return F.when(c.isNotNull(), F.coalesce(parsed_time(c), F.raise_error(F.concat(F.lit("not a time: "), c)).cast("timestamp")))
+
+
+def json_text(c: Column) -> Column:
+    return F.to_json(c)
+
+
+def cell_text(df: DataFrame, name: str) -> Column:
+    """A cell of a record as text: null is empty, arrays and objects are JSON."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    return F.coalesce(F.to_json(c) if isinstance(kind, (ArrayType, MapType, StructType)) else c.cast("string"), F.lit(""))

@@ -6,12 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_row_number(df: DataFrame, order: list[str], bucket: Column, name: str = "rn") -> DataFrame:
+#: Rows of a range; a range is sorted in one task.
+RANGE_ROWS = 1_000_000
+
+
+def ranges(df: DataFrame, column: str, rows: int = RANGE_ROWS) -> Column:
+    """The range of a value among ranges of about ``rows`` rows, by approximate quantiles; nulls come first.
+
+    Times and numbers only.  Rows of one value share a range.
+    """
+    kind = dict(df.dtypes)[column]
+    value = F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column)
+    value = value.cast("double")
+    n = -(-df.count() // rows)
+    if n < 2:
+        return F.lit(0)
+    bounds = sorted(set(df.select(value.alias("v")).stat.approxQuantile("v", [i / n for i in range(1, n)], 0.1 / n)))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= value)) + 1, F.lit(0))
+
+
+def global_row_number(df: DataFrame, order: list[str], bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """1-based row number by ``order``; ``bucket`` is a coarse, monotone function of the first order column.
 
-    Rows are numbered within buckets; only one count for each bucket is summed up in order.
+    By default buckets are ranges of that column of bounded size.  Rows are numbered within buckets; only one count for
+    each bucket is summed up in order.
     """
-    staged = df.withColumn("_b", bucket)
+    staged = df.withColumn("_b", ranges(df, order[0]) if bucket is None else bucket)
     counts = staged.groupBy("_b").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
@@ -31,8 +51,9 @@ def cadence(df: DataFrame, start: Column, interval_us: int, order: list[str], ti
     return rows.withColumn(name, (F.col("_r") + F.least(F.lit(0), least)).cast("long")).drop("_r", "_d")
 
 
-def cadence_global(df: DataFrame, start: Column, interval_us: int, order: list[str], time_us: Column, coarse: Column, name: str = "bucket") -> DataFrame:
+def cadence_global(df: DataFrame, start: Column, interval_us: int, order: list[str], time_us: Column, coarse: Column | None = None, name: str = "bucket") -> DataFrame:
     """``cadence`` over the whole table: running minima within coarse buckets, then over the buckets' minima."""
+    coarse = ranges(df, order[0]) if coarse is None else coarse
     rows = global_row_number(df, order, coarse, "_r").withColumn("_c", coarse)
     rows = rows.withColumn("_d", F.greatest(F.lit(0), F.ceil((time_us - start) / F.lit(float(interval_us))) - 1) - F.col("_r"))
     lows = rows.groupBy("_c").agg(F.min("_d").alias("_low"))

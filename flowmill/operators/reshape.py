@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .order import global_row_number
 
+#: Source rows up to which the injected side is broadcast.
+SHORT = 10_000
+
 
 def shifted(df: DataFrame, baseline: Column, time: str = "daytime") -> DataFrame:
     """Times moved so that the earliest is at ``baseline``."""
@@ -22,7 +25,7 @@ def ordered_merge(a: DataFrame, b: DataFrame, time: str = "daytime", seq: str =
     return both.orderBy(time, "side", seq)
 
 
-def chunked(df: DataFrame, rows: int, order: list[str], coarse: Column, time: str = "daytime", pattern: str = "yyyyMMddHHmmss") -> DataFrame:
+def chunked(df: DataFrame, rows: int, order: list[str], coarse: Column | None = None, time: str = "daytime", pattern: str = "yyyyMMddHHmmss") -> DataFrame:
     """Chunk number and file name of every row, ``rows`` rows a chunk in order."""
     if rows < 1:
         raise ValueError("chunks need a row at least")
@@ -31,10 +34,11 @@ def chunked(df: DataFrame, rows: int, order: list[str], coarse: Column, time: st
     return numbered.join(names, "chunk")
 
 
-def injected(target: DataFrame, source: DataFrame, order: list[str], coarse: Column, time: str = "daytime") -> DataFrame:
+def injected(target: DataFrame, source: DataFrame, order: list[str], coarse: Column | None = None, time: str = "daytime") -> DataFrame:
     """After target row i comes source row ``i mod N`` at the target's time.
 
-    The source is keyed by its number and joined on it, so both sides are dealt over the cluster.
+    The source is keyed by its number and joined on it, so both sides are dealt over the cluster; a short source, whose
+    keys would be few and large, is broadcast.
     """
     rows = global_row_number(target, order, coarse, "i").withColumn("i", F.col("i") - 1)
     src = global_row_number(source, order, coarse, "k").withColumn("k", F.col("k") - 1)
@@ -42,7 +46,7 @@ def injected(target: DataFrame, source: DataFrame, order: list[str], coarse: Col
     if not n:
         return rows.withColumn("ord", 2 * F.col("i")).drop("i")
     stamps = rows.select("i", F.col(time).alias("_t"), (F.col("i") % n).alias("k"))
-    extra = stamps.join(src, "k").withColumn(time, F.col("_t")).withColumn("ord", 2 * F.col("i") + 1).drop("k", "i", "_t")
+    extra = stamps.join(F.broadcast(src) if n <= SHORT else src, "k").withColumn(time, F.col("_t")).withColumn("ord", 2 * F.col("i") + 1).drop("k", "i", "_t")
     return rows.withColumn("ord", 2 * F.col("i")).drop("i").unionByName(extra)
 
 

@@ -5,17 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import RANGE_ROWS, ranges
 
-def cdf_distances(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
+def cdf_distances(df: DataFrame, keys: list[str], value: str, side: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein-1 distance of the values with ``side`` true and false, for each key.
 
-    Values are counted first, so the windows run over distinct values.  A key with one side empty gives nulls.
+    Values are counted first and dealt over ranges; a range's windows run over its distinct values, and each range gets
+    the sums of those before it and the first value of the next.  A key with one side empty gives nulls.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b"))
-    all_, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_v")
-    gap = F.abs(F.sum("_a").over(upto) / F.nullif(F.sum("_a").over(all_), F.lit(0)) - F.sum("_b").over(upto) / F.nullif(F.sum("_b").over(all_), F.lit(0)))
-    steps = counts.select(*keys, gap.alias("_g"), (F.lead("_v").over(upto) - F.col("_v")).alias("_w"))
-    return steps.groupBy(*keys).agg(F.round(F.max("_g"), 6).alias("ks"), F.round(F.sum(F.col("_g") * F.coalesce("_w", F.lit(0.0))), 6).alias("wasserstein"))
+    counts = counts.withColumn("_r", ranges(counts, "_v", rows))
+    upto = Window.partitionBy(*keys, "_r").orderBy("_v")
+    steps = Window.partitionBy(*keys).orderBy("_r")  # a row for each range
+    before = steps.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    parts = counts.groupBy(*keys, "_r").agg(F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"), F.min("_v").alias("_first"))
+    parts = parts.select(*keys, "_r", F.coalesce(F.sum("_sa").over(before), F.lit(0)).alias("_pa"), F.coalesce(F.sum("_sb").over(before), F.lit(0)).alias("_pb"), F.sum("_sa").over(whole).alias("_na"), F.sum("_sb").over(whole).alias("_nb"), F.lead("_first").over(steps).alias("_next"))
+    placed = counts.join(parts, [*keys, "_r"])
+    share = lambda c: (F.sum(f"_{c}").over(upto) + F.col(f"_p{c}")) / F.nullif(F.col(f"_n{c}"), F.lit(0))
+    gaps = placed.select(*keys, F.abs(share("a") - share("b")).alias("_g"), (F.coalesce(F.lead("_v").over(upto), F.col("_next")) - F.col("_v")).alias("_w"))
+    return gaps.groupBy(*keys).agg(F.round(F.max("_g"), 6).alias("ks"), F.round(F.sum(F.col("_g") * F.coalesce("_w", F.lit(0.0))), 6).alias("wasserstein"))
+
+
+def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bin, lo, n, density) over the values' range, the last bin closed; empty bins are there, nulls left out."""
+    rows = df.filter(F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_all"))
+    ends = ends.filter("_hi is not null").withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    both = rows.join(F.broadcast(ends), list(keys)) if keys else rows.join(F.broadcast(ends))
+    at = F.when(F.col("_step") > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_step")), F.lit(bins - 1))).otherwise(0).cast("int")
+    found = both.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
+    out = every.join(found, [*keys, "bin"], "left").na.fill(0, ["n"])
+    density = F.when(F.col("_step") > 0, F.col("n") / (F.col("_all") * F.col("_step"))).otherwise(0.0)
+    return out.select(*keys, "bin", F.round(F.col("_lo") + F.col("bin") * F.col("_step"), 6).alias("lo"), "n", F.round(density, 9).alias("density"))
 
 
 def histogram_kl(df: DataFrame, keys: list[str], value: str, side: str, bins: int = 50) -> DataFrame:

@@ -6,18 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dual_window(df: DataFrame, key: str, time_us: str, seq: str, current_us: int, past_us: int) -> DataFrame:
-    """Rows in the current window and in the past window before it, as of each row, ties by ``seq``.
+def in_cells(df: DataFrame, time_us: str, span_us: int) -> DataFrame:
+    """Each row in its time cell of width ``span_us`` (``_own``) and in the next, so that a cell holds all that its own rows look back on."""
+    cell = F.floor(F.col(time_us) / span_us)
+    return df.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumn("_own", F.col("_cell") == cell)
 
-    Both are RANGE frames over microseconds; times are distinct within a key or later ties count too.
+
+def dual_window(df: DataFrame, key: str, time_us: str, current_us: int, past_us: int) -> DataFrame:
+    """Rows in the current window and in the past window before it, as of each row; rows of one time see each other.
+
+    A key's rows are dealt over time cells.
     """
-    w = Window.partitionBy(key).orderBy(time_us)
-    return df.withColumns({"cw": F.count("*").over(w.rangeBetween(-current_us, 0)), "pw": F.count("*").over(w.rangeBetween(-current_us - past_us, -current_us - 1))})
+    span = current_us + past_us
+    w = Window.partitionBy(key, "_cell").orderBy(time_us)
+    counted = in_cells(df, time_us, span).withColumns({"cw": F.count("*").over(w.rangeBetween(-current_us, 0)), "pw": F.count("*").over(w.rangeBetween(-span, -current_us - 1))})
+    return counted.filter("_own").drop("_cell", "_own")
+
+
+def warm(df: DataFrame, key: str, time_us: str, span_us: int) -> DataFrame:
+    """Rows of a key from ``span_us`` after its first row on: before that, windows aren't full."""
+    first = df.groupBy(key).agg((F.min(time_us) + span_us).alias("_full"))
+    return df.join(first, key).filter(F.col(time_us) >= F.col("_full")).drop("_full")
 
 
 def trailing(df: DataFrame, key: str, time_us: str, span_us: int, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(time_us).rangeBetween(-span_us, 0)
-    return df.withColumns({"n": F.count("*").over(w), "mean": F.round(F.avg(value).over(w), 6)})
+    """Number and mean of the rows in the last ``span_us`` of each row; a key's rows are dealt over time cells."""
+    w = Window.partitionBy(key, "_cell").orderBy(time_us).rangeBetween(-span_us, 0)
+    seen = in_cells(df, time_us, span_us).withColumns({"n": F.count("*").over(w), "mean": F.round(F.avg(value).over(w), 6)})
+    return seen.filter("_own").drop("_cell", "_own")
+
+
+def sliding_ends(df: DataFrame, time_us: str, size_us: int, step_us: int) -> DataFrame:
+    """Ends of windows of ``size_us`` every ``step_us`` from the first full one to the last row, empty windows included."""
+    ends = df.agg((F.min(time_us) + size_us).alias("a"), F.max(time_us).alias("b")).filter("a <= b")
+    return ends.select(F.explode(F.sequence("a", "b", F.lit(step_us))).alias("end"))
+
+
+def sliding_means(df: DataFrame, time_us: str, size_us: int, step_us: int, features: list[str], least: int) -> DataFrame:
+    """(end, n, feature means) of every sliding window [end - size, end]; means are null below ``least`` rows.
+
+    A row is put into the windows that hold it.
+    """
+    ends = sliding_ends(df, time_us, size_us, step_us)
+    first = F.broadcast(df.agg((F.min(time_us) + size_us).alias("_a"), F.max(time_us).alias("_z")))  # one row
+    t = F.col(time_us)
+    lowest = F.greatest(F.col("_a"), F.col("_a") + F.ceil((t - F.col("_a")) / F.lit(float(step_us))) * step_us)
+    highest = F.least(F.col("_z"), t + size_us)
+    rows = df.join(first).filter(lowest <= highest).withColumn("end", F.explode(F.sequence(lowest.cast("long"), highest.cast("long"), F.lit(step_us))))
+    found = rows.groupBy("end").agg(F.count("*").alias("n"), *(F.round(F.avg(f), 6).alias(f) for f in features))
+    full = ends.join(found, "end", "left").na.fill(0, ["n"])
+    return full.select("end", "n", *(F.when(F.col("n") >= least, F.col(f)).alias(f) for f in features))
 
 
 def hopping(df: DataFrame, time: str, size: str, step: str, aggregates: list, keys: tuple[str, ...] = ()) -> DataFrame:

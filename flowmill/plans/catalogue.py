@@ -79,7 +79,7 @@ CADENCE = f"""{FLOW}, s AS (SELECT min(us) AS s FROM flow), b AS (SELECT *, row_
 def cadenced(spark, sf_dir):
     rows = flow_view(spark, sf_dir)
     start = F.lit(rows.agg(F.min("us")).first()[0])
-    return order.cadence_global(rows, start, HOUR, ["us", "seq"], F.col("us"), F.floor(F.col("us") / (24 * HOUR)))
+    return order.cadence_global(rows, start, HOUR, ["us", "seq"], F.col("us"))
 
 
 @query(f"WITH {CADENCE} SELECT * FROM (" + confusion_sql("bucket", "x") + ") WHERE bucket < (SELECT max(bucket) FROM x)")
@@ -150,7 +150,7 @@ def align_mix(spark, sf_dir):
  SELECT seq, rn, chunk, lpad(chunk::VARCHAR, 5, '0') || '_' || strftime(min(daytime) OVER (PARTITION BY chunk), '%Y%m%d%H%M%S') || '.csv' AS file FROM c""")
 def chunk_ids(spark, sf_dir):
     rows = flow_view(spark, sf_dir).select("seq", "daytime")
-    return reshape.chunked(rows, 3000, ["daytime", "seq"], F.date_trunc("day", "daytime")).select("seq", "rn", "chunk", "file")
+    return reshape.chunked(rows, 3000, ["daytime", "seq"]).select("seq", "rn", "chunk", "file")
 
 
 @query(f"""WITH {FLOW}, t AS (SELECT seq, daytime, row_number() OVER (ORDER BY daytime, seq) - 1 AS i FROM flow WHERE label = 0), s AS (SELECT seq, row_number() OVER (ORDER BY daytime, seq) - 1 AS k FROM flow WHERE label = 1 AND daytime < (SELECT min(daytime) FROM flow WHERE label = 1) + INTERVAL 24 HOUR)
@@ -160,7 +160,7 @@ def cyclic_injection(spark, sf_dir):
     attacks = rows.filter("label = 1")
     first = attacks.agg(F.min("daytime")).first()[0]
     source = attacks.filter(F.col("daytime") < F.lit(first) + F.expr("INTERVAL 24 HOUR"))
-    return reshape.injected(rows.filter("label = 0").drop("label"), source.drop("label"), ["daytime", "seq"], F.date_trunc("day", "daytime"))
+    return reshape.injected(rows.filter("label = 0").drop("label"), source.drop("label"), ["daytime", "seq"])
 
 
 @query(f"WITH {FLOW} SELECT seq, daytime FROM flow WHERE daytime >= TIMESTAMP '2024-01-05 00:00:00' AND daytime < TIMESTAMP '2024-01-09 12:00:00'")
@@ -199,7 +199,7 @@ def minute_histogram_gapfill(spark, sf_dir):
 @query(f"""WITH {FLOW} SELECT seq, count(*) OVER (PARTITION BY label_key ORDER BY us RANGE BETWEEN {24 * HOUR} PRECEDING AND CURRENT ROW) AS cw,
  count(*) OVER (PARTITION BY label_key ORDER BY us RANGE BETWEEN {96 * HOUR} PRECEDING AND {24 * HOUR + 1} PRECEDING) AS pw FROM flow""")
 def dual_window_counts(spark, sf_dir):
-    return windows.dual_window(flow_view(spark, sf_dir), "label_key", "us", "seq", 24 * HOUR, 72 * HOUR).select("seq", "cw", "pw")
+    return windows.dual_window(flow_view(spark, sf_dir), "label_key", "us", 24 * HOUR, 72 * HOUR).select("seq", "cw", "pw")
 
 
 @query(f"WITH {FLOW} SELECT seq, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM flow WINDOW w AS (PARTITION BY label_key ORDER BY us RANGE BETWEEN {12 * HOUR} PRECEDING AND CURRENT ROW)")
@@ -327,8 +327,8 @@ def result_outer_join(spark, sf_dir):
 
 @query(f"""WITH {FLOW}, a AS (SELECT row_number() OVER (ORDER BY us, seq) AS rn, seq AS error_seq FROM flow WHERE label = 1), b AS (SELECT row_number() OVER (ORDER BY us, seq) AS rn, seq AS click_seq FROM flow WHERE label_key = 'click') SELECT rn, error_seq, click_seq FROM a FULL JOIN b USING (rn)""")
 def positional_zip(spark, sf_dir):
-    r, day = flow_view(spark, sf_dir), F.floor(F.col("us") / (24 * HOUR))
-    part = lambda c, n: order.global_row_number(r.filter(c), ["us", "seq"], day).select("rn", F.col("seq").alias(n))
+    r = flow_view(spark, sf_dir)
+    part = lambda c, n: order.global_row_number(r.filter(c), ["us", "seq"]).select("rn", F.col("seq").alias(n))
     return part("label = 1", "error_seq").join(part("label_key = 'click'", "click_seq"), "rn", "full_outer")
 
 
@@ -353,9 +353,18 @@ def packet_view(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("pair"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600).alias("ts"), F.when(F.col("event_id") % 3 == 0, "snd").otherwise("rcv").alias("direction"), F.when(F.col("event_id") % 2 == 0, "tcp").otherwise("udp").alias("protocol"), (F.col("event_id") % 5).cast("int").alias("port"), F.col("value").cast("long").alias("length"), F.lit(0).alias("label"))
 
 
-@query()
+PACKETS = """RECURSIVE p AS (SELECT user_id::VARCHAR AS pair, event_id AS seq, epoch_us(ts) / 1e6 / 600 AS ts, event_id % 3 <> 0 AS rcv, event_id % 2 = 0 AS tcp, event_id % 5 AS port, trunc(value)::BIGINT AS length FROM events),
+ s AS (SELECT pair, min(ts) AS start FROM p GROUP BY 1 UNION ALL SELECT p.pair, min(p.ts) FROM s JOIN p ON p.pair = s.pair AND p.ts - s.start > 60 GROUP BY p.pair),
+ f AS (SELECT p.*, s.start FROM p ASOF JOIN s ON p.pair = s.pair AND p.ts >= s.start),
+ g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY pair, start, rcv ORDER BY ts, seq) AS gap, row_number() OVER (PARTITION BY pair, start, rcv, port ORDER BY ts, seq) AS nth FROM f)"""
+
+
+@query(f"""WITH {PACKETS}, m AS (SELECT pair, start, port FROM (SELECT *, row_number() OVER (PARTITION BY pair, start ORDER BY nth DESC, ts, seq) AS r FROM g WHERE rcv) WHERE r = 1)
+ SELECT pair, start, count(*) AS n, count(*) FILTER (WHERE rcv) AS n_rcv, count(*) FILTER (WHERE NOT rcv) AS n_snd, count(*) FILTER (WHERE tcp) AS tcp, count(*) FILTER (WHERE NOT tcp) AS udp, coalesce(any_value(m.port), 0) AS most_port, count(DISTINCT g.port) FILTER (WHERE rcv) AS port_count,
+ {", ".join(f"coalesce(max(length) FILTER (WHERE {c}), 0) AS {s}_max_length, coalesce(min(length) FILTER (WHERE {c}), -10000) AS {s}_min_length, coalesce(max(gap) FILTER (WHERE {c}), 60.0) AS {s}_max_interval, coalesce(min(gap) FILTER (WHERE {c}), 60.0) AS {s}_min_interval" for s, c in (("rcv", "rcv"), ("snd", "NOT rcv")))}, 0 AS label
+ FROM g LEFT JOIN m USING (pair, start) GROUP BY pair, start HAVING (SELECT max(ts) FROM p) > start + 60""")
 def packet_flows(spark, sf_dir):
-    """Flows of packets with a maximum age; a fold, so without SQL."""
+    """Flows of packets with a maximum age."""
     return flows.packet_flows(packet_view(spark, sf_dir))
 
 
