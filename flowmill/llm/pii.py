@@ -26,7 +26,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-DIGIT = re.compile("[0-9]")
+DIGIT, MARK = re.compile("[0-9]"), re.compile("[0-9@]")
 WORD = re.compile(r"\S+")
 #: Words whose class a worker remembers; words that are decoded together.
 CACHE, WORDS = 100_000, 200_000
@@ -254,8 +254,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def lines_of(text: str) -> list[list[tuple[int, int]]]:
     """The words of each line that has a digit or an at sign, as character intervals."""
-    found = ([(m.start() + line.start(), m.end() + line.start()) for m in WORD.finditer(line[0])] for line in re.finditer(r"[^\n]*[0-9@][^\n]*", text))
-    return [words for words in found if words]
+    out, end = [], -1
+    for mark in MARK.finditer(text):
+        if mark.start() > end:
+            start = text.rfind("\n", 0, mark.start()) + 1
+            end = text.find("\n", mark.start())
+            end = len(text) if end < 0 else end
+            out.append([m.span() for m in WORD.finditer(text, start, end)])
+    return out
 
 
 def plausible(kind: int, text: str) -> bool:
