@@ -43,7 +43,7 @@ LEAST_BITS, MOST_BITS, CHARS_PER_CELL, CHUNKS = 16, 24, 256, 64
 COMPARE, BLOCK, GROUP = 20.0, 1000, 500
 SEEN, NOBODY, SLICE = 300_000, -(1 << 63), 2 << 20
 #: Longs that hold the parity of a set's hashes.
-PARITY = 8
+PARITY = 4
 
 
 def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -218,8 +218,8 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, size, p0 .., hashes) of the sets in ``wanted`` (set_id), from the rows of each set's smallest id.
+def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(set_id, hashes) or without ``whole`` (set_id, size, p0 ..) of the sets in ``wanted`` (set_id), from the rows of each set's smallest id.
 
     A set is there once, or where that id repeats or is null, at most once a task.
     """
@@ -227,7 +227,8 @@ def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col:
     bits = shard_bits(docs.count())
     root, _ = write_store(docs, "needed", bits, [])
     drop(docs)
-    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int32()), *((f"p{k}", pa.int64()) for k in range(PARITY)), ("hashes", pa.binary())])
+    more = [("hashes", pa.binary())] if whole else [("size", pa.int32()), *((f"p{k}", pa.int64()) for k in range(PARITY))]
+    schema = pa.schema([("set_id", pa.int64()), *more])
 
     def fetch(batches):
         store, seen = open_store(root, bits), set()
@@ -242,25 +243,27 @@ def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col:
             if len(seen) < SEEN:
                 seen.update(own)
             if own:
-                bits_of = np.stack([parity(s) for s in own.values()])
-                yield batch_of(schema, [list(own), [len(s) for s in own.values()], *bits_of.T, [s.tobytes() for s in own.values()]])
+                values = [[s.tobytes() for s in own.values()]] if whole else [[len(s) for s in own.values()], *np.stack([parity(s) for s in own.values()]).T]
+                yield batch_of(schema, [list(own), *values])
 
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text_col).cast("string"))
-    kind = "set_id long, size int, " + ", ".join(f"p{k} long" for k in range(PARITY)) + ", hashes binary"
-    return cut(rows.mapInArrow(fetch, kind), "hashes")
+    kind = "hashes binary" if whole else "size int, " + ", ".join(f"p{k} long" for k in range(PARITY))
+    return cut(rows.mapInArrow(fetch, f"set_id long, {kind}"), "hashes")
 
 
-def linked(pairs: DataFrame, held: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs`` (a, b: set ids, distinct) that link: b's set is sent for each pair, a's once a group of pairs."""
-    short = held.drop("hashes").dropDuplicates(["set_id"])
+def plausible(pairs: DataFrame, short: DataFrame, threshold: Threshold) -> DataFrame:
+    """Those of ``pairs`` (a, b: set ids) that the sets' sizes and parities (``short``) don't rule out."""
     x, y = (short.select(*(F.col(c).alias(f"{side}{c}") for c in short.columns)) for side in "xy")
     differing = sum((F.bit_count(F.col(f"xp{k}").bitwiseXOR(F.col(f"yp{k}"))) for k in range(PARITY)), F.lit(0))
     need = F.ceil(threshold.num * (F.col("xsize") + F.col("ysize")) / F.lit(float(threshold.num + threshold.den)) - 1e-9)
     fits = (F.least("xsize", "ysize") >= need) & (differing <= F.col("xsize") + F.col("ysize") - 2 * need)
-    near = pairs.join(x, F.col("a") == F.col("xset_id")).join(y, F.col("b") == F.col("yset_id")).filter(fits).select("a", "b")
-    near = cut(near, "near")
-    groups = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    salted = near.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
+    return pairs.join(x, F.col("a") == F.col("xset_id")).join(y, F.col("b") == F.col("yset_id")).filter(fits).select("a", "b")
+
+
+def linked(pairs: DataFrame, held: DataFrame, threshold: Threshold) -> DataFrame:
+    """Those of ``pairs`` (a, b: set ids, distinct) that link: b's set is sent for each pair, a's once a group of pairs."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    salted = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
     others = salted.select("a", "b", "salt").join(held.select(F.col("set_id").alias("b"), "hashes"), "b")
     salts = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")
     firsts = groups.select("a", salts).join(held.select(F.col("set_id").alias("a"), F.col("hashes").alias("first")), "a")
@@ -325,18 +328,26 @@ def jaccard_components(df: DataFrame, n: int = 3, threshold: tuple[int, int] = (
 
     wide = lists.filter("set_id != f.set_id").filter(t.compatible(F.col("size"), F.col("pos"), F.col("f.size"), F.col("f.pos")))
     stars = cut(wide.groupBy(F.col("f.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("n")), "stars")
-    members = lists.select("set_id").distinct()
-    held = held_sets(df, members, sets, n, id_col, text_col)
+    short = held_sets(df, lists.select("set_id").distinct(), sets, n, id_col, text_col, False)
+    parities = short.dropDuplicates(["set_id"])
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        near = cut(plausible(pairs, parities, t), "near")
+        wanted = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+        held = held_sets(df, wanted, sets, n, id_col, text_col, True)
+        found = cut(linked(near, held, t), "links")
+        drop(near, held)
+        return found
+
     best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
-    links = cut(linked(best, held, t), "links")
+    links = links_of(best)
     cluster = clusters_of(links)
-    rest = apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), cluster)
-    links = cut(links.unionByName(linked(rest, held, t)), "links")
+    links = links.unionByName(links_of(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), cluster)))
     cluster = clusters_of(links)
     compared = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     others = other_pairs(lists.drop("f"), cluster, t).join(compared, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(linked(others, held, t)), "links")
-    drop(held, lists, stars)
+    links = links.unionByName(links_of(others))
+    drop(short, lists, stars)
     roots = clusters_of(links)
 
     smallest = roots.join(sets, "set_id").groupBy("cluster").agg(F.min("doc").alias("component"))
