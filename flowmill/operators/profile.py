@@ -73,6 +73,7 @@ def welch(df: DataFrame, value: str, side: str, keys: list[str]) -> DataFrame:
 
 
 def importance(df: DataFrame, features: list[str], target: str, keys: list[str], axis: str) -> DataFrame:
-    """Mean over ``axis`` of each feature's correlation with ``target`` within (keys, axis)."""
-    found = df.groupBy(*keys, axis).agg(*(F.corr(f, target).alias(f) for f in features))
+    """Mean over ``axis`` of each feature's correlation with ``target`` within (keys, axis), null groups (constant columns) left out."""
+    corr = lambda f: F.try_divide(F.covar_pop(f, target), F.stddev_pop(f) * F.stddev_pop(target))
+    found = df.groupBy(*keys, axis).agg(*(corr(f).alias(f) for f in features))
     return found.groupBy(*keys).agg(*(F.round(F.avg(f), 6).alias(f) for f in features))
