@@ -93,7 +93,7 @@ def raw_kl_of_pairs(spark, sf_dir):
     return both.groupBy("a", "b").agg(F.round(profile.aligned_kl(F.col("va"), F.col("vb")), 6).alias("kl"), F.round(F.avg(F.abs(F.col("va") - F.col("vb"))), 6).alias("mean_distance"))
 
 
-@query(f"""WITH {FLOW}, c AS (SELECT date_trunc('day', daytime) AS day, label_key, corr(value, score) AS value, corr(k, score) AS k FROM flow GROUP BY ALL) SELECT label_key, round(avg(value), 6) AS value, round(avg(k), 6) AS k FROM c GROUP BY 1""")
+@query(f"""WITH {FLOW}, c AS (SELECT date_trunc('day', daytime) AS day, label_key, nullif(corr(value, score), 'NaN'::DOUBLE) AS value, nullif(corr(k, score), 'NaN'::DOUBLE) AS k FROM flow GROUP BY ALL) SELECT label_key, round(avg(value), 6) AS value, round(avg(k), 6) AS k FROM c GROUP BY 1""")
 def feature_importance(spark, sf_dir):
     return profile.importance(flow_view(spark, sf_dir).withColumn("day", F.date_trunc("day", "daytime")), ["value", "k"], "score", ["label_key"], "day")
 

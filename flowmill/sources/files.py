@@ -6,10 +6,13 @@ import os
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.reshape import chunked
+from ..functions.scalars import cell_text
+from ..operators.flows import labelled_flows
+from ..operators.net import Network
+from ..operators.reshape import chunked, shifted
 
 #: First four bytes of capture files (fixed values): name of the extension by hex.
 MAGIC = {"D4C3B2A1": ".pcap", "A1B2C3D4": ".pcap", "4D3CB2A1": ".pcap", "A1B23C4D": ".pcap", "0A0D0D0A": ".pcapng"}
@@ -21,28 +24,113 @@ def read_leaf(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One JSON object a line; blank lines are skipped, a malformed line is an error."""
     return spark.read.option("mode", "FAILFAST").json(path)
 
 
-def write_chunks(df: DataFrame, path: str, rows: int, order: list[str], coarse, time: str = "daytime") -> DataFrame:
-    """Write ``rows`` rows a chunk in order to a staging folder by file name, then put it in place.
+def _folder(spark: SparkSession, path: str):
+    """Hadoop file system and path: the folder may be on any storage that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    The target must not exist or be empty.  Returns the (chunk, file) names.
+
+def write_named(rows: DataFrame, path: str, order: list[str], columns: list[str], replace: bool = False) -> list[str]:
+    """Write rows to one CSV file for each value of ``file``, of that name, in ``order``; gives the names.
+
+    All files are written to a staging folder first.  Only then an old output goes, which without ``replace`` must not
+    exist or be empty; no rows are an error and leave it as it is.
     """
-    fs = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.exists(target) and len(fs.listStatus(target)):
+    spark = rows.sparkSession
+    fs, target = _folder(spark, path)
+    old = fs.exists(target) and len(fs.listStatus(target)) > 0
+    if old and not replace:
         raise ValueError(f"{path} isn't empty")
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    out = chunked(df, rows, order, coarse, time)
-    columns = [c for c in df.columns if c != "file"]
-    out.repartition("file").sortWithinPartitions("file", "rn").select("file", *columns).write.partitionBy("file").option("header", True).csv(staged)
+    text = rows.repartition("file").sortWithinPartitions("file", *order).select("file", *(F.col(f"`{c}`") for c in columns))
+    text.write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
+    _, top = _folder(spark, staged)
+    names = []
+    for folder in fs.listStatus(top):  # one file each: a rename, no data
+        if folder.isDirectory():
+            name = folder.getPath().getName().split("=", 1)[1]
+            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, _folder(spark, f"{staged}/{name}")[1])
+            fs.delete(folder.getPath(), True)
+            names.append(name)
+    if not names:
+        fs.delete(top, True)
+        raise ValueError("no rows to write")
     if fs.exists(target):
         fs.delete(target, True)
-    fs.rename(df.sparkSession._jvm.org.apache.hadoop.fs.Path(staged), target)
-    return df.sparkSession.read.option("header", True).csv(path).select("file").distinct()
+    fs.rename(top, target)
+    return sorted(names)
+
+
+def write_chunks(df: DataFrame, path: str, rows: int, order: list[str], time: str = "daytime", pattern: str = "yyyyMMddHHmmss", replace: bool = False) -> list[str]:
+    """Write ``rows`` rows a file in order; names are the chunk's number and its first time by ``pattern``."""
+    out = chunked(df, rows, order, time=time, pattern=pattern)
+    return write_named(out, path, ["rn"], [c for c in df.columns if c != "file"], replace)
+
+
+def rewrite_shifted(df: DataFrame, path: str, baseline: Column, file: str, order: list[str], time: str = "daytime") -> list[str]:
+    """Move all times so that the first is at ``baseline`` and write one output for each input file that has rows.
+
+    Names are the input's place among all file names and its first moved time.
+    """
+    moved = shifted(df, baseline, time)
+    first = moved.groupBy(file).agg(F.min(time).alias("_first"))
+    place = F.row_number().over(Window.orderBy(file)) - 1  # a row for each file
+    name = F.concat(F.lpad(place.cast("string"), 5, "0"), F.lit("_"), F.date_format("_first", "yyyyMMddHHmmss"), F.lit(".csv"))
+    named = moved.join(first.select(F.col(file).alias("_in"), name.alias("file")), F.col(file) == F.col("_in"))
+    return write_named(named, path, order, [c for c in df.columns if c != file])
+
+
+def target_logs(names: str | list[str]) -> list[str]:
+    """Log names of a setting, stripped, without blanks and repeats, in order."""
+    found = [x.strip() for x in (names.split(",") if isinstance(names, str) else names)]
+    return [x for x in dict.fromkeys(found) if x]
+
+
+def log_folders(spark: SparkSession, path: str, names: list[str]) -> list[str]:
+    """``path`` if it has one of the logs, else those of its folders that do, sorted; none is an error."""
+    fs, top = _folder(spark, path)
+    if not fs.exists(top):
+        raise ValueError(f"{path} doesn't exist")
+    has = lambda at: any(fs.exists(_folder(spark, f"{at}/{n}")[1]) for n in names)
+    if has(path):
+        return [path]
+    inner = sorted(f.getPath().toString() for f in fs.listStatus(top) if f.isDirectory())
+    found = [x for x in inner if has(x)]
+    if not found:
+        raise ValueError(f"no log folders in {path}")
+    return found
+
+
+def read_logs(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """All records of the logs in ``path``, one JSON object a line; columns are the union over all files."""
+    fs = _folder(spark, path)[0]
+    paths = [f"{at}/{n}" for at in log_folders(spark, path, names) for n in names]
+    return read_ndjson(spark, [p for p in paths if fs.exists(_folder(spark, p)[1])])
+
+
+def first_time(records: DataFrame) -> float | None:
+    """The least ``ts`` of records, bad ones left out."""
+    return records.agg(F.min(F.col("ts").cast("string").try_cast("double"))).first()[0]
+
+
+def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: str | list[str] = ("conn.log",), rows: int = 3000, zone: str = "Asia/Tokyo") -> list[str]:
+    """Connection logs to labelled flow rows in order of end time, ``rows`` a CSV file; gives the file names.
+
+    An earlier output is replaced once the new one is whole; without any labelled record it stays and an error is raised.
+    """
+    records = read_logs(spark, path, target_logs(list(names) if not isinstance(names, str) else names))
+    found = labelled_flows(records, net, zone)
+    others = [c for c in found.columns if c not in ("daytime", "label")]
+    cells = found.select(F.to_timestamp("daytime").alias("_t"), "daytime", F.col("label").cast("string").alias("label"), *(cell_text(found, c).alias(c) for c in others))
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in cells.columns)).alias("_tie")
+    ordered = chunked(cells.select("*", tie), rows, ["_t", "_tie"], time="_t")
+    return write_named(ordered, out, ["rn"], ["daytime", "label", *others], replace=True)
 
 
 def capture_extensions(spark: SparkSession, path: str) -> DataFrame:
