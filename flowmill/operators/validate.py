@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import boolean_like, numeric, parsed_time
+from .flows import REQUIRED
 
 #: Columns that may be blank (fixed values).
 MAY_BE_BLANK = ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes")
@@ -57,3 +60,87 @@ def header_problems(headers: dict[str, list[str]], required: tuple[str, ...]) ->
             out.append((name, "WARNING", "header differs from the first file's"))
         first = first or header
     return out
+
+
+#: Checks of a folder and its files, which come before those of rows.
+FOLDER_CHECKS = ("input_dir", "directory_layout", "csv_files", "header", "row_structure")
+
+
+@dataclass(frozen=True)
+class Report:
+    """Problems (check, severity, file, row, column) and the status of each check; ``code`` is the exit code."""
+
+    problems: list[tuple[str, str, str | None, int | None, str | None]]
+    statuses: dict[str, str]
+
+    @property
+    def ok(self) -> bool:
+        return all(severity != "ERROR" for _, severity, *_ in self.problems)
+
+    @property
+    def code(self) -> int:
+        return 0 if self.ok else 1
+
+    def text(self) -> str:
+        rows = [f"{check}: {status}" for check, status in self.statuses.items()]
+        rows += [f"{severity} {check} {file or ''}{'' if row is None else f':{row}'} {column or ''}".rstrip() for check, severity, file, row, column in self.problems]
+        return "\n".join([*rows, "passed" if self.ok else "failed"])
+
+
+def statuses(problems: list[tuple], done: tuple[str, ...]) -> dict[str, str]:
+    """NG with an error, WARNING with warnings only, OK without problems, NOT RUN for checks that an error cut off."""
+    out = {}
+    for check in (*FOLDER_CHECKS, *CHECKS):
+        worst = {p[1] for p in problems if p[0] == check}
+        out[check] = "NG" if "ERROR" in worst else "WARNING" if worst else "OK" if check in done else "NOT RUN"
+    return out
+
+
+def check_folder(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED, shown: int = 1000) -> Report:
+    """Validate a folder of CSV files: its layout, each header, the rows' structure and cells, and the order of times over all files.
+
+    Files are taken in the order of their names.  The report lists at most ``shown`` problems of rows; the statuses rest on all.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        found = [("input_dir", "ERROR", None, None, None)]
+        return Report(found, statuses(found, ()))
+    entries = sorted((f.getPath().getName(), f.isDirectory()) for f in fs.listStatus(at))
+    found = [("directory_layout", "ERROR", name, None, None) for name, folder in entries if folder or not name.endswith(".csv")]
+    names = [name for name, folder in entries if not folder and name.endswith(".csv")]
+    if not names:
+        found.append(("csv_files", "ERROR", None, None, None))
+        return Report(found, statuses(found, ("input_dir", "directory_layout")))
+    lines = spark.read.text([f"{path}/{n}" for n in names], wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    heads = {r.file: [c.strip() for c in r.head.split(",")] if r.head else [] for r in lines.select("file", F.get("lines", F.lit(0)).alias("head")).collect()}
+    headers = header_problems({n: heads.get(n, []) for n in names}, required)
+    found += [("header", severity, name, 1, text) for name, severity, text in headers]
+    broken = {name for name, severity, _ in headers if severity == "ERROR"}
+    good = [n for n in names if n not in broken]
+    done = FOLDER_CHECKS if not good else (*FOLDER_CHECKS, *CHECKS)
+    if good:
+        body = lines.filter(F.col("file").isin(good)).select("file", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line"), F.size("lines").alias("_n"))
+        body = body.filter("not (row = _n - 2 and line = '')").withColumn("row", F.col("row") + 2).drop("_n")  # a final line feed starts no row
+        empty = set(good) - {r.file for r in body.select("file").distinct().collect()}
+        found += [("row_structure", "WARNING", name, None, "no rows") for name in sorted(empty)]
+        for head in {tuple(heads[n]) for n in good}:
+            own = body.filter(F.col("file").isin([n for n in good if tuple(heads[n]) == head]))
+            cells = own.withColumn("c", F.from_csv("line", ", ".join(f"`{c}` string" for c in (*head, "_more"))))
+            rows = cells.select("file", "row", F.col("c._more").isNotNull().alias("_wide"), (F.regexp_replace("line", "[,\\s\"]", "") == "").alias("_blank"), *(F.coalesce(F.col(f"c.`{c}`"), F.lit("")).alias(c) for c in head))
+            shape = rows.filter("_wide or _blank").select(F.lit("row_structure").alias("check"), F.lit("ERROR").alias("severity"), "file", "row", F.when(F.col("_blank"), "blank row").otherwise("too many fields").alias("column"))
+            told = shape.unionByName(problems(rows.filter("not _blank and not _wide").drop("_wide", "_blank")).filter("check != 'time_order'"))
+            found += [tuple(r) for r in told.orderBy("file", "row").limit(shown).collect()]
+        times = body.select("file", "row", parsed_time(F.element_at(F.split("line", ","), F.lit(1))).alias("t")) if all(heads[n][:1] == ["daytime"] for n in good) else None
+        if times is not None:
+            # within files, then each file's first time against the last of the files before it
+            inner = times.withColumn("_before", F.max("t").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)))
+            late = inner.filter("t < _before").select("file", "row").limit(shown).collect()
+            ends = sorted((r.file, r.a, r.z) for r in times.groupBy("file").agg(F.min("t").alias("a"), F.max("t").alias("z")).collect())
+            top = None
+            for name, first, end in ends:
+                if top is not None and first is not None and first < top:
+                    found.append(("time_order", "ERROR", name, None, "daytime"))
+                top = max((x for x in (top, end) if x is not None), default=None)
+            found += [("time_order", "ERROR", r.file, r.row, "daytime") for r in late]
+    return Report(found, statuses(found, done))

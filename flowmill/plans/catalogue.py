@@ -383,6 +383,7 @@ def replay_dynamic(spark, sf_dir):
     return _replay(spark, sf_dir, "dy", interval=43200.0, current=86400.0, past=259200.0, theta=0.0001)
 
 
-@query()
+@query(f"WITH {FLOW} SELECT label_key AS key, seq, (k > 80)::INTEGER AS label, 0.5::DOUBLE AS score, false AS retrained FROM flow")
 def replay_none(spark, sf_dir):
+    """Scores of a model that is never trained: logistic regression with weights 0."""
     return _replay(spark, sf_dir, "nt")

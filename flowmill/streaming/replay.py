@@ -67,6 +67,15 @@ def replay(df: DataFrame, features: list[str], mode: str, **settings: float) ->
     """Scores of every row of (key, seq, t seconds, label, features): ``nt``, ``st`` or ``dy``."""
     options = {"code": 4, "interval": 3600.0, "current": 600.0, "past": 3600.0, "k": 8, "theta": 0.025, "epochs": 20} | settings
 
+    if mode == "nt":  # nothing is kept from row to row
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = create(options["code"], len(features))
+            for pdf in batches:
+                yield pdf[["key", "seq", "label"]].assign(score=model.predict(pdf[features].to_numpy(float)), retrained=False)
+
+        return df.select("key", "seq", "t", "label", *features).mapInPandas(scored, OUT)
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return Session(mode, len(features), **options).run(pdf, features)
 
