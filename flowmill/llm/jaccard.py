@@ -13,8 +13,8 @@ when intersection over union reaches the threshold.
 Lists aren't expanded to all pairs.  First every member may be compared with its list's first one, and sets
 linked so form clusters; the first one has the least rare elements before the shared one, as the least edited copy has.  A set is compared with the first one that it shares most lists with, then, if they
 aren't in one cluster by then, with the others.  Then only pairs of different clusters within a list are compared, list
-members in blocks.  A pair is compared element by element unless the parity of its elements' hash bits shows that too
-many differ.  Every pair that shares a list is compared, ruled out by a bound or in one cluster, so no link between
+members in blocks.  A pair is compared element by element unless the parities of its sets' cells, about a bit for each
+element, show that too many differ.  Every pair that shares a list is compared, ruled out by a bound or in one cluster, so no link between
 components is lost.
 
 Shingles are compared as 64-bit hashes, and sets of equal hashes count as equal: among n distinct shingles, two
@@ -23,11 +23,11 @@ collide with a chance of about n squared over 2 to the 65.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +42,7 @@ LEAST_BITS, MOST_BITS, CHARS_PER_CELL, CHUNKS = 16, 24, 256, 64
 #: Cost of comparing two sets, in list entries; list members of a block; members of a task's group of comparisons.
 COMPARE, BLOCK, GROUP = 20.0, 1000, 500
 SEEN, NOBODY, SLICE = 300_000, -(1 << 63), 2 << 20
-#: Longs that hold the parity of a set's hashes.
+#: Least longs that hold the parities of a set's cells.
 PARITY = 4
 
 
@@ -106,6 +106,10 @@ def sketch_bits(df: DataFrame, text_col: str) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (chars // CHARS_PER_CELL).bit_length()))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), "zstd", asbytes=True)
+
+
 def set_table(df: DataFrame, n: int, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """(doc, row_key, n_shingles, set_id) of each row, and the sketch of all shingle counts.
 
@@ -125,7 +129,7 @@ def set_table(df: DataFrame, n: int, id_col: str, text_col: str, key_col: str |
             none = [None] * len(sets)
             yield batch_of(schema, [part.column(0), part.column(2), [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], none, none])
         if sketch.any():
-            raw = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in sketch.reshape(CHUNKS, -1)]
+            raw = [packed(np.minimum(x, 255).astype(np.uint8)) for x in sketch.reshape(CHUNKS, -1)]
             none = [None] * CHUNKS
             yield batch_of(schema, [none, none, none, none, list(range(CHUNKS)), raw])
 
@@ -133,17 +137,23 @@ def set_table(df: DataFrame, n: int, id_col: str, text_col: str, key_col: str |
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string"), key.cast("long").alias("row_key"))
     found = cut(rows.mapInArrow(run, "doc long, row_key long, n_shingles long, set_id long, chunk int, counts binary"), "sets")
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part_cells, np.int64)
-        for raw in pdf["counts"]:
-            total += np.frombuffer(raw, np.uint8 if len(raw) == part_cells else "<i4")
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, 1 << 30).astype("<i4").tobytes()]})
+    def added(dtype: str):
+        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(part_cells, np.int64)
+            for batch in batches:
+                for raw in batch.column("counts"):
+                    total += np.frombuffer(pa.decompress(raw.as_buffer(), part_cells * np.dtype(dtype).itemsize, "zstd"), dtype)
+            sums = packed(np.minimum(total, 1 << 30).astype("<i4"))
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([sums], pa.binary())], ["chunk", "counts"])
 
-    chunks = found.filter("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("salt"))
-    some = chunks.groupBy("chunk", "salt").applyInPandas(add, "chunk int, counts binary")
+        return add
+
+    salt = F.pmod(F.floor(F.spark_partition_id() / 16), F.lit(64)).alias("salt")  # sixteen partitions a group at first
+    some = found.filter("chunk is not null").select("chunk", "counts", salt).groupBy("chunk", "salt").applyInArrow(added("u1"), "chunk int, counts binary")
     sketch = np.zeros(cells, np.int32)
-    for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toLocalIterator():  # a fixed number of rows
-        sketch[row.chunk * part_cells : (row.chunk + 1) * part_cells] = np.frombuffer(row.counts, "<i4")
+    for row in some.groupBy("chunk").applyInArrow(added("<i4"), "chunk int, counts binary").toLocalIterator():  # a fixed number of rows
+        own = pa.decompress(row.counts, part_cells * 4, "zstd", asbytes=True)
+        sketch[row.chunk * part_cells : (row.chunk + 1) * part_cells] = np.frombuffer(own, "<i4")
     return found.filter("chunk is null").drop("chunk", "counts"), np.minimum(sketch, 0xFFFF).astype(np.uint16)
 
 
@@ -213,13 +223,26 @@ def list_entries(df: DataFrame, n: int, threshold: Threshold, sketch: np.ndarray
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the number of hashes in each of ``PARITY`` * 64 cells, as longs; it bounds how much two sets differ."""
-    odd = np.bincount((hashes & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+    """Parity of the number of hashes in each cell, as longs; it bounds how much two sets differ.
+
+    The cells are the low bits of the hashes; there are as many as elements, rounded up to a power of two.
+    """
+    cells = 1 << max((64 * PARITY - 1).bit_length(), (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def least_differing(x: Column, y: Column) -> Column:
+    """Number of cells that differ; the longer one of two parities is folded if it has twice the cells, else nothing is known."""
+    n = F.least(F.size(x), F.size(y))
+    both = lambda a, b: F.zip_with(a, b, lambda u, v: u.bitwiseXOR(v))
+    folded = lambda p: F.when(F.size(p) > n, both(F.slice(p, 1, n), F.slice(p, n + 1, n))).otherwise(p)
+    found = F.aggregate(both(folded(x), folded(y)), F.lit(0), lambda total, v: total + F.bit_count(v))
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * n, found).otherwise(0)
+
+
 def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """(set_id, hashes) or without ``whole`` (set_id, size, p0 ..) of the sets in ``wanted`` (set_id), from the rows of each set's smallest id.
+    """(set_id, hashes) or without ``whole`` (set_id, size, parity) of the sets in ``wanted`` (set_id), from the rows of each set's smallest id.
 
     A set is there once, or where that id repeats or is null, at most once a task.
     """
@@ -227,7 +250,7 @@ def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col:
     bits = shard_bits(docs.count())
     root, _ = write_store(docs, "needed", bits, [])
     drop(docs)
-    more = [("hashes", pa.binary())] if whole else [("size", pa.int32()), *((f"p{k}", pa.int64()) for k in range(PARITY))]
+    more = [("hashes", pa.binary())] if whole else [("size", pa.int32()), ("parity", pa.list_(pa.int64()))]
     schema = pa.schema([("set_id", pa.int64()), *more])
 
     def fetch(batches):
@@ -243,20 +266,19 @@ def held_sets(df: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, id_col:
             if len(seen) < SEEN:
                 seen.update(own)
             if own:
-                values = [[s.tobytes() for s in own.values()]] if whole else [[len(s) for s in own.values()], *np.stack([parity(s) for s in own.values()]).T]
+                values = [[s.tobytes() for s in own.values()]] if whole else [[len(s) for s in own.values()], [parity(s) for s in own.values()]]
                 yield batch_of(schema, [list(own), *values])
 
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text_col).cast("string"))
-    kind = "hashes binary" if whole else "size int, " + ", ".join(f"p{k} long" for k in range(PARITY))
+    kind = "hashes binary" if whole else "size int, parity array<long>"
     return cut(rows.mapInArrow(fetch, f"set_id long, {kind}"), "hashes")
 
 
 def plausible(pairs: DataFrame, short: DataFrame, threshold: Threshold) -> DataFrame:
     """Those of ``pairs`` (a, b: set ids) that the sets' sizes and parities (``short``) don't rule out."""
     x, y = (short.select(*(F.col(c).alias(f"{side}{c}") for c in short.columns)) for side in "xy")
-    differing = sum((F.bit_count(F.col(f"xp{k}").bitwiseXOR(F.col(f"yp{k}"))) for k in range(PARITY)), F.lit(0))
     need = F.ceil(threshold.num * (F.col("xsize") + F.col("ysize")) / F.lit(float(threshold.num + threshold.den)) - 1e-9)
-    fits = (F.least("xsize", "ysize") >= need) & (differing <= F.col("xsize") + F.col("ysize") - 2 * need)
+    fits = (F.least("xsize", "ysize") >= need) & (least_differing(F.col("xparity"), F.col("yparity")) <= F.col("xsize") + F.col("ysize") - 2 * need)
     return pairs.join(x, F.col("a") == F.col("xset_id")).join(y, F.col("b") == F.col("yset_id")).filter(fits).select("a", "b")
 
 

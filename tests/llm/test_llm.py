@@ -489,3 +489,19 @@ def test_pipeline(spark, folder):
             assert 9200 in after and 9201 in after and not {9202, 9203, 9204, 9205} & after
     check_bins(top.collect(), 2048)
     assert json.dumps(top.columns)
+
+
+def test_parities_bound_how_much_sets_differ(spark):
+    rng = np.random.default_rng(5)
+    rows, most = [], []
+    for size in (1, 200, 256, 257, 500, 513, 1030):
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for extra in (0, 3, 40, 600):
+            y = np.unique(np.concatenate([x[extra // 2 :], rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
+            rows.append((len(rows), jaccard.parity(x).tolist(), jaccard.parity(y).tolist()))
+            most.append(len(np.setxor1d(x, y)))
+    pairs = spark.createDataFrame(rows, "i long, x array<long>, y array<long>")
+    found = {r.i: r.d for r in pairs.select("i", jaccard.least_differing(pairs.x, pairs.y).alias("d")).collect()}
+    assert all(found[i] <= n for i, n in enumerate(most))
+    assert all(found[i] == 0 for i, n in enumerate(most) if n == 0)
+    assert all(found[i] > n / 2 for i, n in enumerate(most) if i % 4 < 3)  # of sets that differ little most is seen
