@@ -504,4 +504,4 @@ def test_parities_bound_how_much_sets_differ(spark):
     found = {r.i: r.d for r in pairs.select("i", jaccard.least_differing(pairs.x, pairs.y).alias("d")).collect()}
     assert all(found[i] <= n for i, n in enumerate(most))
     assert all(found[i] == 0 for i, n in enumerate(most) if n == 0)
-    assert all(found[i] > n / 2 for i, n in enumerate(most) if i % 4 < 3)  # of sets that differ little most is seen
+    assert all(found[i] >= n / 2 for i, n in enumerate(most) if i % 4 < 3)  # of sets that differ little most is seen
