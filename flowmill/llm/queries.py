@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser, language, media, packing, pii, quality, suffix, token_counts
+from . import bpe, jaccard, kneser, language, media, packing, pii, quality, suffix, token_counts, trie
 from .common import documents
 
 #: Folder of the public tokenizers' files; empty: where their package has them.
@@ -85,7 +85,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op8_kneser_ney_trigrams, op9_suffix_dedup, op10_language)}
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns = trie.turn_rows(conversations(spark, sf_dir))
+    rows, ids = trie.branched(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, most=8)
+    return trie.prefix_trie(rows, ids, ["turn"]).drop("preorder", "subtree_end")
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op8_kneser_ney_trigrams, op9_suffix_dedup, op10_language, op11_prefix_trie)}
 
 #: DuckDB SQL of the rows whose every column SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql(), "op11_prefix_trie": trie.trie_sql()}
