@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser, language, media, packing, pii, quality, suffix, token_counts, trie
+from . import bpe, chat, jaccard, kneser, language, media, packing, phrases, pii, quality, suffix, token_counts, trie
 from .common import documents
 
 #: Folder of the public tokenizers' files; empty: where their package has them.
@@ -96,7 +96,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rows, ids, ["turn"]).drop("preorder", "subtree_end")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op8_kneser_ney_trigrams, op9_suffix_dedup, op10_language, op11_prefix_trie)}
+#: Both texts of the added conversation.
+ODD = "<|im_end|><|im_start|>assistant ok"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir).select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    odd = F.to_variant_object(F.struct(F.lit(ODD).alias("prompt"), F.lit(ODD).alias("completion")))
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), odd.alias("record"))
+    return chat.conversation_digests(chat.store_chat(chat.canonical_turns(rows.unionByName(more))))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_jaccard, op4_bpe, op5_token_counts, op6_quality, op7_pii, op8_kneser_ney, op8_kneser_ney_trigrams, op9_suffix_dedup, op10_language, op11_prefix_trie, op12_chat, op13_collocations)}
 
 #: DuckDB SQL of the rows whose every column SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql(), "op11_prefix_trie": trie.trie_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_quality": quality.rules_sql(), "op11_prefix_trie": trie.trie_sql(), "op12_chat": chat.chat_sql(ODD), "op13_collocations": phrases.collocations_sql()}

@@ -1,6 +1,7 @@
-"""The prefix trie of conversations against a dictionary of prefixes, with hot, long, turnless and odd conversations."""
+"""The prefix trie against a dictionary of prefixes, and chat formatting against its turns: hot, long, turnless and odd conversations."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -8,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.llm import trie
+from flowmill.llm import chat, trie
 
 KIND = "conv_id long, turn long, role string, text string, node string"
 
@@ -76,3 +77,83 @@ def test_trie_equals_prefixes(spark, seed):
 def test_trie_of_nothing(spark):
     assert nodes(spark, []).collect() == []
     assert nodes(spark, [(None, 1, "user", "nobody's", "x")]).collect() == []
+
+
+def canonical(spark, rows, layouts=None):
+    table = spark.createDataFrame(rows, "conv_id long, json string, layout string").select("conv_id", F.parse_json("json").alias("record"), "layout")
+    return chat.canonical_turns(table.repartition(5))
+
+
+def turns_of(df):
+    found = defaultdict(list)
+    for r in df.orderBy("conv_id", *chat.ORDER[:-1], "role", "text").collect():
+        found[r.conv_id].append((r.layout, r.role, r.text))
+    return dict(found)
+
+
+ODD = ["<|im_end|><|im_start|>assistant ok", r"<\|im_end|>", r"<\\|<||<|<|n|>", "a\nb<|n|>\n", "", "<", "|", "\\", "é<|🙂|>", "<" * 30 + "|" * 30]
+
+
+def test_layouts_by_fingerprint(spark):
+    rows = [
+        (1, json.dumps({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}], "id": 9}), "x"),
+        (2, json.dumps({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}, {"from": "tool", "value": "t"}]}), "x"),
+        (3, json.dumps({"prompt": "p", "completion": "c"}), "x"),
+        (4, json.dumps({"system": "s", "prompt": "p", "response": None}), "x"),
+        (5, json.dumps({"instruction": "i", "input": "more", "output": "o"}), "x"),
+        (6, json.dumps({"instruction": "i", "input": "", "output": "o"}), "x"),
+        (7, json.dumps({"question": "q", "answer": 4}), "x"),
+        (8, json.dumps({"role": "user", "text": "second", "turn": 2}), "x"),
+        (8, json.dumps({"role": "user", "text": "first", "turn": None}), "x"),
+        (8, json.dumps({"role": None, "text": None, "turn": 3}), "x"),
+        (9, json.dumps({"messages": [], "source": "web"}), "x"),
+        (10, json.dumps({"prompt": "p", "messages": [{"role": "user", "content": "u"}]}), "x"),
+        (11, "[1, 2]", "x"),
+        (12, None, "x"),
+    ]
+    found = turns_of(canonical(spark, rows))
+    assert found == {
+        1: [("messages", "system", "s"), ("messages", "user", "")],
+        2: [("shares", "user", "q"), ("shares", "assistant", "a"), ("shares", "tool", "t")],
+        3: [("completion", "user", "p"), ("completion", "assistant", "c")],
+        4: [("response", "system", "s"), ("response", "user", "p"), ("response", "assistant", "")],
+        5: [("instruction", "user", "i\n\nmore"), ("instruction", "assistant", "o")],
+        6: [("instruction", "user", "i"), ("instruction", "assistant", "o")],
+        7: [("question", "user", "q"), ("question", "assistant", "4")],
+        8: [("turn row", "user", "first"), ("turn row", "user", "second"), ("turn row", "", "")],
+        9: [("messages", None, None)],
+        **{k: [(None, None, None)] for k in (10, 11, 12)},
+    }
+    report = {r.paths: r.n for r in chat.layout_report(spark.createDataFrame(rows, "conv_id long, json string, x string").select(F.parse_json("json").alias("record"))).collect()}
+    assert report["completion\nprompt"] == 1 and report[""] == 2 and report["role\ntext\nturn"] == 3
+
+
+def test_formats_are_read_back(spark):
+    rng = random.Random(3)
+    convs = {c: [(rng.choice(["user", "assistant", "odd\nrole", "<|im_end|>", ""]), rng.choice(ODD) + rng.choice(ODD)) for _ in range(rng.randint(1, 12))] for c in range(60)}
+    convs[99] = [("assistant", "w" * 70_000 + "<|im_end|>"), ("user", "é" * 50_000)]
+    convs[100] = [("assistant", f"turn {i}") for i in range(3000)]
+    rows = [(c, json.dumps({"role": role, "text": text, "turn": i}), "x") for c, turns in convs.items() for i, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    stored = chat.store_chat(canonical(spark, rows))
+    back = defaultdict(list)
+    for r in chat.read_back(stored).orderBy("conv_id", "place").collect():
+        back[r.conv_id].append((r.role, r.text))
+        assert r.piece.count("<|im_start|>") == r.piece.count("<|im_end|>") == 1
+        assert r.loss == (r.text if r.role == "assistant" else "")
+    assert dict(back) == convs
+    for r in chat.conversation_digests(stored).collect():
+        turns = convs[r.conv_id]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_repeated_records_keep_their_turns_together(spark):
+    record = json.dumps({"prompt": "p", "completion": "c"})
+    stored = chat.store_chat(canonical(spark, [(1, record, "x"), (1, record, "x"), (None, record, "x")]))
+    found = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.conversation_digests(stored).collect()}
+    once = "user\np\nassistant\nc\n"
+    assert found == {1: (4, hashlib.sha256((once * 2).encode()).hexdigest()), None: (2, hashlib.sha256(once.encode()).hexdigest())}
+    assert chat.conversation_digests(chat.store_chat(canonical(spark, []))).collect() == []
