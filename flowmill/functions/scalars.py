@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, MapType, StringType, StructType
 
 #: Tokens read as booleans, trimmed and lower-cased (fixed values).
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "t", "yes", "y"), ("0", "false", "f", "no", "n")
@@ -105,7 +108,35 @@ def json_text(c: Column) -> Column:
     return F.to_json(c)
 
 
-def cell_text(df: DataFrame, name: str) -> Column:
-    """A cell of a record as text: null is empty, arrays and objects are JSON."""
-    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    return F.coalesce(F.to_json(c) if isinstance(kind, (ArrayType, MapType, StructType)) else c.cast("string"), F.lit(""))
+def python_float(c: Column) -> Column:
+    """A double as Python prints it: shortest digits, plain from 1e-4 to below 1e16, else with an exponent of two digits or more."""
+    text = c.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?)(\d+)$", k)
+    sign, digits, power = part(1), F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3))), F.concat(part(4), part(5)).try_cast("int")
+    whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.when(F.length(digits) > power + 1, F.substr(digits, power + 2)).otherwise("0"))
+    whole = F.when(F.length(digits) > power + 1, F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(whole)
+    mantissa = F.concat(part(2), F.when(part(3) == "0", "").otherwise(F.concat(F.lit("."), part(3))))
+    small = F.concat(mantissa, F.lit("e"), F.when(part(4) == "-", "-").otherwise("+"), F.when(F.length(part(5)) < 2, F.lpad(part(5), 2, "0")).otherwise(part(5)))
+    plain = F.when(power == -4, F.concat(F.lit("0.000"), digits)).when((power >= 7) & (power < 16), whole).otherwise(small)
+    odd = F.when(text == "NaN", "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return F.coalesce(odd, F.when(text.contains("E"), F.concat(sign, plain)).otherwise(text))
+
+
+@F.pandas_udf(StringType())
+def python_json(raw: pd.Series) -> pd.Series:
+    """JSON text of an array or object with Python's spaces and escapes."""
+    return raw.map(lambda x: None if x is None else json.dumps(json.loads(x)))
+
+
+def cell_text(raw: Column, kind: DataType) -> Column:
+    """The text of a JSON value as a cell, as Python prints it; ``kind`` is the column's JSON type.
+
+    Null is empty.  Whole numbers and strings stay, other numbers are printed as floats, booleans as True and False, arrays and objects as JSON.
+    """
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(python_json(raw), F.lit(""))
+    if isinstance(kind, (DoubleType, DecimalType)):
+        raw = F.when(raw.rlike(r"^-?\d+$"), raw).otherwise(python_float(raw.try_cast("double")))
+    if isinstance(kind, BooleanType):
+        raw = F.initcap(raw)
+    return F.coalesce(raw, F.lit(""))

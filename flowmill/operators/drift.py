@@ -82,6 +82,56 @@ def drift_score(current: DataFrame, past: DataFrame, k: int, theta: float, metri
     return score.select("score", F.coalesce(enough & hit & ~F.isnan("score"), F.lit(False)).alias("detected"))
 
 
+def scores_of_windows(members: DataFrame, by: list[str], size: int, k: int, theta: float, metric: str) -> DataFrame:
+    """(by, score, detected) of many pairs of windows at once, from rows (by, number, is_current, v of ``size`` values).
+
+    The score is the mean over the k best of all current rows; windows with fewer than k rows on a side give none and aren't detected, nor is
+    NaN.  Rows are packed by their numbers; every current block of a pair meets its past blocks one after the other in
+    one task, so large windows are spread over tasks.
+    """
+    packed = members.groupBy(*by, "is_current", F.floor(F.col("number") / BLOCK).alias("block")).agg(F.flatten(F.collect_list("v")).alias("v"), F.count("*").alias("n"))
+    full = members.groupBy(*by).agg(F.count_if("is_current").alias("_a"), F.count_if(~F.col("is_current")).alias("_b")).filter((F.col("_a") >= k) & (F.col("_b") >= k)).select(*by)
+    current = packed.filter("is_current").join(full, by).select(*by, "block", F.col("v").alias("a"))
+    pairs = current.join(packed.filter("not is_current").select(*by, F.col("v").alias("b")), by)
+    heads, n = [*by, "block"], len(by)
+    kinds = dict(pairs.dtypes)
+    kind = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", total double, n long"
+
+    def run(batches):
+        now, best, schema = None, None, None
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(i) for i in range(n)), ("total", pa.float64()), ("n", pa.int64())])
+            for row in batch.to_pylist():
+                here = [row[c] for c in heads]
+                a, b = (np.array(row[c], np.float64).reshape(-1, size) for c in ("a", "b"))
+                if here != now:
+                    if now is not None:
+                        yield summed(now, best, schema)
+                    now, best = here, np.empty((len(a), 0))
+                best = np.sort(np.hstack([best, distances(a, b, metric)]), axis=1)[:, :k]
+        if now is not None:
+            yield summed(now, best, schema)
+
+    def summed(here, best, schema):
+        values = [*here[:n], float(best.sum()), best.size]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    found = pairs.repartition(*heads).sortWithinPartitions(*heads).select(*heads, "a", "b").mapInArrow(run, kind)
+    score = F.sum("total") / F.sum("n") * (1 if metric == "l2" else -1)
+    rows = found.groupBy(*by).agg(score.alias("score"))
+    hit = (F.col("score") > theta) if metric == "l2" else (F.col("score") < theta)
+    return rows.withColumn("detected", hit & ~F.isnan("score"))
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Squared distances of all pairs of rows, or negated cosines, which are NaN for zero vectors: the best are least."""
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+        return -(a @ b.T)
+    return np.stack([((b - row) ** 2).sum(1) for row in a])
+
+
 def ensemble(votes: Column, code: int) -> Column:
     """0: the first model's vote, 1: the majority of binary votes."""
     return F.get(votes, 0) if code == 0 else (F.aggregate(votes, F.lit(0), lambda s, v: s + v) > F.size(votes) / 2).cast("int")

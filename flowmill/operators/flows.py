@@ -14,16 +14,18 @@ from .net import Network, packet_class, reason, verdict
 REQUIRED = ("daytime", "label", "conn_state", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes", "local_orig", "local_resp")
 
 
-def labelled_flows(records: DataFrame, net: Network, zone: str = "Asia/Tokyo") -> DataFrame:
-    """Flow rows of connection records: end time in the zone, duration or 0, label; required columns padded.
+def labelled_flows(records: DataFrame, net: Network, zone: str = "Asia/Tokyo", padded: bool = True) -> DataFrame:
+    """Flow rows of connection records: end time in the zone, duration or 0, label; with ``padded`` required columns are added.
 
     Records with a bad time, an excluded address or no label go; ``reason_counts`` tells how many.
     """
     orig, resp, ts = F.col("`id.orig_h`"), F.col("`id.resp_h`"), F.col("ts").cast("string")
     duration = F.coalesce(numeric(F.col("duration").cast("string")), F.lit(0.0)) if "duration" in records.columns else F.lit(0.0)
+    if "duration" not in records.columns and not padded:
+        return labelled_flows(records.withColumn("duration", F.lit(None).cast("string")), net, zone, False).drop("duration")
     told = records.withColumn("_v", verdict(ts, orig, resp, net)).filter("_v.reason = 'emitted'")
     out = told.withColumns({"daytime": wall_clock(numeric(ts) + duration, zone), "duration": duration, "label": F.col("_v.label")}).drop("ts", "_v")
-    for name in REQUIRED:
+    for name in REQUIRED if padded else ():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(""))
     return out

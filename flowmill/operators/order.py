@@ -1,63 +1,69 @@
-"""Row numbers and running values over the whole table without sorting it in one task."""
+"""Row numbers and running values over the whole table, or over each key, without sorting either in one task.
+
+Rows are sorted by ranges of all order columns, keys first, so a key or a time that has most rows is spread over many tasks; only one row
+a task, or a task and key, is summed up in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of a range; a range is sorted in one task.
-RANGE_ROWS = 1_000_000
+from ..session import written
 
 
-def ranges(df: DataFrame, column: str, rows: int = RANGE_ROWS) -> Column:
-    """The range of a value among ranges of about ``rows`` rows, by approximate quantiles; nulls come first.
+def sorted_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows as a written table with their range ``_part``, increasing with ``order``, and their place ``_k`` in it, from 0.
 
-    Times and numbers only.  Rows of one value share a range.
+    Nulls come first.  Tied rows are in one order for all that reads the table.
     """
-    kind = dict(df.dtypes)[column]
-    value = F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column)
-    value = value.cast("double")
-    n = -(-df.count() // rows)
-    if n < 2:
-        return F.lit(0)
-    bounds = sorted(set(df.select(value.alias("v")).stat.approxQuantile("v", [i / n for i in range(1, n)], 0.1 / n)))
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= value)) + 1, F.lit(0))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k")), "ranges")
+
 
+def global_row_number(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
+    """1-based row number by ``order``."""
+    rows = sorted_ranges(df, order)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, "_part").withColumn(name, (F.col("_k") + F.col("_before") + 1).cast("long")).drop("_part", "_k", "_before")
 
-def global_row_number(df: DataFrame, order: list[str], bucket: Column | None = None, name: str = "rn") -> DataFrame:
-    """1-based row number by ``order``; ``bucket`` is a coarse, monotone function of the first order column.
 
-    By default buckets are ranges of that column of bounded size.  Rows are numbered within buckets; only one count for
-    each bucket is summed up in order.
+def cadence(df: DataFrame, start: Column, interval_us: int, order: list[str], time_us: Column, keys: tuple[str, ...] = (), name: str = "bucket", before: str | None = None, first: str | None = None) -> DataFrame:
+    """How often a clock has fired by each row of the table, or of each key: at most once a row, strictly after its time.
+
+    With b boundaries strictly passed by row r (1-based), the clock has fired ``r + least(0, running min of b - r)`` times.
+    ``before`` names a column for how often it had fired by the row before, ``first`` one for the row's number.
     """
-    staged = df.withColumn("_b", ranges(df, order[0]) if bucket is None else bucket)
-    counts = staged.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return staged.withColumn("_k", within).join(before.drop("_n"), F.equal_null(staged["_b"], before["_b"])).drop(before["_b"]).withColumn(name, (F.col("_k") + F.col("_before")).cast("long")).drop("_b", "_k", "_before")
+    keys = list(keys)
+    rows = sorted_ranges(df, [*keys, *order])
+    inner = Window.partitionBy("_part", *keys).orderBy("_k")
+    passed = F.greatest(F.lit(0), F.ceil((time_us - start) / F.lit(float(interval_us))) - 1)
+    rows = rows.withColumn("_r", F.row_number().over(inner).cast("long")).withColumn("_d", passed - F.col("_r"))
+    rows = rows.withColumn("_low", F.min("_d").over(inner.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lower", F.min("_d").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and key
+    parts = rows.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_d").alias("_least")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_below", F.min(F.col("_least") - F.col("_offset")).over(earlier)).drop("_n", "_least")
+    parts = parts.withColumnsRenamed({c: f"_of{c}" for c in ("_part", *keys)})
+    joined = rows.join(parts, [F.equal_null(F.col(c), F.col(f"_of{c}")) for c in ("_part", *keys)]).drop(*(f"_of{c}" for c in ("_part", *keys)))
+    r = F.col("_r") + F.col("_offset")
+    fired = lambda number, low: (number + F.least(F.lit(0), F.col(low) - F.col("_offset"), F.col("_below"))).cast("long")
+    out = joined.withColumn(name, fired(r, "_low"))
+    if before:
+        out = out.withColumn(before, fired(r - 1, "_lower"))
+    if first:
+        out = out.withColumn(first, r)
+    return out.drop("_part", "_k", "_r", "_d", "_low", "_lower", "_offset", "_below")
 
 
-def cadence(df: DataFrame, start: Column, interval_us: int, order: list[str], time_us: Column, partition: list[str], name: str = "bucket") -> DataFrame:
-    """Lagging evaluation bucket of every row: at most one boundary is passed a row.
+def with_previous(df: DataFrame, order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Adds the values that ``columns`` (new name to column) had in the row before, null in the first row.
 
-    With b boundaries strictly passed by row r (1-based), the bucket is ``r + least(0, running min of b - r)``.
-    Without a key, pass a coarse bucket as ``partition`` through ``cadence_global``.
+    The first row of a range gets them from the last row of the range before.
     """
-    w = Window.partitionBy(*partition).orderBy(*order)
-    passed = F.greatest(F.lit(0), F.ceil((time_us - start) / F.lit(float(interval_us))) - 1)
-    rows = df.withColumn("_r", F.row_number().over(w).cast("long")).withColumn("_d", passed - F.col("_r"))
-    least = F.min("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, (F.col("_r") + F.least(F.lit(0), least)).cast("long")).drop("_r", "_d")
-
-
-def cadence_global(df: DataFrame, start: Column, interval_us: int, order: list[str], time_us: Column, coarse: Column | None = None, name: str = "bucket") -> DataFrame:
-    """``cadence`` over the whole table: running minima within coarse buckets, then over the buckets' minima."""
-    coarse = ranges(df, order[0]) if coarse is None else coarse
-    rows = global_row_number(df, order, coarse, "_r").withColumn("_c", coarse)
-    rows = rows.withColumn("_d", F.greatest(F.lit(0), F.ceil((time_us - start) / F.lit(float(interval_us))) - 1) - F.col("_r"))
-    lows = rows.groupBy("_c").agg(F.min("_d").alias("_low"))
-    before = lows.select("_c", F.min("_low").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_below"))
-    least = F.min("_d").over(Window.partitionBy("_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_l", least).join(before, "_c")
-    return out.withColumn(name, (F.col("_r") + F.least(F.lit(0), "_l", F.coalesce("_below", F.lit(0)))).cast("long")).drop("_c", "_r", "_d", "_l", "_below")
+    rows = sorted_ranges(df, order)
+    values = F.struct(*(F.col(c).alias(new) for new, c in columns.items()))
+    last = rows.groupBy("_part").agg(F.max_by(values, "_k").alias("_last")).select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))  # a row for each range
+    inside = F.lag(values).over(Window.partitionBy("_part").orderBy("_k"))
+    both = rows.withColumn("_inside", inside).join(last, "_part").withColumn("_before", F.when(F.col("_k") == 0, F.col("_edge")).otherwise(F.col("_inside")))
+    return both.select(*df.columns, *(F.col(f"_before.{new}").alias(new) for new in columns))

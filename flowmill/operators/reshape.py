@@ -25,23 +25,23 @@ def ordered_merge(a: DataFrame, b: DataFrame, time: str = "daytime", seq: str =
     return both.orderBy(time, "side", seq)
 
 
-def chunked(df: DataFrame, rows: int, order: list[str], coarse: Column | None = None, time: str = "daytime", pattern: str = "yyyyMMddHHmmss") -> DataFrame:
+def chunked(df: DataFrame, rows: int, order: list[str], time: str = "daytime", pattern: str = "yyyyMMddHHmmss") -> DataFrame:
     """Chunk number and file name of every row, ``rows`` rows a chunk in order."""
     if rows < 1:
         raise ValueError("chunks need a row at least")
-    numbered = global_row_number(df, order, coarse).withColumn("chunk", ((F.col("rn") - 1) / rows).cast("long"))
+    numbered = global_row_number(df, order).withColumn("chunk", ((F.col("rn") - 1) / rows).cast("long"))
     names = numbered.groupBy("chunk").agg(F.min(time).alias("_first")).select("chunk", F.concat(F.lpad(F.col("chunk").cast("string"), 5, "0"), F.lit("_"), F.date_format("_first", pattern), F.lit(".csv")).alias("file"))
     return numbered.join(names, "chunk")
 
 
-def injected(target: DataFrame, source: DataFrame, order: list[str], coarse: Column | None = None, time: str = "daytime") -> DataFrame:
+def injected(target: DataFrame, source: DataFrame, order: list[str], time: str = "daytime") -> DataFrame:
     """After target row i comes source row ``i mod N`` at the target's time.
 
     The source is keyed by its number and joined on it, so both sides are dealt over the cluster; a short source, whose
     keys would be few and large, is broadcast.
     """
-    rows = global_row_number(target, order, coarse, "i").withColumn("i", F.col("i") - 1)
-    src = global_row_number(source, order, coarse, "k").withColumn("k", F.col("k") - 1)
+    rows = global_row_number(target, order, "i").withColumn("i", F.col("i") - 1)
+    src = global_row_number(source, order, "k").withColumn("k", F.col("k") - 1)
     n = src.count()
     if not n:
         return rows.withColumn("ord", 2 * F.col("i")).drop("i")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import cadence_global
+from .order import cadence
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,9 @@ class Range:
 
 
 def session_range(df: DataFrame, start: datetime, end: datetime, time: str = "daytime") -> Range:
-    """The session's range: if the first row from ``start`` on is later, start, end and all clocks move with it."""
-    first = df.filter(F.col(time) >= F.lit(start)).agg(F.min(time)).first()[0]  # one value
-    late = first - start if first is not None else start - start
+    """The session's range: if the very first row is later than ``start``, start, end and all clocks move to it."""
+    first = df.agg(F.min(time)).first()[0]  # one value
+    late = max(first - start, start - start) if first is not None else start - start
     return Range(start + late, end + late)
 
 
@@ -37,7 +37,7 @@ def session_rows(df: DataFrame, found: Range, time: str = "daytime") -> DataFram
 
 def clock(df: DataFrame, start_us: int, interval_us: int, order: list[str], time_us: str, name: str) -> DataFrame:
     """How often a session's clock has fired by each row: at most once a row, strictly after its time."""
-    return cadence_global(df, F.lit(start_us), interval_us, order, F.col(time_us), name=name)
+    return cadence(df, F.lit(start_us), interval_us, order, F.col(time_us), name=name)
 
 
 def midpoint(end: Column, interval: str) -> Column:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import RANGE_ROWS, ranges
+from .order import sorted_ranges
 
-def cdf_distances(df: DataFrame, keys: list[str], value: str, side: str, rows: int = RANGE_ROWS) -> DataFrame:
+
+def cdf_distances(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein-1 distance of the values with ``side`` true and false, for each key.
 
     Values are counted first and dealt over ranges; a range's windows run over its distinct values, and each range gets
     the sums of those before it and the first value of the next.  A key with one side empty gives nulls.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b"))
-    counts = counts.withColumn("_r", ranges(counts, "_v", rows))
+    counts = sorted_ranges(counts, [*keys, "_v"]).withColumnRenamed("_part", "_r")
     upto = Window.partitionBy(*keys, "_r").orderBy("_v")
     steps = Window.partitionBy(*keys).orderBy("_r")  # a row for each range
     before = steps.rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +34,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: tuple[str, ...] = ())
     ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_all"))
     ends = ends.filter("_hi is not null").withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
     every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    both = rows.join(F.broadcast(ends), list(keys)) if keys else rows.join(F.broadcast(ends))
+    both = rows.join(ends, list(keys)) if keys else rows.join(F.broadcast(ends))
     at = F.when(F.col("_step") > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_step")), F.lit(bins - 1))).otherwise(0).cast("int")
     found = both.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
     out = every.join(found, [*keys, "bin"], "left").na.fill(0, ["n"])

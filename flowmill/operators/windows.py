@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import with_previous
+
 
 def in_cells(df: DataFrame, time_us: str, span_us: int) -> DataFrame:
     """Each row in its time cell of width ``span_us`` (``_own``) and in the next, so that a cell holds all that its own rows look back on."""
@@ -65,6 +67,11 @@ def hopping(df: DataFrame, time: str, size: str, step: str, aggregates: list, ke
 
 
 def order_violations(df: DataFrame, file: str, seq: str, time: str) -> DataFrame:
-    """Rows earlier than the row before them in their file."""
-    w = Window.partitionBy(file).orderBy(seq)
-    return df.withColumn("_before", F.lag(time).over(w)).filter(F.col(time) < F.col("_before")).drop("_before")
+    """Rows earlier than the last row with a time before them: ``in_file`` in their file, ``over_files`` in the order of files and rows.
+
+    A file is spread over as many tasks as its rows need; each gets the last row of the one before.  Null times are skipped.
+    """
+    seen = with_previous(df.filter(F.col(time).isNotNull()), [file, seq], {"_file": file, "_time": time})
+    late = F.coalesce(F.col(time) < F.col("_time"), F.lit(False))
+    marked = seen.withColumns({"in_file": late & F.equal_null(F.col(file), F.col("_file")), "over_files": late})
+    return marked.filter("over_files").drop("_file", "_time")

@@ -79,7 +79,7 @@ CADENCE = f"""{FLOW}, s AS (SELECT min(us) AS s FROM flow), b AS (SELECT *, row_
 def cadenced(spark, sf_dir):
     rows = flow_view(spark, sf_dir)
     start = F.lit(rows.agg(F.min("us")).first()[0])
-    return order.cadence_global(rows, start, HOUR, ["us", "seq"], F.col("us"))
+    return order.cadence(rows, start, HOUR, ["us", "seq"], F.col("us"))
 
 
 @query(f"WITH {CADENCE} SELECT * FROM (" + confusion_sql("bucket", "x") + ") WHERE bucket < (SELECT max(bucket) FROM x)")
@@ -213,20 +213,21 @@ def hopping_window(spark, sf_dir):
     return windows.hopping(table(spark, sf_dir, "events"), "ts", "4 hours", "1 hour", [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")], ("event_type",))
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS b FROM events) WHERE ts < b")
+@query("SELECT event_id, coalesce(ts < a, false) AS in_file FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS a, lag(ts) OVER (ORDER BY user_id, value, event_id) AS b FROM events) WHERE ts < b")
 def time_order_violations(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("place", F.struct("value", "event_id"))
-    return windows.order_violations(e, "user_id", "place", "ts").select("event_id")
+    return windows.order_violations(e, "user_id", "place", "ts").select("event_id", "in_file")
 
 
 def texts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     blank = lambda n, x: F.when(F.col("event_id") % n == 0, "").otherwise(x)
-    return e.select(F.col("user_id").alias("file"), F.col("event_id").alias("row"), blank(29, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("daytime"), blank(31, (F.col("event_id") % 3).cast("string")).alias("label"), F.col("event_type").alias("conn_state"), F.when(F.col("event_id") % 37 == 0, "x").otherwise(F.col("value").cast("string")).alias("duration"), blank(41, F.when(F.col("event_id") % 43 == 0, "maybe").otherwise("T")).alias("local_orig"))
+    return e.select(F.col("user_id").alias("file"), F.col("event_id").alias("row"), blank(29, F.when(F.col("event_id") % 47 == 0, "noon").otherwise(F.date_format(F.when(F.col("event_id") % 53 == 0, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")), "yyyy-MM-dd HH:mm:ss"))).alias("daytime"), blank(31, (F.col("event_id") % 3).cast("string")).alias("label"), F.col("event_type").alias("conn_state"), F.when(F.col("event_id") % 37 == 0, "x").otherwise(F.col("value").cast("string")).alias("duration"), blank(41, F.when(F.col("event_id") % 43 == 0, "maybe").otherwise("T")).alias("local_orig"))
 
 
 @query("""SELECT 'required_columns' AS "check", count(*) FILTER (WHERE event_id % 29 = 0) + count(*) FILTER (WHERE event_id % 31 = 0) + count(*) FILTER (WHERE event_id % 41 = 0) AS n, 'NG' AS status FROM events
- UNION ALL SELECT 'daytime_format', 0, 'OK' UNION ALL SELECT 'time_order', 0, 'OK'
+ UNION ALL SELECT 'daytime_format', count(*) FILTER (WHERE event_id % 47 = 0 AND event_id % 29 <> 0), 'NG' FROM events
+ UNION ALL SELECT 'time_order', count(*) FILTER (WHERE t < a) + count(*) FILTER (WHERE t < b), 'NG' FROM (SELECT t, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS a, lag(t) OVER (ORDER BY user_id, event_id) AS b FROM (SELECT user_id, event_id, date_trunc('second', ts - CASE WHEN event_id % 53 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END) AS t FROM events WHERE event_id % 29 <> 0 AND event_id % 47 <> 0))
  UNION ALL SELECT 'label_value', count(*) FILTER (WHERE event_id % 31 <> 0 AND event_id % 3 = 2), 'NG' FROM events
  UNION ALL SELECT 'value_types', count(*) FILTER (WHERE event_id % 37 = 0) + count(*) FILTER (WHERE event_id % 43 = 0 AND event_id % 41 <> 0), 'NG' FROM events""")
 def check_rollup(spark, sf_dir):
@@ -370,11 +371,27 @@ def packet_flows(spark, sf_dir):
 
 def _replay(spark, sf_dir, mode, **settings):
     rows = flow_view(spark, sf_dir).select(F.col("label_key").alias("key"), "seq", (F.col("us") / 1e6).alias("t"), (F.col("k") > 80).cast("int").alias("label"), scalars.scaled_count(F.col("value")).alias("x"), (F.col("k") / 100).alias("y"))
-    return replay.replay(rows, ["x", "y"], mode, **settings)
+    return replay.replay(rows, ["x", "y"], mode, **settings).withColumn("score", F.round("score", 6))
 
 
-@query()
+#: The daily clock, then one recursive row a key and step of Adam on the rows of a round, then the scores before each row.
+STATIC = f"""WITH RECURSIVE {FLOW.removeprefix("WITH ")}, s AS (SELECT min(us) AS s FROM flow),
+ n AS (SELECT label_key AS key, seq, us, (k > 80)::INTEGER AS label, ln(1 + value / 1000) AS x, k / 100 AS y, row_number() OVER (ORDER BY us, seq) AS r, greatest(0, ceil((us - s) / {24 * HOUR}.0) - 1)::BIGINT AS b FROM flow, s),
+ c AS (SELECT *, (r + least(0, min(b - r) OVER (ORDER BY us, seq ROWS UNBOUNDED PRECEDING)))::BIGINT AS round FROM n),
+ t AS MATERIALIZED (SELECT *, coalesce(lag(round) OVER (ORDER BY us, seq), 0) AS version FROM c),
+ good AS MATERIALIZED (SELECT key, round, label, x, y FROM t WHERE x IS NOT NULL AND y IS NOT NULL AND label IS NOT NULL AND round < (SELECT max(round) FROM t)),
+ a AS (SELECT DISTINCT key, 0::BIGINT AS step, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v, 0.0::DOUBLE AS u, 0.0::DOUBLE AS mw, 0.0::DOUBLE AS mv, 0.0::DOUBLE AS mu, 0.0::DOUBLE AS qw, 0.0::DOUBLE AS qv, 0.0::DOUBLE AS qu, 0::BIGINT AS n FROM t
+  UNION ALL SELECT key, step + 1, {", ".join(f"CASE WHEN c > 0 THEN {p} - 0.001 * sqrt(1 - 0.999 ^ (n + 1)) / (1 - 0.9 ^ (n + 1)) * (0.9 * m{p} + 0.1 * g{p}) / (sqrt(0.999 * q{p} + 0.001 * g{p} * g{p}) + 1e-7) ELSE {p} END" for p in "wvu")},
+   {", ".join(f"CASE WHEN c > 0 THEN 0.9 * m{p} + 0.1 * g{p} ELSE m{p} END" for p in "wvu")}, {", ".join(f"CASE WHEN c > 0 THEN 0.999 * q{p} + 0.001 * g{p} * g{p} ELSE q{p} END" for p in "wvu")}, CASE WHEN c > 0 THEN n + 1 ELSE n END
+  FROM (SELECT a.key, step, any_value(w) AS w, any_value(v) AS v, any_value(u) AS u, any_value(mw) AS mw, any_value(mv) AS mv, any_value(mu) AS mu, any_value(qw) AS qw, any_value(qv) AS qv, any_value(qu) AS qu, any_value(n) AS n, count(label) AS c,
+   sum((1 / (1 + exp(-(w * x + v * y + u))) - label) * x) / count(label) AS gw, sum((1 / (1 + exp(-(w * x + v * y + u))) - label) * y) / count(label) AS gv, sum(1 / (1 + exp(-(w * x + v * y + u))) - label) / count(label) AS gu
+   FROM a LEFT JOIN good g ON g.key = a.key AND g.round = step // 20 WHERE step < 20 * (SELECT max(round) FROM t) GROUP BY a.key, step))
+ SELECT t.key, seq, label, round(1 / (1 + exp(-(w * x + v * y + u))), 6) AS score, (1 / (1 + exp(-(w * x + v * y + u))) >= 0.5)::INTEGER AS vote, round > version AS retrained FROM t JOIN a ON a.key = t.key AND a.step = 20 * version"""
+
+
+@query(STATIC)
 def replay_static(spark, sf_dir):
+    """Scores of models that a daily clock retrains on the day's rows, 20 steps each."""
     return _replay(spark, sf_dir, "st", interval=86400.0)
 
 
@@ -383,7 +400,7 @@ def replay_dynamic(spark, sf_dir):
     return _replay(spark, sf_dir, "dy", interval=43200.0, current=86400.0, past=259200.0, theta=0.0001)
 
 
-@query(f"WITH {FLOW} SELECT label_key AS key, seq, (k > 80)::INTEGER AS label, 0.5::DOUBLE AS score, false AS retrained FROM flow")
+@query(f"WITH {FLOW} SELECT label_key AS key, seq, (k > 80)::INTEGER AS label, 0.5::DOUBLE AS score, 1 AS vote, false AS retrained FROM flow")
 def replay_none(spark, sf_dir):
     """Scores of a model that is never trained: logistic regression with weights 0."""
     return _replay(spark, sf_dir, "nt")

@@ -8,25 +8,62 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.scalars import cell_text
+from ..functions.scalars import cell_text, python_float
 from ..operators.flows import labelled_flows
 from ..operators.net import Network
 from ..operators.reshape import chunked, shifted
+from ..operators.validate import check_folder
 
 #: First four bytes of capture files (fixed values): name of the extension by hex.
 MAGIC = {"D4C3B2A1": ".pcap", "A1B2C3D4": ".pcap", "4D3CB2A1": ".pcap", "A1B23C4D": ".pcap", "0A0D0D0A": ".pcapng"}
 
 
+def place() -> Column:
+    """The place of a row among all that a scan reads: its file's path by components, the start of its block in bytes, and its order in the block.
+
+    Files are read in blocks by many tasks; sorting by the place gives files by name and their rows as they stand.
+    """
+    path = F.translate(F.col("_metadata.file_path"), "/", "\x01")  # so that a folder comes before those whose names go on
+    return F.struct(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_leaf(spark: SparkSession, path: str) -> DataFrame:
-    """All ``.csv`` files of a directory as text columns, with ``file``; header lines are checked."""
+    """All ``.csv`` files of a directory as text columns, with ``file`` and ``place``; header lines are checked."""
     rows = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*.csv").csv(path)
-    return rows.withColumn("file", F.col("_metadata.file_name"))
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), place().alias("place"))
+
+
+def leaf_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of a directory's ``.csv`` files in order, those without rows too; none is an error."""
+    fs, at = _folder(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at) if not f.isDirectory() and f.getPath().getName().endswith(".csv"))
+    if not names:
+        raise ValueError(f"no CSV files in {path}")
+    return names
+
 
+def first_bad_line(spark: SparkSession, path: str | list[str]) -> tuple[str, int] | None:
+    """File and line number of the first line that is neither blank nor JSON; lines are counted from 1."""
+    lines = spark.read.text(path).select("value", place().alias("place"))
+    bad = lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNull()).agg(F.min("place")).first()[0]  # one value
+    if bad is None:
+        return None
+    until = (F.col("place.path") == F.lit(bad.path)) & ((F.col("place.block") < bad.block) | ((F.col("place.block") == bad.block) & (F.col("place.at") <= bad.at)))
+    return bad.path.replace("\x01", "/"), lines.filter(until).count()
 
-def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One JSON object a line; blank lines are skipped, a malformed line is an error."""
-    return spark.read.option("mode", "FAILFAST").json(path)
+
+def read_ndjson(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, StructType]:
+    """One JSON object a line, as (rows of text cells with ``place``, the types that JSON gave them).
+
+    Cells are the texts of the JSON values as they stand.  Blank lines are skipped; a malformed line is an error that names its file and line.
+    """
+    if bad := first_bad_line(spark, path):
+        raise ValueError(f"not JSON: {bad[0]}:{bad[1]}")
+    kinds = spark.read.option("mode", "FAILFAST").json(path).schema
+    texts = StructType([StructField(f.name, StringType()) for f in kinds])
+    return spark.read.schema(texts).option("mode", "FAILFAST").json(path).select("*", place().alias("place")), kinds
 
 
 def _folder(spark: SparkSession, path: str):
@@ -48,48 +85,79 @@ def write_named(rows: DataFrame, path: str, order: list[str], columns: list[str]
         raise ValueError(f"{path} isn't empty")
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     text = rows.repartition("file").sortWithinPartitions("file", *order).select("file", *(F.col(f"`{c}`") for c in columns))
-    text.write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
+    text.write.partitionBy("file").options(header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(staged)
     _, top = _folder(spark, staged)
     names = []
     for folder in fs.listStatus(top):  # one file each: a rename, no data
         if folder.isDirectory():
             name = folder.getPath().getName().split("=", 1)[1]
             part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
-            fs.rename(part, _folder(spark, f"{staged}/{name}")[1])
+            move(fs, part, _folder(spark, f"{staged}/{name}")[1])
             fs.delete(folder.getPath(), True)
             names.append(name)
     if not names:
         fs.delete(top, True)
         raise ValueError("no rows to write")
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(top, target)
+    fs.delete(_folder(spark, f"{staged}/_SUCCESS")[1], False)
+    swap(spark, staged, path)
     return sorted(names)
 
 
+def move(fs, old, new) -> None:
+    """A rename whose result is looked at: some file systems give false instead of an error."""
+    if not fs.rename(old, new):
+        raise OSError(f"{old} wasn't renamed to {new}")
+
+
+def swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a whole folder in the place of an old one, which is kept aside until the new one is there and comes back if it doesn't get there."""
+    fs, target = _folder(spark, path)
+    _, new = _folder(spark, staged)
+    _, aside = _folder(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    held = fs.exists(target)
+    if held:
+        move(fs, target, aside)
+    elif target.getParent() is not None:
+        fs.mkdirs(target.getParent())
+    try:
+        move(fs, new, target)
+    except Exception:
+        if held:
+            move(fs, aside, target)
+        raise
+    if held:
+        fs.delete(aside, True)
+
+
 def write_chunks(df: DataFrame, path: str, rows: int, order: list[str], time: str = "daytime", pattern: str = "yyyyMMddHHmmss", replace: bool = False) -> list[str]:
     """Write ``rows`` rows a file in order; names are the chunk's number and its first time by ``pattern``."""
     out = chunked(df, rows, order, time=time, pattern=pattern)
     return write_named(out, path, ["rn"], [c for c in df.columns if c != "file"], replace)
 
 
-def rewrite_shifted(df: DataFrame, path: str, baseline: Column, file: str, order: list[str], time: str = "daytime") -> list[str]:
+def rewrite_shifted(df: DataFrame, path: str, baseline: Column, file: str, order: list[str], time: str = "daytime", names: list[str] | None = None) -> list[str]:
     """Move all times so that the first is at ``baseline`` and write one output for each input file that has rows.
 
-    Names are the input's place among all file names and its first moved time.
+    Names are the input's place among all files and its first moved time; ``names`` lists the files, where some have no rows.
     """
-    moved = shifted(df, baseline, time)
-    first = moved.groupBy(file).agg(F.min(time).alias("_first"))
-    place = F.row_number().over(Window.orderBy(file)) - 1  # a row for each file
-    name = F.concat(F.lpad(place.cast("string"), 5, "0"), F.lit("_"), F.date_format("_first", "yyyyMMddHHmmss"), F.lit(".csv"))
-    named = moved.join(first.select(F.col(file).alias("_in"), name.alias("file")), F.col(file) == F.col("_in"))
-    return write_named(named, path, order, [c for c in df.columns if c != file])
+    moved = shifted(df, baseline, time).withColumnRenamed(file, "_in")
+    first = moved.groupBy("_in").agg(F.min(time).alias("_first"))
+    if names is None:
+        places = first.select("_in", (F.row_number().over(Window.orderBy("_in")) - 1).alias("_at"))  # a row for each file
+    else:
+        places = df.sparkSession.createDataFrame(list(zip(sorted(names), range(len(names)), strict=True)), "_in string, _at int")
+    name = F.concat(F.lpad(F.col("_at").cast("string"), 5, "0"), F.lit("_"), F.date_format("_first", "yyyyMMddHHmmss"), F.lit(".csv"))
+    named = moved.join(first.join(places, "_in").select("_in", name.alias("file")), "_in")
+    return write_named(named, path, order, [c for c in df.columns if c not in (file, "place")])
 
 
 def target_logs(names: str | list[str]) -> list[str]:
     """Log names of a setting, stripped, without blanks and repeats, in order."""
     found = [x.strip() for x in (names.split(",") if isinstance(names, str) else names)]
-    return [x for x in dict.fromkeys(found) if x]
+    kept = [x for x in dict.fromkeys(found) if x]
+    if not kept or any("/" in x for x in kept):
+        raise ValueError("name one log at least, without a folder")
+    return kept
 
 
 def log_folders(spark: SparkSession, path: str, names: list[str]) -> list[str]:
@@ -107,10 +175,10 @@ def log_folders(spark: SparkSession, path: str, names: list[str]) -> list[str]:
     return found
 
 
-def read_logs(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """All records of the logs in ``path``, one JSON object a line; columns are the union over all files."""
+def read_logs(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, StructType]:
+    """All records of a log in ``path`` as ``read_ndjson`` gives them; columns are the union over all files."""
     fs = _folder(spark, path)[0]
-    paths = [f"{at}/{n}" for at in log_folders(spark, path, names) for n in names]
+    paths = [f"{at}/{name}" for at in log_folders(spark, path, [name])]
     return read_ndjson(spark, [p for p in paths if fs.exists(_folder(spark, p)[1])])
 
 
@@ -119,18 +187,30 @@ def first_time(records: DataFrame) -> float | None:
     return records.agg(F.min(F.col("ts").cast("string").try_cast("double"))).first()[0]
 
 
-def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: str | list[str] = ("conn.log",), rows: int = 3000, zone: str = "Asia/Tokyo") -> list[str]:
-    """Connection logs to labelled flow rows in order of end time, ``rows`` a CSV file; gives the file names.
+def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: str | list[str] = ("conn.log",), rows: int = 3000, zone: str = "Asia/Tokyo", batch: str | None = None, check: bool = True) -> dict[str, list[str]]:
+    """Logs to labelled rows in order of end time, ``rows`` a CSV file; gives the files of each folder written.
 
-    An earlier output is replaced once the new one is whole; without any labelled record it stays and an error is raised.
+    Each log has a folder of its own, named by the log without its extension and ``batch`` (the input's name).  Rows of one second stand
+    in the order of folders and lines.  An earlier output is replaced once the new one is whole; without any labelled record it stays
+    and an error is raised.  Connection rows are then checked against their contract.
     """
-    records = read_logs(spark, path, target_logs(list(names) if not isinstance(names, str) else names))
-    found = labelled_flows(records, net, zone)
-    others = [c for c in found.columns if c not in ("daytime", "label")]
-    cells = found.select(F.to_timestamp("daytime").alias("_t"), "daytime", F.col("label").cast("string").alias("label"), *(cell_text(found, c).alias(c) for c in others))
-    tie = F.xxhash64(*(F.col(f"`{c}`") for c in cells.columns)).alias("_tie")
-    ordered = chunked(cells.select("*", tie), rows, ["_t", "_tie"], time="_t")
-    return write_named(ordered, out, ["rn"], ["daytime", "label", *others], replace=True)
+    done: dict[str, list[str]] = {}
+    logs = target_logs(list(names) if not isinstance(names, str) else names)
+    log_folders(spark, path, logs)
+    batch = batch or path.rstrip("/").rsplit("/", 1)[-1]
+    for name in logs:
+        records, kinds = read_logs(spark, path, name)
+        conn = name == "conn.log"
+        span = F.col("duration") if "duration" in records.columns else F.lit(None).cast("string")
+        found = labelled_flows(records.withColumn("_span", span.try_cast("double")), net, zone, padded=conn)
+        others = [c for c in found.columns if c not in ("daytime", "label", "place", "_span")]
+        shown = {f.name: cell_text(F.col(f"`{f.name}`"), f.dataType) for f in kinds} | {"duration": F.coalesce(python_float(F.col("_span")), F.lit("0"))}
+        cells = found.select(F.to_timestamp("daytime").alias("_t"), "place", "daytime", F.col("label").cast("string").alias("label"), *((shown[c] if c in shown else F.col(f"`{c}`").cast("string")).alias(c) for c in others))
+        folder = f"{out.rstrip('/')}/{name.rsplit('.', 1)[0] or name}/{batch}"
+        done[folder] = write_named(chunked(cells, rows, ["_t", "place"], time="_t"), folder, ["rn"], ["daytime", "label", *others], replace=True)
+        if conn and check and not (told := check_folder(spark, folder)).ok:
+            raise ValueError(f"{folder} breaks the contract of flow rows\n{told.text()}")
+    return done
 
 
 def capture_extensions(spark: SparkSession, path: str) -> DataFrame:
