@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,15 +67,26 @@ def drop(*tables: DataFrame) -> None:
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: int = 1, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices whose values in ``column`` hold about ``budget`` bytes."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(size, dtype=np.int64), 0
-        while start < batch.num_rows:
-            base = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    """Cut Arrow batches into slices whose values in ``column`` hold about ``budget`` bytes; afterwards the worker gives free memory back."""
+    try:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(size, dtype=np.int64), 0
+            while start < batch.num_rows:
+                base = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+            trim()
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back: an idle worker would hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
