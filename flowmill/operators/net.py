@@ -30,8 +30,14 @@ def ipv4_number(address: Column) -> Column:
 
 
 def ipv6_hex(address: Column) -> Column:
-    """Address text as 32 hex digits, null unless it is an IPv6 address of hex groups, one ``::`` at most."""
-    text = F.lower(address)
+    """Address text as 32 hex digits, null unless it is an IPv6 address of hex groups, one ``::`` at most.
+
+    A zone behind a percent sign is left out, and the last two groups may be a dotted IPv4 address.
+    """
+    bare = F.regexp_replace(F.lower(address), "%[^%]+$", "")
+    dotted = F.regexp_extract(bare, r":([0-9.]+\.[0-9.]+)$", 1)
+    tail = F.format_string("%x:%x", F.shiftright(ipv4_number(dotted), 16), ipv4_number(dotted).bitwiseAND(0xFFFF))
+    text = F.when(dotted == "", bare).when(ipv4_number(dotted).isNotNull(), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), tail))
     halves = F.split(text, "::", -1)
     groups = lambda x: F.filter(F.split(x, ":", -1), lambda g: g != "")
     left, right = groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>"))

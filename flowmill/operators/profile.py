@@ -37,7 +37,7 @@ def ordered_distinct(df: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 def downsample(df: DataFrame, most: int, key: str) -> DataFrame:
     """All rows up to ``most`` of them, else the ``most`` of least hash of ``key``: the same rows at every run."""
-    return df.orderBy(F.xxhash64(key), key).limit(most)
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(most)
 
 
 def training_counts(df: DataFrame, features: list[str], label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -17,12 +17,24 @@ def shifted(df: DataFrame, baseline: Column, time: str = "daytime") -> DataFrame
     return df.withColumn(time, F.col(time) + (baseline - F.lit(first)))
 
 
-def ordered_merge(a: DataFrame, b: DataFrame, time: str = "daytime", seq: str = "seq") -> DataFrame:
-    """Both sides by time, A first in ties, each side in its own order; headers must be equal."""
-    if a.columns != b.columns:
+def ordered_merge(*sides: DataFrame, time: str = "daytime", seq: str = "seq", place: str | None = None) -> DataFrame:
+    """All sides by time, the earlier side (A, B and so on) first in ties, each side in its own order; headers must be equal.
+
+    With ``place`` rows aren't sorted but numbered in that column.
+    """
+    if any(s.columns != sides[0].columns for s in sides):
         raise ValueError("the sides' columns differ")
-    both = a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B")))
-    return both.orderBy(time, "side", seq)
+    both = None
+    for i, s in enumerate(sides):
+        named = s.withColumn("side", F.lit(chr(ord("A") + i)))
+        both = named if both is None else both.unionByName(named)
+    return global_row_number(both, [time, "side", seq], place) if place else both.orderBy(time, "side", seq)
+
+
+def align_mix(first: DataFrame, *others: DataFrame, time: str = "daytime", seq: str = "seq", place: str | None = None) -> DataFrame:
+    """The other sides moved so that each begins when the first does, then all merged."""
+    start = F.lit(first.agg(F.min(time)).first()[0])  # one value
+    return ordered_merge(first, *(shifted(o, start, time) for o in others), time=time, seq=seq, place=place)
 
 
 def chunked(df: DataFrame, rows: int, order: list[str], time: str = "daytime", pattern: str = "yyyyMMddHHmmss") -> DataFrame:

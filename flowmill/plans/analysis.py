@@ -56,7 +56,7 @@ def ordered_distinct(spark, sf_dir):
     return profile.ordered_distinct(flow_view(spark, sf_dir), "user_id", ["us"]).select("user_id", "first.us")
 
 
-@query()
+@query(f"WITH {FLOW} SELECT seq, value FROM flow ORDER BY md5(seq::VARCHAR), seq LIMIT 20000")
 def downsample(spark, sf_dir):
     """A sampling operator: 20000 rows at most."""
     return profile.downsample(flow_view(spark, sf_dir).select("seq", "value"), 20_000, "seq")
@@ -109,7 +109,7 @@ def welch_test(spark, sf_dir):
     return profile.welch(flow_view(spark, sf_dir).withColumn("early", F.col("daytime") < F.lit("2024-01-16").cast("timestamp_ntz")), "value", "early", ["label_key"])
 
 
-@query(f"""WITH {FLOW} SELECT seq, list_transform([value, k, label, CASE WHEN label = 1 THEN 1 ELSE 0 END], x -> round(x, 6))::VARCHAR AS features, round((us - (SELECT min(us) FROM flow)) / {HOUR}.0, 6) AS hours FROM flow""".replace("list_transform([value, k, label, CASE WHEN label = 1 THEN 1 ELSE 0 END], x -> round(x, 6))::VARCHAR AS features", "round(value, 6) AS f0, round(k, 6) AS f1, label::DOUBLE AS f2, (label_key = 'click')::INTEGER::DOUBLE AS f3"))
+@query(f"""WITH {FLOW} SELECT seq, round(value, 6) AS f0, round(k, 6) AS f1, label::DOUBLE AS f2, (label_key = 'click')::INTEGER::DOUBLE AS f3, round((us - (SELECT min(us) FROM flow)) / {HOUR}.0, 6) AS hours FROM flow""")
 def feature_vectors(spark, sf_dir):
     r = flow_view(spark, sf_dir).withColumn("click", F.col("label_key") == "click")
     first = F.lit(r.agg(F.min("us")).first()[0])

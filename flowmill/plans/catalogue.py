@@ -132,18 +132,18 @@ def time_shift(spark, sf_dir):
     return reshape.shifted(flow_view(spark, sf_dir).select("seq", "daytime"), F.lit("2022-02-01 09:03:59").cast("timestamp_ntz"))
 
 
-@query(f"WITH {FLOW} SELECT seq, daytime, CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS side FROM flow")
+@query(f"WITH {FLOW} SELECT seq, daytime, CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS side, row_number() OVER (ORDER BY daytime, seq % 2, seq) AS rn FROM flow")
 def ordered_merge(spark, sf_dir):
     rows = flow_view(spark, sf_dir).select("seq", "daytime")
-    return reshape.ordered_merge(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"))
+    return reshape.ordered_merge(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"), place="rn")
 
 
 @query(f"""WITH {FLOW}, a AS (SELECT seq, daytime, 'A' AS side FROM flow WHERE seq % 2 = 0), b AS (SELECT seq, daytime, 'B' AS side FROM flow WHERE seq % 2 = 1)
- SELECT * FROM a UNION ALL SELECT seq, daytime + ((SELECT min(daytime) FROM a) - (SELECT min(daytime) FROM b)), side FROM b""")
+, m AS (SELECT * FROM a UNION ALL SELECT seq, daytime + ((SELECT min(daytime) FROM a) - (SELECT min(daytime) FROM b)), side FROM b) SELECT *, row_number() OVER (ORDER BY daytime, side, seq) AS rn FROM m""")
 def align_mix(spark, sf_dir):
     rows = flow_view(spark, sf_dir).select("seq", "daytime")
     a, b = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")
-    return reshape.ordered_merge(a, reshape.shifted(b, F.lit(a.agg(F.min("daytime")).first()[0])))
+    return reshape.align_mix(a, b, place="rn")
 
 
 @query(f"""WITH {FLOW}, n AS (SELECT seq, daytime, row_number() OVER (ORDER BY daytime, seq) AS rn FROM flow), c AS (SELECT *, (rn - 1) // 3000 AS chunk FROM n)
@@ -251,14 +251,24 @@ def sides(spark, sf_dir):
     return e.filter("vec_id % 100 = 0"), e.filter("vec_id % 100 <> 0")
 
 
-@query(L2 + ' SELECT vec_id, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
+ALL = lambda sql: sql.replace("embeddings WHERE vec_id % 100 <> 0", "embeddings").replace("FROM q, p)", "FROM q, p WHERE vec_id <> neighbour)")
+
+
+@query(ALL(COSINE) + ' SELECT vec_id, neighbour, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
+def knn_cosine_all(spark, sf_dir):
+    """The stated queries against all other rows by cosine."""
+    found = drift.nearest(sides(spark, sf_dir)[0], table(spark, sf_dir, "embeddings"), 8, "cosine", itself=False)
+    return found.select("vec_id", "neighbour", "rank", F.round("score", 4).alias("score"))
+
+
+@query(ALL(L2) + ' SELECT vec_id, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
 def knn_l2(spark, sf_dir):
-    return drift.nearest(*sides(spark, sf_dir), 8).select("vec_id", "rank", F.round("score", 4).alias("score"))
+    return knn_l2_all(spark, sf_dir).drop("neighbour")
 
 
-@query(L2.replace("embeddings WHERE vec_id % 100 <> 0", "embeddings").replace("FROM q, p)", "FROM q, p WHERE vec_id <> neighbour)") + ' SELECT vec_id, neighbour, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
+@query(ALL(L2) + ' SELECT vec_id, neighbour, "rank"::INTEGER AS "rank", round(score, 4) AS score FROM t WHERE "rank" <= 8')
 def knn_l2_all(spark, sf_dir):
-    """The queries of ``knn_l2`` against all other rows; ``knn_l2`` leaves its queries out of the searched side, as its SQL does."""
+    """The stated queries against all other rows by squared distance."""
     found = drift.nearest(sides(spark, sf_dir)[0], table(spark, sf_dir, "embeddings"), 8, itself=False)
     return found.select("vec_id", "neighbour", "rank", F.round("score", 4).alias("score"))
 
@@ -305,18 +315,20 @@ def pearson_matrix(spark, sf_dir):
     return stats.correlations(flow_view(spark, sf_dir), ["label_key"], [("value", "k"), ("value", "user_id")])
 
 
-@query(f"""WITH {FLOW}, e AS (SELECT seq, us // 1000000 AS s FROM flow WHERE seq % 10 = 0), t AS (SELECT us // 1000000 AS tick, k FROM flow WHERE label = 1)
+@query(f"""WITH {FLOW}, e AS (SELECT seq, us // 1000000 AS s FROM flow), t AS (SELECT us // 1000000 AS tick, k FROM flow WHERE label = 1)
  SELECT seq, s, coalesce(sum(k), 0.0) AS cost FROM e LEFT JOIN t ON tick >= s - 1800 AND tick < s + 1800 GROUP BY ALL""")
 def training_cost_range_join(spark, sf_dir):
+    """The training cost within half an hour of every event."""
     rows = flow_view(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1_000_000))
-    return rangejoin.range_sum(rows.filter("seq % 10 = 0").select("seq", "s"), rows.filter("label = 1").select(F.col("s").alias("at"), "k"), "seq", "s", "at", "k", 1800, 1800)
+    return rangejoin.range_sum(rows.select("seq", "s"), rows.filter("label = 1").select(F.col("s").alias("at"), "k"), "seq", "s", "at", "k", 1800, 1800)
 
 
-@query()
+@query(f"""WITH {FLOW}, t AS (SELECT us // 1000000 AS tick, sum(value) AS v FROM flow WHERE label_key = 'click' GROUP BY 1) SELECT seq, us // 1000000 AS s, round(coalesce(sum(v), 0.0), 4) AS cost FROM flow LEFT JOIN t ON tick >= us // 1000000 - 600 AND tick < us // 1000000 + 60 GROUP BY ALL""")
 def training_cost_all(spark, sf_dir):
-    """The costs of every event; ``training_cost_range_join`` has those of a tenth, as its SQL says."""
+    """The value of clicks from ten minutes before to a minute after every event: a range that isn't even."""
     rows = flow_view(spark, sf_dir).withColumn("s", F.floor(F.col("us") / 1_000_000))
-    return rangejoin.range_sum(rows.select("seq", "s"), rows.filter("label = 1").select(F.col("s").alias("at"), "k"), "seq", "s", "at", "k", 1800, 1800)
+    found = rangejoin.range_sum(rows.select("seq", "s"), rows.filter("label_key = 'click'").select(F.col("s").alias("at"), "value"), "seq", "s", "at", "value", 600, 60)
+    return found.withColumn("cost", F.round("cost", 4))
 
 
 @query(f"""WITH {FLOW}, a AS (SELECT date_trunc('hour', daytime)::TIMESTAMP AS slot, count(*) AS n_error FROM flow WHERE label = 1 GROUP BY 1), b AS (SELECT date_trunc('hour', daytime)::TIMESTAMP AS slot, count(*) AS n_click FROM flow WHERE label_key = 'click' GROUP BY 1) SELECT slot, n_error, n_click FROM a FULL JOIN b USING (slot)""")

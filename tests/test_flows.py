@@ -71,7 +71,7 @@ def test_cadence_against_a_loop(spark):
 
 def test_labels(spark):
     own = net.Network(("172.20.4.0/24", "2001:db8::/32"), ("198.18.7.0/24", "bad/99"), ("172.20.4.200/32",))
-    cases = [("198.18.7.10", "203.0.113.9", "emitted", 1), ("172.20.4.10", "203.0.113.9", "emitted", 0), ("203.0.113.9", "172.20.4.10", "emitted", 0), ("172.20.4.10", "172.20.4.20", "unlabeled", None), ("203.0.113.9", "192.0.2.1", "unlabeled", None), ("172.20.4.10", None, "unlabeled", None), ("172.20.4.200", "203.0.113.9", "excluded", 0), ("not-an-ip", "203.0.113.9", "unlabeled", None), ("2001:db8::5", "203.0.113.9", "emitted", 0), ("2001:db9::5", "203.0.113.9", "unlabeled", None)]
+    cases = [("198.18.7.10", "203.0.113.9", "emitted", 1), ("172.20.4.10", "203.0.113.9", "emitted", 0), ("203.0.113.9", "172.20.4.10", "emitted", 0), ("172.20.4.10", "172.20.4.20", "unlabeled", None), ("203.0.113.9", "192.0.2.1", "unlabeled", None), ("172.20.4.10", None, "unlabeled", None), ("172.20.4.200", "203.0.113.9", "excluded", 0), ("not-an-ip", "203.0.113.9", "unlabeled", None), ("2001:db8::5", "203.0.113.9", "emitted", 0), ("2001:db9::5", "203.0.113.9", "unlabeled", None), ("2001:db8::203.0.113.9", "203.0.113.9", "emitted", 0), ("2001:db8::1%eth0", "203.0.113.9", "emitted", 0), ("2001:db8::203.0.113.999", "203.0.113.9", "unlabeled", None), ("2001:db8::1%", "203.0.113.9", "unlabeled", None)]
     df = spark.createDataFrame([(a, b, "1", why, lab) for a, b, why, lab in cases], "a string, b string, ts string, why string, lab int")
     for r in df.select("*", net.reason(F.col("ts"), F.col("a"), F.col("b"), own).alias("got"), net.label(F.col("a"), F.col("b"), own).alias("label")).collect():
         assert r.got == r.why and (r.label == r.lab or r.why == "excluded")
@@ -138,7 +138,7 @@ def test_nearest_among_all_rows(spark, tmp_path):
 
 def test_training_cost_of_every_event(spark):
     rows = catalogue.flow_view(spark, SF).select("seq", F.floor(F.col("us") / 1_000_000).alias("s"), "label", "k").collect()
-    got = {r.seq: (r.s, r.cost) for r in entry.queries()["training_cost_all"](spark, SF).collect()}
+    got = {r.seq: (r.s, r.cost) for r in entry.queries()["training_cost_range_join"](spark, SF).collect()}
     assert set(got) == {r.seq for r in rows}
     for r in rows:
         assert got[r.seq] == (r.s, pytest.approx(sum(x.k or 0 for x in rows if x.label == 1 and r.s - 1800 <= x.s < r.s + 1800)))
