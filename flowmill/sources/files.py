@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import struct
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -220,38 +219,6 @@ def capture_extensions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.try_element_at(known, magic).alias("extension"))
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq, ts, src, dst, protocol, port, length) of IPv4 TCP and UDP packets of classic captures."""
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(packets(name, raw)), columns=["path", "seq", "ts", "src", "dst", "protocol", "port", "length"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pcap").load(path)
-    return files.select("path", "content").mapInPandas(parse, "path string, seq long, ts double, src string, dst string, protocol string, port int, length int")
-
-
-def packets(name: str, raw: bytes):
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">"}.get(raw[:4])
-    if order is None:
-        return
-    unit = 1e-9 if raw[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
-    at, seq = 24, 0
-    while at + 16 <= len(raw):
-        sec, part, size, length = struct.unpack_from(f"{order}IIII", raw, at)
-        frame = raw[at + 16 : at + 16 + size]
-        at += 16 + size
-        if len(frame) >= 38 and frame[12:14] == b"\x08\x00" and frame[23] in (6, 17):
-            head = 14 + 4 * (frame[14] & 15)
-            if len(frame) >= head + 4:
-                port = struct.unpack_from(">H", frame, head + 2)[0]
-                yield name, seq, sec + part * unit, ".".join(map(str, frame[26:30])), ".".join(map(str, frame[30:34])), "tcp" if frame[23] == 6 else "udp", port, length
-        seq += 1
-
-
 def unique_folder(path: str) -> str:
     """``path``, or with the first free suffix _01, _02 and so on."""
     out, n = path, 0

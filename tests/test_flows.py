@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from flowmill.functions import scalars
 from flowmill.operators import drift, flows, net, order, reshape
 from flowmill.plans import catalogue
-from flowmill.sources import files
+from flowmill.sources import captures, files
 from flowmill.streaming import replay
 
 SF = "/root/testdata/sf0.001"
@@ -105,13 +105,13 @@ def test_chunks_on_disk(spark, tmp_path):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "conn.log").write_text("\n".join(json.dumps(x) for x in ({"ts": 1, "id.orig_h": "10.0.0.1"}, {"ts": 2, "id.orig_h": "10.0.0.2"})) + "\n\n")
-    assert files.read_ndjson(spark, str(tmp_path / "conn.log")).count() == 2
+    assert files.read_ndjson(spark, str(tmp_path / "conn.log"))[0].count() == 2
     frame = bytes(12) + b"\x08\x00" + bytes([0x45]) + bytes(8) + bytes([17]) + bytes(2) + bytes([1, 2, 3, 4]) + bytes([5, 6, 7, 8]) + b"\x00\x35\x01\xbb" + bytes(8)
     import struct
 
     (tmp_path / "a.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + bytes(20) + struct.pack("<IIII", 10, 500000, len(frame), len(frame)) + frame)
-    rows = files.read_captures(spark, str(tmp_path)).collect()
-    assert [(r.ts, r.src, r.dst, r.protocol, r.port) for r in rows] == [(10.5, "1.2.3.4", "5.6.7.8", "udp", 443)]
+    rows = captures.read_captures(spark, str(tmp_path)).collect()
+    assert [(r.ts, r.src, r.dst, r.protocol, r.src_port, r.dst_port) for r in rows] == [(10.5, "1.2.3.4", "5.6.7.8", "udp", 53, 443)]
     assert {r.extension for r in files.capture_extensions(spark, str(tmp_path)).collect()} == {None, ".pcap"}
 
 
