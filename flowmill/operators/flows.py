@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import numeric, wall_clock
 from .net import Network, packet_class, reason, verdict
+from .order import segments
 
 #: Columns that every flow row has (fixed values).
 REQUIRED = ("daytime", "label", "conn_state", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes", "local_orig", "local_resp")
@@ -59,10 +60,9 @@ def packet_flows(packets: DataFrame, timeout: float = 60.0, flush_open: bool = F
     Tasks stream sorted packets and hold one part's open flow.
     """
     last = packets.agg(F.max("ts")).first()[0]
-    by = Window.partitionBy("pair").orderBy("ts", "seq")
-    gap = (F.col("ts") - F.lag("ts").over(by) > timeout).cast("int")
-    parts = packets.withColumn("_gap", gap).withColumn("_part", F.sum(F.coalesce("_gap", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = parts.select("pair", "_part", "ts", "seq", (F.col("direction") == "rcv").alias("rcv"), F.col("protocol"), F.col("port").cast("long"), F.col("length").cast("long"), F.col("label").cast("long"))
+    gap = (F.col("pair") != F.col("_pair")) | (F.col("ts") - F.col("_ts") > timeout)
+    parts = segments(packets, ["pair", "ts", "seq"], {"_pair": "pair", "_ts": "ts"}, gap, "_segment")
+    rows = parts.select("pair", F.col("_segment").alias("_part"), "ts", "seq", (F.col("direction") == "rcv").alias("rcv"), F.col("protocol"), F.col("port").cast("long"), F.col("length").cast("long"), F.col("label").cast("long"))
     dealt = rows.repartition("pair", "_part").sortWithinPartitions("pair", "_part", "ts", "seq")
 
     def run(batches):

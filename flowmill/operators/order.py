@@ -56,7 +56,7 @@ def cadence(df: DataFrame, start: Column, interval_us: int, order: list[str], ti
     return out.drop("_part", "_k", "_r", "_d", "_low", "_lower", "_offset", "_below")
 
 
-def with_previous(df: DataFrame, order: list[str], columns: dict[str, str]) -> DataFrame:
+def with_previous(df: DataFrame, order: list[str], columns: dict[str, str], more: tuple[str, ...] = ()) -> DataFrame:
     """Adds the values that ``columns`` (new name to column) had in the row before, null in the first row.
 
     The first row of a range gets them from the last row of the range before.
@@ -66,4 +66,13 @@ def with_previous(df: DataFrame, order: list[str], columns: dict[str, str]) -> D
     last = rows.groupBy("_part").agg(F.max_by(values, "_k").alias("_last")).select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))  # a row for each range
     inside = F.lag(values).over(Window.partitionBy("_part").orderBy("_k"))
     both = rows.withColumn("_inside", inside).join(last, "_part").withColumn("_before", F.when(F.col("_k") == 0, F.col("_edge")).otherwise(F.col("_inside")))
-    return both.select(*df.columns, *(F.col(f"_before.{new}").alias(new) for new in columns))
+    return both.select(*df.columns, *more, *(F.col(f"_before.{new}").alias(new) for new in columns))
+
+
+def segments(df: DataFrame, order: list[str], columns: dict[str, str], begins: Column, name: str) -> DataFrame:
+    """Numbers runs of rows in order: a row for which ``begins`` holds starts the next; it may use ``columns``' values of the row before."""
+    marked = with_previous(df, order, columns, ("_part", "_k")).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = marked.groupBy("_part").agg(F.sum("_new").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.sum("_new").over(Window.partitionBy("_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_inside", inside).join(before, "_part").select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))

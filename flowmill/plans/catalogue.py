@@ -106,7 +106,7 @@ def records(spark, sf_dir):
     return e.select(F.when(F.col("event_id") % 17 == 0, "bad").otherwise(F.col("event_id").cast("string")).alias("ts"), orig.alias("id.orig_h"), resp.alias("id.resp_h"), F.col("event_id").alias("uid"), (F.col("value") / 10).alias("duration"))
 
 
-RECORDS = """r AS (SELECT event_id AS uid, event_id % 17 = 0 AS bad, user_id % 256 AS o, CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 <> 0 THEN event_id % 256 END AS d FROM events),
+RECORDS = """r AS (SELECT event_id AS uid, value, event_id % 17 = 0 AS bad, user_id % 256 AS o, CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 <> 0 THEN event_id % 256 END AS d FROM events),
  l AS (SELECT *, d IS NOT NULL AND (o IN (5, 70) OR d IN (5, 70)) AS ex, CASE WHEN d IS NULL THEN NULL WHEN o BETWEEN 64 AND 127 OR d BETWEEN 64 AND 127 THEN 1 WHEN (o BETWEEN 0 AND 31) <> (d BETWEEN 0 AND 31) THEN 0 END AS lab FROM r)"""
 
 
@@ -115,9 +115,20 @@ def label_reason_counts(spark, sf_dir):
     return flows.reason_counts(records(spark, sf_dir), NET)
 
 
-@query(f"WITH {RECORDS} SELECT uid, lab AS label FROM l WHERE NOT bad AND NOT ex AND lab IS NOT NULL")
+@query(f"WITH {RECORDS} SELECT uid, lab AS label, coalesce(value / 10, 0.0) AS duration, strftime(make_timestamp(floor(uid + coalesce(value / 10, 0.0))::BIGINT * 1000000) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS daytime, '' AS orig_bytes FROM l WHERE NOT bad AND NOT ex AND lab IS NOT NULL")
 def cidr_label(spark, sf_dir):
-    return flows.labelled_flows(records(spark, sf_dir), NET).select("uid", "label")
+    return flows.labelled_flows(records(spark, sf_dir), NET).select("uid", "label", "duration", "daytime", "orig_bytes")
+
+
+@query("""WITH p AS (SELECT event_id AS seq, user_id % 256 AS o, (event_id * 7) % 256 AS d, event_id % 1000 AS a, event_id % 2000 AS b FROM events),
+ c AS (SELECT *, CASE WHEN o BETWEEN 64 AND 127 THEN 1 WHEN d BETWEEN 64 AND 127 THEN 2 WHEN o < 32 AND NOT d < 32 THEN 3 WHEN d < 32 AND NOT o < 32 THEN 4 END AS k FROM p)
+ SELECT seq, CASE WHEN k IN (1, 3) THEN '10.0.0.' || d || '|10.0.0.' || o ELSE '10.0.0.' || o || '|10.0.0.' || d END AS pair, CASE WHEN k IN (1, 3) THEN 'snd' ELSE 'rcv' END AS direction, CASE WHEN k IN (1, 3) THEN a ELSE b END AS port, (k < 3)::INTEGER AS label FROM c WHERE k IS NOT NULL""")
+def packet_classes(spark, sf_dir):
+    """Pair, direction, port and label of packets by their addresses."""
+    e = table(spark, sf_dir, "events")
+    address = lambda c: F.concat(F.lit("10.0.0."), (c % 256).cast("string"))
+    packets = e.select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), address(F.col("user_id")).alias("src"), address(F.col("event_id") * 7).alias("dst"), F.lit("tcp").alias("protocol"), (F.col("event_id") % 1000).alias("src_port"), (F.col("event_id") % 2000).alias("dst_port"), F.lit(60).alias("length"))
+    return flows.classified(packets, NET).select("seq", "pair", "direction", "port", "label")
 
 
 @query(f"""WITH {RECORDS} SELECT uid, CASE WHEN o BETWEEN 64 AND 127 THEN 'outbound' WHEN d BETWEEN 64 AND 127 THEN 'inbound' WHEN o BETWEEN 0 AND 31 AND NOT coalesce(d BETWEEN 0 AND 31, false) THEN 'outbound'
