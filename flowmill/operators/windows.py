@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import with_previous
+from .stats import distances_of_counts
 
 
 def in_cells(df: DataFrame, time_us: str, span_us: int) -> DataFrame:
-    """Each row in its time cell of width ``span_us`` (``_own``) and in the next, so that a cell holds all that its own rows look back on."""
+    """Each row in its time cell of width ``span_us`` (``_own``) and in the next, so that a cell holds all that its own rows look back on.
+
+    Rows without a time are in no cell and left out.
+    """
     cell = F.floor(F.col(time_us) / span_us)
     return df.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumn("_own", F.col("_cell") == cell)
 
@@ -60,6 +64,34 @@ def sliding_means(df: DataFrame, time_us: str, size_us: int, step_us: int, featu
     return full.select("end", "n", *(F.when(F.col("n") >= least, F.col(f)).alias(f) for f in features))
 
 
+def sliding_drift(df: DataFrame, time_us: str, size_us: int, step_us: int, feature: str, reference: DataFrame, least: int) -> DataFrame:
+    """(end, n, ks, wasserstein, mean_shift) of a feature in each window [end - size, end] against all values of ``reference``.
+
+    ``size_us`` is a multiple of ``step_us``.  Values are counted once for each pane, the open time between two ends or the instant of one, and panes' counts are
+    added up to windows.  Windows below ``least`` rows, and those without a value of the feature, give nulls.
+    """
+    if size_us % step_us:
+        raise ValueError("the size must be a multiple of the step")
+    ends = sliding_ends(df, time_us, size_us, step_us).withColumn("_win", F.row_number().over(Window.orderBy("end")) - 1)  # a row for each window
+    first = F.broadcast(df.agg(F.min(time_us).alias("_t")))  # one row
+    offset = F.col(time_us) - F.col("_t")
+    pane = 2 * F.floor(offset / step_us) + F.when(offset % step_us == 0, 0).otherwise(1)
+    panes = df.join(first).groupBy(pane.alias("_pane"), F.col(feature).alias("_v")).agg(F.count("*").alias("_c"))
+    span = 2 * (size_us // step_us)
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("_pane") - span) / 2)), F.floor(F.col("_pane") / 2)
+    windows = panes.select(F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("_win"), "_v", "_c").groupBy("_win", "_v").agg(F.sum("_c").alias("_a"))
+    totals = windows.groupBy("_win").agg(F.sum("_a").alias("n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_a"))).alias("_m"), F.sum(F.col("_v") * F.col("_a")).alias("_s"))
+    known = reference.filter(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("_v")).agg(F.count("*").alias("_b"))
+    mean = F.broadcast(known.agg((F.sum(F.col("_v") * F.col("_b")) / F.sum("_b")).alias("_mean")))  # one row
+    full = ends.join(totals, "_win", "left").na.fill(0, ["n"])
+    judged = full.filter((F.col("n") >= least) & (F.col("_m") > 0)).select("_win")
+    mine = windows.filter("_v is not null").join(judged, "_win").select("_win", "_v", "_a", F.lit(0).cast("long").alias("_b"))
+    theirs = judged.join(known).select("_win", "_v", F.lit(0).cast("long").alias("_a"), "_b")  # the reference's distinct values for each window
+    counts = mine.unionByName(theirs).groupBy("_win", "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    found = full.join(distances_of_counts(counts, ["_win"]), "_win", "left").join(mean)
+    return found.select("end", "n", "ks", "wasserstein", F.when(F.col("ks").isNotNull(), F.round(F.col("_s") / F.col("_m") - F.col("_mean"), 6)).alias("mean_shift"))
+
+
 def hopping(df: DataFrame, time: str, size: str, step: str, aggregates: list, keys: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates over windows of ``size`` every ``step``; each row is put into the windows that hold it."""
     found = df.groupBy(F.window(time, size, step).alias("w"), *keys).agg(*aggregates)

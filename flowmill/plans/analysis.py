@@ -147,3 +147,25 @@ def equal_windows_warm(spark, sf_dir):
     """Equal current and past windows of a day, from when both are full."""
     counted = windows.dual_window(flow_view(spark, sf_dir), "label_key", "us", 24 * HOUR, 24 * HOUR)
     return windows.warm(counted, "label_key", "us", 48 * HOUR).select("seq", "cw", "pw")
+
+
+@query(f"""WITH {FLOW}, e AS (SELECT label_key, min(value) AS lo, max(value) AS hi, count(*) AS n, (max(value) - min(value)) / 63 AS step FROM flow WHERE value IS NOT NULL GROUP BY 1),
+ b AS (SELECT label_key, (value - lo) / step AS q, least(floor((value - lo) / step), 62) AS low FROM flow JOIN e USING (label_key) WHERE value IS NOT NULL), w AS (SELECT label_key, low AS b, sum(1 - (q - low)) AS w FROM b GROUP BY ALL UNION ALL SELECT label_key, low + 1, sum(q - low) FROM b GROUP BY ALL)
+ SELECT label_key, p::INTEGER AS point, round(lo + p * step, 6) AS x, round(sum(w * exp(-(((p - b) * step / 2.5) * ((p - b) * step / 2.5)) / 2)) / (n * 2.5 * sqrt(2 * pi())), 9) AS density FROM e CROSS JOIN (SELECT unnest(range(0, 64)) AS p) JOIN w USING (label_key) GROUP BY label_key, p, lo, step, n""")
+def kernel_density(spark, sf_dir):
+    """Density of each event type's values at 64 places."""
+    return stats.kernel_density(flow_view(spark, sf_dir), "value", 2.5, 64, ("label_key",))
+
+
+@query(f"""WITH {FLOW}, b AS (SELECT min(us) AS a, max(us) AS z FROM flow), e AS (SELECT unnest(range(a + {48 * HOUR}, z + 1, {12 * HOUR})) AS "end" FROM b WHERE a + {48 * HOUR} <= z),
+ r AS (SELECT value FROM flow WHERE us < (SELECT a FROM b) + {72 * HOUR} AND value IS NOT NULL), j AS MATERIALIZED (SELECT "end", us, value FROM e LEFT JOIN flow ON us >= "end" - {48 * HOUR} AND us <= "end"),
+ t AS (SELECT "end", count(us) AS n, avg(value) AS m FROM j GROUP BY 1), v AS (SELECT "end", value AS v, count(*) AS a, 0 AS b FROM j WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT "end", value, 0, count(*) FROM t, r WHERE n >= 30 AND m IS NOT NULL GROUP BY ALL),
+ c AS (SELECT "end", v, sum(a) AS a, sum(b) AS b FROM v JOIN t USING ("end") WHERE n >= 30 GROUP BY ALL),
+ g AS (SELECT "end", abs(sum(a) OVER u / sum(a) OVER k - sum(b) OVER u / sum(b) OVER k) AS g, lead(v) OVER u - v AS w FROM c WINDOW u AS (PARTITION BY "end" ORDER BY v), k AS (PARTITION BY "end")),
+ d AS (SELECT "end", round(max(g), 6) AS ks, round(sum(g * coalesce(w, 0)), 6) AS wasserstein FROM g GROUP BY 1)
+ SELECT "end", n, ks, wasserstein, CASE WHEN ks IS NOT NULL THEN round(m - (SELECT avg(value) FROM r), 6) END AS mean_shift FROM t LEFT JOIN d USING ("end")""")
+def sliding_drift(spark, sf_dir):
+    """Drift of the value in two-day windows every twelve hours against the first three days."""
+    rows = flow_view(spark, sf_dir)
+    first = rows.agg(F.min("us")).first()[0] or 0
+    return windows.sliding_drift(rows, "us", 48 * HOUR, 12 * HOUR, "value", rows.filter(F.col("us") < first + 72 * HOUR), 30)
