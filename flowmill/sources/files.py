@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -108,6 +108,47 @@ def move(fs, old, new) -> None:
         raise OSError(f"{old} wasn't renamed to {new}")
 
 
+def manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}.manifest"
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names and sizes of a folder's files."""
+    fs, at = _folder(spark, path)
+    return {f.getPath().getName(): f.getLen() for f in fs.listStatus(at) if not f.isDirectory()} if fs.exists(at) else {}
+
+
+def finished(spark: SparkSession, path: str) -> dict[str, int] | None:
+    """What the manifest beside a folder lists, if the folder holds just that; it is written last, so a killed write has none that fits."""
+    fs, at = _folder(spark, manifest_path(path))
+    if not fs.exists(at):
+        return None
+    told = json.loads("".join(r.value for r in spark.read.text(manifest_path(path), wholetext=True).collect()))  # one small file
+    return told if told == listing(spark, path) else None
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, manifest_path(path))
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(listing(spark, path)).encode()))
+    finally:
+        out.close()
+
+
+def existing_batch(spark: SparkSession, path: str, existing: str) -> list[str] | None:
+    """What to do about an output that is there: its file names with ``reuse`` if it is finished, else None to write it anew.
+
+    ``replace`` always writes, ``abort`` raises an error if anything is there.
+    """
+    if existing not in ("reuse", "replace", "abort"):
+        raise ValueError("an existing output is reused, replaced or a reason to abort")
+    if existing == "abort" and listing(spark, path):
+        raise ValueError(f"{path} isn't empty")
+    told = finished(spark, path) if existing == "reuse" else None
+    return sorted(told) if told else None
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
     """Put a whole folder in the place of an old one, which is kept aside until the new one is there and comes back if it doesn't get there."""
     fs, target = _folder(spark, path)
@@ -118,6 +159,7 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
         move(fs, target, aside)
     elif target.getParent() is not None:
         fs.mkdirs(target.getParent())
+    fs.delete(_folder(spark, manifest_path(path))[1], False)
     try:
         move(fs, new, target)
     except Exception:
@@ -126,6 +168,7 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
         raise
     if held:
         fs.delete(aside, True)
+    write_manifest(spark, path)
 
 
 def write_chunks(df: DataFrame, path: str, rows: int, order: list[str], time: str = "daytime", pattern: str = "yyyyMMddHHmmss", replace: bool = False) -> list[str]:
@@ -186,18 +229,22 @@ def first_time(records: DataFrame) -> float | None:
     return records.agg(F.min(F.col("ts").cast("string").try_cast("double"))).first()[0]
 
 
-def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: str | list[str] = ("conn.log",), rows: int = 3000, zone: str = "Asia/Tokyo", batch: str | None = None, check: bool = True) -> dict[str, list[str]]:
+def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: str | list[str] = ("conn.log",), rows: int = 3000, zone: str = "Asia/Tokyo", batch: str | None = None, check: bool = True, existing: str = "replace") -> dict[str, list[str]]:
     """Logs to labelled rows in order of end time, ``rows`` a CSV file; gives the files of each folder written.
 
     Each log has a folder of its own, named by the log without its extension and ``batch`` (the input's name).  Rows of one second stand
-    in the order of folders and lines.  An earlier output is replaced once the new one is whole; without any labelled record it stays
-    and an error is raised.  Connection rows are then checked against their contract.
+    in the order of folders and lines.  An earlier output is replaced once the new one is whole, or by ``existing`` reused if it is
+    finished, or a reason to abort; without any labelled record it stays and an error is raised.  Connection rows are then checked against their contract.
     """
     done: dict[str, list[str]] = {}
     logs = target_logs(list(names) if not isinstance(names, str) else names)
     log_folders(spark, path, logs)
     batch = batch or path.rstrip("/").rsplit("/", 1)[-1]
     for name in logs:
+        folder = f"{out.rstrip('/')}/{name.rsplit('.', 1)[0] or name}/{batch}"
+        if (held := existing_batch(spark, folder, existing)) is not None:
+            done[folder] = held
+            continue
         records, kinds = read_logs(spark, path, name)
         conn = name == "conn.log"
         span = F.col("duration") if "duration" in records.columns else F.lit(None).cast("string")
@@ -205,7 +252,6 @@ def log_to_csv(spark: SparkSession, path: str, out: str, net: Network, names: st
         others = [c for c in found.columns if c not in ("daytime", "label", "place", "_span")]
         shown = {f.name: cell_text(F.col(f"`{f.name}`"), f.dataType) for f in kinds} | {"duration": F.coalesce(python_float(F.col("_span")), F.lit("0"))}
         cells = found.select(F.to_timestamp("daytime").alias("_t"), "place", "daytime", F.col("label").cast("string").alias("label"), *((shown[c] if c in shown else F.col(f"`{c}`").cast("string")).alias(c) for c in others))
-        folder = f"{out.rstrip('/')}/{name.rsplit('.', 1)[0] or name}/{batch}"
         done[folder] = write_named(chunked(cells, rows, ["_t", "place"], time="_t"), folder, ["rn"], ["daytime", "label", *others], replace=True)
         if conn and check and not (told := check_folder(spark, folder)).ok:
             raise ValueError(f"{folder} breaks the contract of flow rows\n{told.text()}")
@@ -219,10 +265,10 @@ def capture_extensions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.try_element_at(known, magic).alias("extension"))
 
 
-def unique_folder(path: str) -> str:
-    """``path``, or with the first free suffix _01, _02 and so on."""
+def unique_folder(spark: SparkSession, path: str) -> str:
+    """``path``, or with the first free suffix _01, _02 and so on, on any storage that Spark reads."""
     out, n = path, 0
-    while os.path.exists(out):
+    while _folder(spark, out)[0].exists(_folder(spark, out)[1]):
         n += 1
         out = f"{path}_{n:02d}"
     return out

@@ -45,7 +45,7 @@ def test_log_to_csv(spark, tmp_path):
     header = got[names[0]][0].split(",")
     assert header[:2] == ["daytime", "label"] and {"missed_bytes", "local_orig", "history"} <= set(header)
     files.log_to_csv(spark, f"{top}/b", out, NET, batch="batch", check=False)  # replaces
-    assert list(lines(f"{out}/conn/batch")) == ["00000_20231115071322.csv"] and os.listdir(f"{out}/conn") == ["batch"]
+    assert list(lines(f"{out}/conn/batch")) == ["00000_20231115071322.csv"] and {x for x in os.listdir(f"{out}/conn") if x[0] != "."} == {"batch", "batch.manifest"}
     write_log(f"{top}/c", [record(BASE, "172.20.4.250")])
     with pytest.raises(ValueError):
         files.log_to_csv(spark, f"{top}/c", out, NET, batch="batch")
@@ -149,6 +149,26 @@ def test_a_failed_rename_leaves_the_old_output(spark, tmp_path, monkeypatch):
     assert lines(out) != whole
 
 
+def test_existing_batches(spark, tmp_path):
+    write_log(str(tmp_path / "in"), [record(BASE), record(BASE + 1)])
+    run = lambda existing: files.log_to_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), NET, check=False, existing=existing)
+    folder = str(tmp_path / "out/conn/in")
+    first = run("abort")
+    with pytest.raises(ValueError, match="isn't empty"):
+        run("abort")
+    write_log(str(tmp_path / "in"), [record(BASE + 50)])
+    assert run("reuse") == first and len(table(folder)) == 2
+    assert len(run("replace")[folder]) == 1 and len(table(folder)) == 1
+    write_log(str(tmp_path / "in"), [record(BASE + 60)])
+    os.remove(f"{folder}.manifest")  # as if the last write was killed before it
+    assert run("reuse")[folder] == ["00000_20231115071420.csv"]
+    open(f"{folder}/more.csv", "w").write("x")  # no longer what the manifest lists
+    assert run("reuse")[folder] == ["00000_20231115071420.csv"] and len(lines(folder)) == 1
+    with pytest.raises(ValueError):
+        run("other")
+    assert files.unique_folder(spark, folder) == f"{folder}_01" and files.unique_folder(spark, str(tmp_path / "new")) == str(tmp_path / "new")
+
+
 def test_addresses(spark):
     cases = [("", "198.18.7.1", None), (None, "198.18.7.1", None), ("198.18.7.1", "203.0.113.9", 1), ("172.20.4.1", "203.0.113.9", 0), ("172.20.4.1", "172.20.4.2", None), ("0198.18.7.1", "203.0.113.9", None), ("198.18.7.1.", "203.0.113.9", None), ("198.18.7.256", "203.0.113.9", None), ("+198.18.7.1", "203.0.113.9", None)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
