@@ -112,11 +112,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = PIECES_PE
     """Add ``sequence_id``, ``offset`` (gapless from 0) and ``certified`` to a table with a ``length`` column.
 
     ``certified`` tells whether the row's partition met its lower bound.  Lengths are 1 to ``capacity``;
-    null, zero and larger lengths are refused.  ``keys`` only deal rows out; they may be null or repeat.  Columns
+    null, zero and larger lengths are refused.  ``keys`` and a row's number deal rows out; keys may be null or repeat, as often as they like.  Columns
     of ``pieces`` that have one of the three names are replaced; any other name is kept as it is.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "certified")]
-    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("length").cast("long").alias("length"), F.xxhash64(*(F.col(f"`{k}`") for k in keys)).alias("deal"))
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("length").cast("long").alias("length"), F.xxhash64(*(F.col(f"`{k}`") for k in keys), F.monotonically_increasing_id()).alias("deal"))
     rows = cut(rows, "pieces")
     total, bad = rows.agg(F.count("*"), F.count_if(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))).first()
     if bad:
