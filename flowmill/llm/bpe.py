@@ -2,7 +2,8 @@
 
 The distinct pieces of the corpus are folded once, by Spark higher-order functions: a piece starts as
 the ids of its bytes, and each step merges the adjacent pair of lowest rank, leftmost first, looked up
-in a literal rank map (pairs of ids hashed to buckets of a constant array).  The folded pieces go to a
+in a literal rank map (pairs of ids hashed to buckets of a constant array).  Pieces above ``LONG`` bytes are merged with a
+heap of pairs instead, as a fold's work grows with the square of its length.  The folded pieces go to a
 sorted hash store in the shared folder; workers map it, look up the pieces of each text and concatenate
 their ids.  Decoding concatenates the byte strings of the ids.
 """
@@ -10,6 +11,7 @@ their ids.  Decoding concatenates the byte strings of the ids.
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +29,8 @@ from .store import open_store, shard_bits, write_store
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Bits of an id or rank in a packed number; no rank; pieces that a task folds.
 BITS, NONE, PIECES = 17, 1 << 17, 50_000
+#: Bytes of a piece up to which it is folded by higher-order functions, in steps that each go over the whole piece.
+LONG = 256
 SEED = 42  # of Spark's xxhash64
 
 
@@ -131,7 +135,9 @@ def fold_pieces(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     tokens = spark.createDataFrame([(bytearray(t), r) for t, r in ranks.items()], "word binary, id int")
     marked = words.join(F.broadcast(tokens), "word", "left")  # the vocabulary's size bounds this side
     whole = marked.filter("id is not null").select("word", F.array("id").alias("ids"))
-    rest = marked.filter("id is null").select("word").withColumns({"_bytes": byte_ids, "_shifts": shifts, "_slots": slots})
+    unknown = marked.filter("id is null").select("word")
+    long = merge_long(unknown.filter(F.octet_length("word") > LONG), ranks)
+    rest = unknown.filter(F.octet_length("word") <= LONG).withColumns({"_bytes": byte_ids, "_shifts": shifts, "_slots": slots})
 
     def key(left: Column, right: Column) -> Column:
         return F.shiftleft(left, BITS) + right + 1
@@ -174,7 +180,42 @@ def fold_pieces(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     ids, steps = F.col("_ids"), F.sequence(F.lit(1), F.size("_ids"))
     rest = rest.withColumn("_keys", F.transform(steps, lambda i: F.when(i < F.size(ids), key(F.get(ids, i - 1), F.get(ids, i))).otherwise(alone(F.get(ids, i - 1)))))
     folded = F.aggregate(steps, parts(F.col("_keys")), merge, lambda acc: F.transform(acc, lambda x: number(x).cast("int")))
-    return whole.unionByName(rest.select("word", folded.alias("ids")))
+    return whole.unionByName(rest.select("word", folded.alias("ids"))).unionByName(long)
+
+
+def merge_long(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, ids) of long words by a heap of pairs: a fold takes as many steps as a word has bytes, each over the whole word."""
+
+    def run(batches):
+        schema = pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32()))])
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                yield batch_of(schema, [[word], [merged(word, ranks)]])
+
+    return words.mapInArrow(run, "word binary, ids array<int>")
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word: the pair of least rank is merged, the leftmost of equals, until none has a rank."""
+    size = len(word)
+    following, before = list(range(1, size + 2)), list(range(-1, size))
+    heap = [(rank, i, i + 1, i + 2) for i in range(size - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, middle, end = heapq.heappop(heap)
+        if following[i] != middle or middle >= size or following[middle] != end:
+            continue  # one of its parts was merged meanwhile
+        following[i], following[middle] = end, -1
+        if end < size:
+            before[end] = i
+        for left, right in ((before[i], i), (i, end)):
+            if left >= 0 and right < size and (rank := ranks.get(word[left : following[right]])) is not None:
+                heapq.heappush(heap, (rank, left, right, following[right]))
+    out, at = [], 0
+    while at < size:
+        out.append(ranks[word[at : following[at]]])
+        at = following[at]
+    return out
 
 
 def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

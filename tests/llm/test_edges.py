@@ -5,11 +5,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowmill.llm import kneser, language, media, packing, pii, store, suffix
+from flowmill.llm import bpe, kneser, language, media, packing, pii, store, suffix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -150,3 +152,25 @@ def test_media_round_trip(spark):
         assert rows[i].feature.startswith(name + ";samples=") and bytes(rows[i].pcm)[:4] == b"RIFF"
     assert rows[2].feature == rows[3].feature and bytes(rows[2].media) == bytes(rows[3].media) and rows[0].media == rows[1].media
     assert "n" in media.media_digests(media.store_telephony(df, "n"), "n").columns
+
+
+def test_long_pieces_of_bpe(spark):
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aenrst") for _ in range(n)) for n in (1, 2, 3, 57, 256, 257, 1000)] + ["a" * 700, "é漢" * 300, "the" * 100, "x" * bpe.LONG]
+    for word in [*words, "".join(rng.choice("etaoinshr") for _ in range(200_000)), "o" * 200_000]:
+        assert bpe.merged(word.encode(), ranks) == whole.encode(word)
+    table = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary")
+    assert {bytes(r.word): r.ids for r in bpe.fold_pieces(table, ranks).collect()} == {w.encode(): whole.encode(w) for w in words}
+
+
+def test_rows_without_id_are_packed_in_many_blocks(spark):
+    rows = spark.createDataFrame([(None, 0, 1 + i % 900) for i in range(2000)], "doc_id long, piece int, length long").repartition(4)
+    packed = packing.pack(rows, per_partition=100).collect()
+    blocks = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) == 2000 and len(blocks) > 8 and max(blocks.values()) < 400
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
