@@ -92,7 +92,7 @@ def replay(df: DataFrame, features: list[str], mode: str, **given) -> DataFrame:
 
 
 def run_session(df: DataFrame, features: list[str], s: Settings) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``replay``, and (key, window, at_us, n, benign, malicious, loss, accuracy) of every training."""
+    """The rows of ``replay``, and (key, window, at_us, n, benign, malicious, loss, accuracy, weights) of every training."""
     us = F.round(F.col("t") * 1_000_000).cast("long")
     rows = df.filter(F.col("t").isNotNull()).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), F.col("seq").cast("long").alias("seq"), us.alias("us"), F.col("label").cast("int").alias("label"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
     start = micros(s.start) if s.start is not None else rows.agg(F.min("us")).first()[0] or 0  # one value
@@ -122,7 +122,7 @@ def _log(fitted: DataFrame, times: DataFrame | None, by: list[str]) -> DataFrame
     """The training log: a chain's name ends with its window's number after a line feed."""
     timed = fitted.withColumn("at_us", F.lit(None).cast("long")) if times is None else fitted.join(times, by)
     parts = F.split("key", "\n")
-    return timed.select(parts[0].alias("key"), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)).alias("window"), "at_us", "n", "benign", "malicious", "loss", "accuracy")
+    return timed.select(parts[0].alias("key"), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)).alias("window"), "at_us", "n", "benign", "malicious", "loss", "accuracy", "weights")
 
 
 def scaled(x: Column, features: list[str], scaling: dict[str, str]) -> Column:
