@@ -132,6 +132,71 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([((b - row) ** 2).sum(1) for row in a])
 
 
+def inverted_index(df: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> np.ndarray:
+    """Centres of at most ``cells`` cells, fitted by k-means on ``sample`` rows of least hash of their ids; every row is indexed by them later."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    taken = np.array([r.v for r in rows.orderBy(F.xxhash64("i"), "i").limit(sample).collect()], np.float64)  # a bounded sample
+    if not len(taken):
+        return np.zeros((0, 0))
+    centres = np.unique(taken, axis=0)
+    centres = centres[np.linspace(0, len(centres) - 1, min(cells, len(centres))).astype(int)]
+    for _ in range(rounds):
+        own = nearest_centres(taken, centres, 1)[:, 0]
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, taken)
+        n = np.bincount(own, minlength=len(centres))
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    far = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+    return np.argsort(far, axis=1, kind="stable")[:, :probes]
+
+
+def in_cells_of(df: DataFrame, centres: np.ndarray, probes: int, id_col: str, vector: str) -> DataFrame:
+    """(cell, block, ids, v): rows packed by the ``probes`` cells nearest to them, large cells in blocks of about ``BLOCK`` rows."""
+    schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("v", pa.list_(pa.float64()))])
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cells = nearest_centres(x, centres, probes)
+                rows = np.repeat(np.arange(len(x)), cells.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cells.ravel().astype(np.int32)), batch.column(1).take(pa.array(rows))], schema=schema)
+
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(assign, "id long, cell int, v array<double>")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")))  # a row for each cell
+    packed = dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("_rows"))
+    return packed.select("cell", "block", F.col("_rows.id").alias("ids"), F.flatten("_rows.v").alias("v"))
+
+
+def approximate_nearest(current: DataFrame, past: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vector: str = "embedding", itself: bool = True) -> DataFrame:
+    """(id, neighbour, score, rank) by squared distance among the past rows of the ``probes`` cells nearest to each current row.
+
+    Distances are exact; a neighbour in another cell is missed.  Vectors have the centres' length.
+    """
+    size = centres.shape[1]
+    a = in_cells_of(current, centres, probes, id_col, vector).select("cell", F.col("ids").alias("a_ids"), F.col("v").alias("a"))
+    b = in_cells_of(past, centres, 1, id_col, vector).select("cell", F.col("ids").alias("b_ids"), F.col("v").alias("b"))
+    schema = pa.schema([(id_col, pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            ids, names = np.array(row["a_ids"]), np.array(row["b_ids"])
+            far = distances(np.array(row["a"]).reshape(-1, size), np.array(row["b"]).reshape(-1, size), "l2")
+            far = far if itself else np.where(ids[:, None] == names, np.inf, far)
+            top = np.lexsort((np.broadcast_to(names, far.shape), far), axis=1)[:, :k]
+            best = np.take_along_axis(far, top, 1).ravel()
+            good = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (np.repeat(ids, top.shape[1]), names[top].ravel(), best)], schema=schema)
+
+    found = a.join(b, "cell").select("a_ids", "a", "b_ids", "b").mapInArrow(run, f"`{id_col}` long, neighbour long, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("score", "neighbour"))).filter(F.col("rank") <= k)
+
+
 def ensemble(votes: Column, code: int) -> Column:
     """0: the first model's vote, 1: the majority of binary votes."""
     return F.get(votes, 0) if code == 0 else (F.aggregate(votes, F.lit(0), lambda s, v: s + v) > F.size(votes) / 2).cast("int")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.operators import order, stats, windows
+import __spark_entry__ as entry
+from flowmill.operators import drift, order, stats, windows
 
 
 def test_density_against_direct_sums(spark):
@@ -75,3 +76,25 @@ def test_order_over_ranges(spark):
         assert late == set(timed)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_recall_of_the_inverted_index(spark, folder):
+    top = lambda name: {(r.vec_id, r.neighbour) for r in entry.queries()[name](spark, f"/root/testdata/{folder}").collect()}
+    exact, found = top("knn_l2_all"), top("knn_ivf")
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_every_row_is_indexed(spark, monkeypatch):
+    monkeypatch.setattr(drift, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 3)), np.repeat([[9.0, 9.0, 9.0]], 200, axis=0)])  # one hot cell of equal rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>").repartition(3)
+    centres = drift.inverted_index(df, 7, sample=50)
+    packed = drift.in_cells_of(df, centres, 1, "vec_id", "embedding").collect()
+    assert sorted(i for r in packed for i in r.ids) == list(range(260)) and len(packed) > 14
+    whole = {(r.vec_id, r["rank"]): r.neighbour for r in drift.approximate_nearest(df.filter("vec_id < 60"), df, centres, 4, len(centres), itself=False).collect()}
+    far = ((x[:60, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    assert whole == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(far[i], kind="stable")[:4])}  # all cells searched: exact
+    assert drift.approximate_nearest(df.filter("vec_id < 0"), df, centres, 4, 2).count() == 0
