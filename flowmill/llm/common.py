@@ -67,7 +67,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: int = 1, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices whose values in ``column`` hold about ``budget`` bytes; afterwards the worker gives free memory back."""
+    """Cut Arrow batches into slices whose values in ``column`` hold about ``budget`` bytes; at its end a task gives free memory back."""
     try:
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -77,7 +77,6 @@ def byte_slices(batches: Iterable[pa.RecordBatch], column: int = 1, budget: int
                 stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
                 yield batch.slice(start, stop - start)
                 start = stop
-            trim()
     finally:
         trim()
 

@@ -163,14 +163,3 @@ def test_long_pieces_of_bpe(spark):
         assert bpe.merged(word.encode(), ranks) == whole.encode(word)
     table = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary")
     assert {bytes(r.word): r.ids for r in bpe.fold_pieces(table, ranks).collect()} == {w.encode(): whole.encode(w) for w in words}
-
-
-def test_rows_without_id_are_packed_in_many_blocks(spark):
-    rows = spark.createDataFrame([(None, 0, 1 + i % 900) for i in range(2000)], "doc_id long, piece int, length long").repartition(4)
-    packed = packing.pack(rows, per_partition=100).collect()
-    blocks = Counter(r.sequence_id >> 32 for r in packed)
-    assert len(packed) == 2000 and len(blocks) > 8 and max(blocks.values()) < 400
-    fill = Counter()
-    for r in packed:
-        fill[r.sequence_id] += r.length
-    assert max(fill.values()) <= 2048
