@@ -12,7 +12,10 @@ BLOCK = 1000
 
 
 def blocks(df: DataFrame, id_col: str, vector: str, side: str) -> DataFrame:
-    """One row (ids, vectors) for each block of rows, as bytes of longs and doubles; null vectors are left out."""
+    """One row (ids, vectors) for each block of rows, as bytes of longs and doubles.
+
+    Null vectors and those with a null element are left out; different lengths are an error.
+    """
     schema = pa.schema([(f"{side}_ids", pa.binary()), (f"{side}_vectors", pa.binary())])
 
     def run(batches):
@@ -29,17 +32,21 @@ def blocks(df: DataFrame, id_col: str, vector: str, side: str) -> DataFrame:
 
     def block(parts):
         ids = np.concatenate([p.column(0).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
-        table = np.array([v for p in parts for v in p.column(1).to_pylist()], np.float64)
+        vectors = [v for p in parts for v in p.column(1).to_pylist()]
+        if len({len(v) for v in vectors}) > 1:
+            raise ValueError("vectors differ in length")
+        table = np.array(vectors, np.float64)
         return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], schema=schema)
 
-    return df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(run, f"{side}_ids binary, {side}_vectors binary")
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull())
+    return df.filter(whole).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(run, f"{side}_ids binary, {side}_vectors binary")
 
 
 def nearest(current: DataFrame, past: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", itself: bool = True) -> DataFrame:
     """(id, neighbour, score, rank): for each current row its k best past rows.
 
     ``l2`` is the squared distance, least first; ``cosine`` the cosine, largest first, null for zero
-    vectors.  Blocks of current rows meet blocks of past rows in the tasks; each pair of blocks gives its own k
+    vectors.  Vectors with a null element are left out, different lengths are an error.  Blocks of current rows meet blocks of past rows in the tasks; each pair of blocks gives its own k
     best of each current row, which are shuffled.  Null vectors are left out.  Without ``itself`` a row isn't its
     own neighbour, so the sides may overlap.
     """
@@ -51,6 +58,8 @@ def nearest(current: DataFrame, past: DataFrame, k: int, metric: str = "l2", id_
             for i in range(batch.num_rows):
                 ids, table, names, others = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate(("<i8", "<f8", "<i8", "<f8")))
                 table, others = table.reshape(len(ids), -1), others.reshape(len(names), -1)
+                if table.shape[1] != others.shape[1]:
+                    raise ValueError("vectors differ in length")
                 score = np.empty((len(ids), len(names)))
                 if metric == "l2":
                     for j, x in enumerate(table):

@@ -169,3 +169,13 @@ def sliding_drift(spark, sf_dir):
     rows = flow_view(spark, sf_dir)
     first = rows.agg(F.min("us")).first()[0] or 0
     return windows.sliding_drift(rows, "us", 48 * HOUR, 12 * HOUR, "value", rows.filter(F.col("us") < first + 72 * HOUR), 30)
+
+
+@query(f"""WITH {FLOW} SELECT seq, trunc(value)::INTEGER AS label, label_key || '|' || user_id AS key, printf('%4.1f', seq % 1000 * 100.0 / 7000) || '% (' || format('{{:,}}', seq % 1000) || ')' AS share,
+ CASE WHEN seq // 3600 > 0 THEN (seq // 3600) || 'h ' ELSE '' END || CASE WHEN seq // 60 > 0 THEN (seq % 3600 // 60) || 'm ' ELSE '' END || (seq % 60) || 's' AS span, round(value * k + k * user_id, 4) AS product, round((value - k) * (value - k) + (k - user_id) * (k - user_id), 4) AS distance FROM flow""")
+def scalar_texts(spark, sf_dir):
+    """Labels and keys from text, shares and spans as text, products and distances of vectors."""
+    r = flow_view(spark, sf_dir)
+    a, b = F.array("value", "k"), F.array("k", F.col("user_id").cast("double"))
+    share = scalars.ratio_text(F.col("seq") % 1000, F.lit(7000))
+    return r.select("seq", scalars.label_of(F.col("value").cast("string")).alias("label"), scalars.label_key(F.col("label_key"), F.col("user_id")).alias("key"), share.alias("share"), scalars.duration_text(F.col("seq")).alias("span"), F.round(scalars.inner_product(a, b), 4).alias("product"), F.round(scalars.squared_distance(a, b), 4).alias("distance"))

@@ -98,3 +98,13 @@ def test_every_row_is_indexed(spark, monkeypatch):
     np.fill_diagonal(far, np.inf)
     assert whole == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(far[i], kind="stable")[:4])}  # all cells searched: exact
     assert drift.approximate_nearest(df.filter("vec_id < 0"), df, centres, 4, 2).count() == 0
+
+
+def test_odd_vectors(spark):
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = df([(1, [0.0, 1.0]), (2, [1.0, None]), (3, None), (4, [0.0, 2.0])])
+    assert {(r.vec_id, r.neighbour) for r in drift.nearest(good, good, 3, itself=False).collect()} == {(1, 4), (4, 1)}
+    for a, b in ((good, df([(9, [1.0])])), (df([(1, [1.0]), (2, [1.0, 2.0])]), good)):
+        with pytest.raises(Exception, match="differ in length"):
+            drift.nearest(a.coalesce(1), b, 1).collect()
+    assert drift.nearest(df([]), good, 3).collect() == []
