@@ -18,15 +18,30 @@ def in_cells(df: DataFrame, time_us: str, span_us: int) -> DataFrame:
     return df.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumn("_own", F.col("_cell") == cell)
 
 
+def looked_up(df: DataFrame, found: DataFrame, key: str, time_us: str) -> DataFrame:
+    """``df`` with the other columns of ``found``, which has a row for each key, null among them, and time; rows without a time are left out."""
+    found = found.withColumnsRenamed({key: "_key", time_us: "_time"})
+    return df.join(found, F.equal_null(F.col(key), F.col("_key")) & (F.col(time_us) == F.col("_time"))).drop("_key", "_time")
+
+
 def dual_window(df: DataFrame, key: str, time_us: str, current_us: int, past_us: int) -> DataFrame:
     """Rows in the current window and in the past window before it, as of each row; rows of one time see each other.
 
-    A key's rows are dealt over time cells.
+    Both are differences of the numbers of rows up to three times, whatever the windows hold.  A key's distinct times are counted in time cells, to
+    which the rows of the cells before are added.
     """
-    span = current_us + past_us
-    w = Window.partitionBy(key, "_cell").orderBy(time_us)
-    counted = in_cells(df, time_us, span).withColumns({"cw": F.count("*").over(w.rangeBetween(-current_us, 0)), "pw": F.count("*").over(w.rangeBetween(-span, -current_us - 1))})
-    return counted.filter("_own").drop("_cell", "_own")
+    t, span = F.col(time_us), current_us + past_us
+    times = df.filter(t.isNotNull()).groupBy(key, time_us).agg(F.count("*").alias("_n"))
+    none = F.lit(0).cast("long")
+    asked = [F.struct(at.alias("_at"), n.alias("_n"), F.lit(i).alias("_i")) for i, (at, n) in enumerate([(t, F.col("_n")), (t - current_us - 1, none), (t - span - 1, none)])]
+    points = times.select(key, time_us, F.explode(F.array(*asked)).alias("_p")).select(key, time_us, "_p.*").withColumn("_cell", F.floor(F.col("_at") / max(1, current_us)))
+    cells = points.groupBy(key, "_cell").agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    cells = cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_cell").orderBy("_at", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    upto = points.withColumn("_upto", F.sum("_n").over(inside)).join(cells, F.equal_null(F.col(key), F.col("_key")) & (F.col("_cell") == F.col("_of")))
+    a, b, c = (F.max(F.when(F.col("_i") == i, F.col("_upto") + F.col("_before"))) for i in range(3))
+    return looked_up(df, upto.groupBy(key, time_us).agg((a - b).alias("cw"), (b - c).alias("pw")), key, time_us)
 
 
 def warm(df: DataFrame, key: str, time_us: str, span_us: int) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowmill.operators import rangejoin
+from flowmill.operators import rangejoin, windows
 
 KIND = "seq long, key string, us long, value double"
 
@@ -19,6 +19,18 @@ def rows_of(seed, n=600):
     return rows
 
 
+@pytest.mark.parametrize(("seed", "current", "past"), [(1, 30, 90), (2, 100, 100), (3, 64, 7), (4, 0, 5)])
+def test_dual_windows_equal_a_loop(spark, seed, current, past):
+    rows = rows_of(seed)
+    known = [r for r in rows if r[2] is not None]
+    wanted = {}
+    for seq, key, us, _ in known:
+        own = [r[2] for r in known if r[1] == key]
+        wanted[seq] = (sum(us - current <= x <= us for x in own), sum(us - current - past <= x < us - current for x in own))
+    counted = windows.dual_window(spark.createDataFrame(rows, KIND).repartition(4), "key", "us", current, past)
+    assert {r.seq: (r.cw, r.pw) for r in counted.collect()} == wanted
+
+
 @pytest.mark.parametrize(("before", "after"), [(30, 30), (100, 7), (0, 1), (-5, 40), (3, -3)])
 def test_range_sums_equal_a_loop(spark, before, after):
     rows = rows_of(before + 9)
