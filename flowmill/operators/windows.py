@@ -46,8 +46,8 @@ def dual_window(df: DataFrame, key: str, time_us: str, current_us: int, past_us:
 
 def warm(df: DataFrame, key: str, time_us: str, span_us: int) -> DataFrame:
     """Rows of a key from ``span_us`` after its first row on: before that, windows aren't full."""
-    first = df.groupBy(key).agg((F.min(time_us) + span_us).alias("_full"))
-    return df.join(first, key).filter(F.col(time_us) >= F.col("_full")).drop("_full")
+    first = df.groupBy(F.col(key).alias("_key")).agg((F.min(time_us) + span_us).alias("_full"))
+    return df.join(first, F.equal_null(F.col(key), F.col("_key"))).filter(F.col(time_us) >= F.col("_full")).drop("_key", "_full")
 
 
 def trailing(df: DataFrame, key: str, time_us: str, span_us: int, value: str) -> DataFrame:

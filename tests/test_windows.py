@@ -29,6 +29,9 @@ def test_dual_windows_equal_a_loop(spark, seed, current, past):
         wanted[seq] = (sum(us - current <= x <= us for x in own), sum(us - current - past <= x < us - current for x in own))
     counted = windows.dual_window(spark.createDataFrame(rows, KIND).repartition(4), "key", "us", current, past)
     assert {r.seq: (r.cw, r.pw) for r in counted.collect()} == wanted
+    first = {k: min(r[2] for r in known if r[1] == k) for k in {r[1] for r in known}}
+    warm = {r.seq for r in windows.warm(counted, "key", "us", 500).collect()}
+    assert warm == {r[0] for r in known if r[2] >= first[r[1]] + 500} and None in {r[1] for r in known if r[0] in warm}
 
 
 @pytest.mark.parametrize(("before", "after"), [(30, 30), (100, 7), (0, 1), (-5, 40), (3, -3)])
