@@ -6,18 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import with_previous
+from .rangejoin import span_sums
 from .stats import distances_of_counts
 
 
-def in_cells(df: DataFrame, time_us: str, span_us: int) -> DataFrame:
-    """Each row in its time cell of width ``span_us`` (``_own``) and in the next, so that a cell holds all that its own rows look back on.
-
-    Rows without a time are in no cell and left out.
-    """
-    cell = F.floor(F.col(time_us) / span_us)
-    return df.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumn("_own", F.col("_cell") == cell)
-
-
 def looked_up(df: DataFrame, found: DataFrame, key: str, time_us: str) -> DataFrame:
     """``df`` with the other columns of ``found``, which has a row for each key, null among them, and time; rows without a time are left out."""
     found = found.withColumnsRenamed({key: "_key", time_us: "_time"})
@@ -51,10 +43,11 @@ def warm(df: DataFrame, key: str, time_us: str, span_us: int) -> DataFrame:
 
 
 def trailing(df: DataFrame, key: str, time_us: str, span_us: int, value: str) -> DataFrame:
-    """Number and mean of the rows in the last ``span_us`` of each row; a key's rows are dealt over time cells."""
-    w = Window.partitionBy(key, "_cell").orderBy(time_us).rangeBetween(-span_us, 0)
-    seen = in_cells(df, time_us, span_us).withColumns({"n": F.count("*").over(w), "mean": F.round(F.avg(value).over(w), 6)})
-    return seen.filter("_own").drop("_cell", "_own")
+    """Number and mean of the rows in the last ``span_us`` of each row, from totals of each distinct time of a key."""
+    times = df.filter(F.col(time_us).isNotNull()).groupBy(key, time_us).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.sum(value).alias("_s"))
+    found = span_sums(times.withColumnRenamed(time_us, "at"), times.select(key, (F.col(time_us) - span_us).alias("lo")), [key], span_us + 1, ["n", "_m", "_s"])
+    mean = F.round(F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")), 6)
+    return looked_up(df, found.select(key, (F.col("lo") + span_us).alias(time_us), "n", mean.alias("mean")), key, time_us)
 
 
 def sliding_ends(df: DataFrame, time_us: str, size_us: int, step_us: int) -> DataFrame:
