@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block.
-BLOCK = 1000
+#: Vectors of a block; rows of a leaf; values of a window that a task holds.
+BLOCK, LEAF, HELD = 1000, 64, 4_000_000
 
 
 def blocks(df: DataFrame, id_col: str, vector: str, side: str) -> DataFrame:
@@ -91,41 +92,165 @@ def drift_score(current: DataFrame, past: DataFrame, k: int, theta: float, metri
     return score.select("score", F.coalesce(enough & hit & ~F.isnan("score"), F.lit(False)).alias("detected"))
 
 
+class Nearest:
+    """Sum over the k best scores of current rows against past rows that come in pieces.
+
+    Equal rows are scored once and counted by their number.  Both sides are halved along their widest axis into leaves; a current leaf meets
+    past leaves from the nearest on, until the next one's box is farther than what its rows have already.  Scores are exact.
+    """
+
+    def __init__(self, current: np.ndarray, k: int, metric: str) -> None:
+        self.k, self.metric, self.whole = k, metric, 0
+        rows, self.times = distinct(self.vectors(current))
+        self.n = len(current) * k
+        self.unknown = np.isnan(rows).any(1)
+        self.odd = np.isinf(rows).any(1) & ~self.unknown  # with an infinity: against all rows
+        self.rows, self.best, self.weight = rows, np.full((len(rows), k), np.inf), np.zeros((len(rows), k), np.int64)
+        fine = np.flatnonzero(~self.unknown & ~self.odd)
+        self.leaves = [fine[x] for x in leaves(rows[fine])]
+
+    def vectors(self, x: np.ndarray) -> np.ndarray:
+        if self.metric == "l2":
+            return x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.metric == "cosine":
+            return -(a @ b.T)
+        found = np.zeros((len(a), len(b)))
+        for x, y in zip(a.T, b.T, strict=True):
+            found += (y - x[:, None]) ** 2
+        return found
+
+    def add(self, past: np.ndarray) -> None:
+        rows, times = distinct(self.vectors(past))
+        self.whole += int(times[~np.isnan(rows).any(1)].sum())
+        for i in np.flatnonzero(self.odd):
+            for lo in range(0, len(rows), BLOCK):
+                with np.errstate(invalid="ignore"):
+                    self.merge(np.array([i]), rows[lo : lo + BLOCK], times[lo : lo + BLOCK])
+        fine = np.isfinite(rows).all(1)
+        rows, times = rows[fine], times[fine]
+        if not len(rows):
+            return
+        parts = leaves(rows)
+        low, high = (np.stack([f(rows[p], axis=0) for p in parts]) for f in (np.min, np.max))
+        for own in self.leaves:
+            x = self.rows[own]
+            gap = np.maximum(np.maximum(low - x.max(0), x.min(0) - high), 0)
+            least = (gap**2).sum(1)  # no row of the leaf is nearer
+            if self.metric == "cosine":
+                least = least / 2 - 1 - 1e-9
+            bound = self.bound(own)
+            near = [int(least.argmin())]
+            rest = None
+            while True:
+                near = [j for j in near if least[j] < bound]
+                if near:
+                    at = np.concatenate([parts[j] for j in near])
+                    self.merge(own, rows[at], times[at])
+                    bound = self.bound(own)
+                if rest is None:
+                    first, rest = int(least.argmin()), np.flatnonzero(least < bound)
+                    rest = rest[rest != first]
+                    rest, step = rest[np.argsort(least[rest], kind="stable")], 4
+                if not len(rest) or least[rest[0]] >= bound:
+                    break
+                near, rest, step = rest[:step].tolist(), rest[step:], min(2 * step, 32)
+
+    def bound(self, own: np.ndarray) -> float:
+        """The largest k-th best score of the rows; infinite as long as one has fewer."""
+        full = self.weight[own].cumsum(1) >= self.k
+        return float(np.where(full.any(1), np.take_along_axis(self.best[own], full.argmax(1)[:, None], 1)[:, 0], np.inf).max())
+
+    def merge(self, own: np.ndarray, rows: np.ndarray, times: np.ndarray) -> None:
+        score = np.hstack([self.best[own], self.scores(self.rows[own], rows)])
+        weight = np.hstack([self.weight[own], np.broadcast_to(times, (len(own), len(times)))])
+        score = np.where(weight > 0, score, np.nan)  # empty places come last
+        top = np.argpartition(score, self.k - 1, axis=1)[:, : self.k]
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(score, top, 1), axis=1), 1)
+        self.best[own], self.weight[own] = np.take_along_axis(score, top, 1), np.take_along_axis(weight, top, 1)
+
+    def total(self) -> float:
+        """Missing scores are those of past rows that are infinite or not numbers."""
+        upto = np.minimum(self.weight.cumsum(1), self.k)
+        taken = np.diff(upto, axis=1, prepend=0)
+        with np.errstate(invalid="ignore", over="ignore"):
+            sums = np.where(taken > 0, self.best * taken, 0).sum(1)
+            sums = np.where(upto[:, -1] == self.k, sums, np.inf if self.whole >= self.k else np.nan)
+            return float((np.where(self.unknown, np.nan, sums) * self.times).sum())
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and their numbers."""
+    x = x[np.lexsort(x.T)]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]).any(1)]))
+    return x[starts], np.diff(np.append(starts, len(x)))
+
+
+def leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows in leaves of at most ``LEAF``."""
+    out, left = [], [np.arange(len(x))] if len(x) else []
+    while left:
+        own = left.pop()
+        if len(own) <= LEAF:
+            out.append(own)
+            continue
+        axis = (x[own].max(0) - x[own].min(0)).argmax()
+        halves = np.argpartition(x[own, axis], len(own) // 2)
+        left += [own[halves[: len(own) // 2]], own[halves[len(own) // 2 :]]]
+    return out
+
+
 def scores_of_windows(members: DataFrame, by: list[str], size: int, k: int, theta: float, metric: str) -> DataFrame:
     """(by, score, detected) of many pairs of windows at once, from rows (by, number, is_current, v of ``size`` values).
 
     The score is the mean over the k best of all current rows; windows with fewer than k rows on a side give none and aren't detected, nor is
-    NaN.  Rows are packed by their numbers; every current block of a pair meets its past blocks one after the other in
-    one task, so large windows are spread over tasks.
+    NaN.  A pair's current rows are held by one task up to ``HELD`` values, more are dealt over tasks; its past rows stream by in pieces as large.
     """
-    packed = members.groupBy(*by, "is_current", F.floor(F.col("number") / BLOCK).alias("block")).agg(F.flatten(F.collect_list("v")).alias("v"), F.count("*").alias("n"))
-    full = members.groupBy(*by).agg(F.count_if("is_current").alias("_a"), F.count_if(~F.col("is_current")).alias("_b")).filter((F.col("_a") >= k) & (F.col("_b") >= k)).select(*by)
-    current = packed.filter("is_current").join(full, by).select(*by, "block", F.col("v").alias("a"))
-    pairs = current.join(packed.filter("not is_current").select(*by, F.col("v").alias("b")), by)
+    limit = max(1, HELD // max(size, k))
+    sizes = members.groupBy(*by).agg(F.count_if("is_current").alias("_a"), F.count_if(~F.col("is_current")).alias("_b")).filter((F.col("_a") >= k) & (F.col("_b") >= k))
+    rows = members.join(F.broadcast(sizes.select(*by, F.ceil(F.col("_a") / limit).cast("int").alias("_blocks"))), by)  # a row for each pair of windows
+    block = F.when(F.col("is_current"), F.array(F.pmod(F.xxhash64("number"), F.col("_blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
     heads, n = [*by, "block"], len(by)
-    kinds = dict(pairs.dtypes)
+    dealt = rows.select(*by, F.explode(block).alias("block"), (~F.col("is_current")).alias("is_past"), "v")
+    kinds = dict(dealt.dtypes)
     kind = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", total double, n long"
 
     def run(batches):
-        now, best, schema = None, None, None
+        now, schema, near, current, past = None, None, None, [], []
+
+        def finish():
+            if now is None or not current or not (near or past):
+                return []
+            found = near or Nearest(np.concatenate(current), k, metric)
+            if past:
+                found.add(np.concatenate(past))
+            return [pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*now[:n], found.total(), found.n], schema, strict=True)], schema=schema)]
+
         for batch in batches:
             schema = schema or pa.schema([*(batch.schema.field(i) for i in range(n)), ("total", pa.float64()), ("n", pa.int64())])
-            for row in batch.to_pylist():
-                here = [row[c] for c in heads]
-                a, b = (np.array(row[c], np.float64).reshape(-1, size) for c in ("a", "b"))
+            differs = np.zeros(max(0, batch.num_rows - 1), bool)
+            for column in batch.columns[: n + 2] if batch.num_rows else ():
+                differs |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                here = [batch.column(i)[lo].as_py() for i in range(n + 1)]
                 if here != now:
-                    if now is not None:
-                        yield summed(now, best, schema)
-                    now, best = here, np.empty((len(a), 0))
-                best = np.sort(np.hstack([best, distances(a, b, metric)]), axis=1)[:, :k]
-        if now is not None:
-            yield summed(now, best, schema)
-
-    def summed(here, best, schema):
-        values = [*here[:n], float(best.sum()), best.size]
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
-
-    found = pairs.repartition(*heads).sortWithinPartitions(*heads).select(*heads, "a", "b").mapInArrow(run, kind)
+                    yield from finish()
+                    now, near, current, past = here, None, [], []
+                own = batch.column(n + 2).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                (past if batch.column(n + 1)[lo].as_py() else current).append(own)
+                if current and past and sum(map(len, past)) >= limit:
+                    near = near or Nearest(np.concatenate(current), k, metric)
+                    near.add(np.concatenate(past))
+                    past = []
+        yield from finish()
+
+    found = dealt.repartition(*heads).sortWithinPartitions(*heads, "is_past").mapInArrow(run, kind)
     score = F.sum("total") / F.sum("n") * (1 if metric == "l2" else -1)
     rows = found.groupBy(*by).agg(score.alias("score"))
     hit = (F.col("score") > theta) if metric == "l2" else (F.col("score") < theta)

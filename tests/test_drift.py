@@ -108,3 +108,46 @@ def test_odd_vectors(spark):
         with pytest.raises(Exception, match="differ in length"):
             drift.nearest(a.coalesce(1), b, 1).collect()
     assert drift.nearest(df([]), good, 3).collect() == []
+
+
+def windows_of(seed, metric):
+    """Pairs of windows with equal rows, rows without a direction, infinities and, in one, a row that is no number."""
+    rng, out = np.random.default_rng(seed), {}
+    for name, odd in (("plain", False), ("infinite", np.inf), ("unknown", np.nan), ("few", False)):
+        a, b = rng.normal(size=(90, 2)), rng.normal(size=(4 if name == "few" else 260, 2))
+        a[:40], b[: len(b) // 2] = np.round(a[:40]), np.round(b[: len(b) // 2])
+        if odd:
+            b[3, 1] = odd
+            a[-1, 0] = odd if metric == "l2" else 1.0
+        out[name] = (a, b)
+    return out
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("held", [4_000_000, 100])
+def test_scores_of_windows_equal_brute_force(spark, monkeypatch, metric, held):
+    """With few values a task, current rows are dealt and past rows come in pieces."""
+    monkeypatch.setattr(drift, "HELD", held)
+    wanted, rows = {}, []
+    for name, (a, b) in windows_of(5, metric).items():
+        with np.errstate(all="ignore"):
+            best = np.sort(drift.distances(a, b, metric), axis=1)[:, :5].mean()
+        wanted[name] = best if metric == "l2" else -best
+        rows += [(name, i, i < len(a), [float(x) for x in v]) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "w string, number long, is_current boolean, v array<double>").repartition(5)
+    found = {r.w: (r.score, r.detected) for r in drift.scores_of_windows(df, ["w"], 2, 5, 0.01, metric).collect()}
+    assert set(found) == {"plain", "infinite", "unknown"}
+    for name, (score, detected) in found.items():
+        assert score == pytest.approx(wanted[name], nan_ok=True)
+        assert detected == (not np.isnan(score) and (score > 0.01 if metric == "l2" else score < 0.01))
+
+
+def test_current_rows_meet_few_past_rows():
+    rng = np.random.default_rng(2)
+    a, b = rng.random((4000, 2)), rng.random((12000, 2))
+    near, met = drift.Nearest(a, 8, "l2"), []
+    scores = near.scores
+    near.scores = lambda x, y: met.append(len(x) * len(y)) or scores(x, y)
+    near.add(b)
+    far = np.concatenate([np.sort(drift.distances(a[i : i + 500], b, "l2"), axis=1)[:, :8] for i in range(0, 4000, 500)])
+    assert near.total() == pytest.approx(far.sum()) and sum(met) < len(a) * len(b) / 10
