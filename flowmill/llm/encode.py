@@ -33,7 +33,7 @@ CACHE = 300_000
 
 
 class ChunkEncoder:
-    """Ids of texts through cached chunks; ``spaced`` keeps white space in chunks, else it only separates.
+    """Token spans of texts through cached chunks; ``spaced`` keeps white space in chunks, else it only separates.
 
     ``encode_chunks`` maps chunks to all their ids in one array, the number of ids of each, and optionally
     the first and end characters of their tokens.
@@ -47,7 +47,6 @@ class ChunkEncoder:
         self.known: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)
         self.lengths = np.zeros(0, np.int32)  # characters of each chunk
-        self.ids = np.zeros(0, np.int32)
         self.chars = np.zeros((0, 2), np.int32)  # first and end character of each token in its chunk
 
     def split(self, text: str) -> list[str]:
@@ -57,10 +56,9 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        ids, sizes, chars = self.encode_chunks(new)
+        _, sizes, chars = self.encode_chunks(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int32, len(new))])
-        self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         if chars is not None:
             self.chars = np.concatenate([self.chars, chars])
@@ -76,15 +74,6 @@ class ChunkEncoder:
             self.learn(need)
         return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), np.array([len(p) for p in parts], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array and the number of ids of each text."""
-        codes, counts = self.codes(texts)
-        sizes = (self.ends[1:] - self.ends[:-1])[codes]
-        flat = self.ids[ragged_take(self.ends[codes], sizes)]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        return flat, upto[edges[1:]] - upto[edges[:-1]]
-
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and end character of every token in its text, and the number of tokens of each text."""
         codes, counts = self.codes(texts)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -163,3 +164,34 @@ def test_long_pieces_of_bpe(spark):
         assert bpe.merged(word.encode(), ranks) == whole.encode(word)
     table = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary")
     assert {bytes(r.word): r.ids for r in bpe.fold_pieces(table, ranks).collect()} == {w.encode(): whole.encode(w) for w in words}
+
+
+def bpe_texts():
+    rng = random.Random(11)
+    marks = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'r", "'l", "''", "'", "s", "e", "re", "ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", *"\u1680\u2000\u200a\u2028\u202f\u205f\u3000\u180e\u200b", "a", "Z", "é", "漢字", "é́", "𝐀", "7", "12", "²", "Ⅻ", "𝟘", ".", ",", "-", "’s", "🙂", "\U0010ffff"]
+    made = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    return [None, "", "it'", "s", "it'r", "e", " ", "'s", "a\u3000", "b", "a \xa0", " b", None, *marks, *made, "", None]
+
+
+def test_pieces_are_the_matches_of_the_pattern(monkeypatch):
+    texts, wanted = bpe_texts(), [bpe.split_pieces(t or "", P.PATTERN) for t in bpe_texts()]
+    monkeypatch.setattr(bpe, "split_pieces", None)  # no match is made for each text
+    whole = pa.array(texts, pa.string())
+    for at, n in ((0, len(texts)), (1, 1), (2, 7), (5, 100), (len(texts) - 2, 2), (3, 0)):
+        codes, counts, pieces, raw = bpe.pieces_of(whole.slice(at, n), P.PATTERN)
+        flat = [p.decode() for p in pieces.take(pa.array(codes)).to_pylist()]
+        assert flat == [p for own in wanted[at : at + n] for p in own]
+        assert counts.tolist() == [len(own) for own in wanted[at : at + n]]
+        assert len(set(pieces.to_pylist())) == len(pieces)
+        assert raw.to_pylist() == [(t or "").encode() for t in texts[at : at + n]]
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"[\p{L}\p{N}]+|\s*[\r\n]+|\s+|[^\s\p{L}\p{N}]+"])
+def test_bpe_of_odd_texts_and_of_patterns_that_join_blanks(spark, pattern):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = list(enumerate([*bpe_texts(), "one \n\n two\n \nthree\n\n\nfour"]))
+    got = bpe.encode_bpe(documents(spark, rows), path, pattern).collect()
+    assert {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got} == {i: (own.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
+    empty = bpe.encode_bpe(documents(spark, [(1, None), (2, "")]), path, pattern).collect()
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in empty) == [(1, b"", b""), (2, b"", b"")]
